@@ -6,6 +6,11 @@ holds most rows) runs in a single task. Here the rows are range-partitioned
 on the ordering, each range partition computes local running values, and the
 per-partition totals (one row per partition, a bounded table) are turned into
 offsets that are broadcast back.
+
+The range boundaries come from a sample; two separately planned evaluations
+could cut the ranges differently, so the locally ranked data is written once
+with a reliable checkpoint (to ``spark.checkpoint.dir``) and both the totals
+and the final rows read that same copy.
 """
 
 from __future__ import annotations
@@ -15,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def _n_parts(df: DataFrame, n: int | None) -> int:
     if n:
@@ -45,12 +52,13 @@ def global_cumulative(df: DataFrame, order: Sequence[str | Column], sums: dict[s
     for name in sums:
         local = local.withColumn(f"_l_{name}", F.sum(f"_v_{name}").over(w_local))
 
+    local = cut_lineage(local)
     aggs = []
     if rank_col:
         aggs.append(F.count(F.lit(1)).alias("_t_rank"))
     for name in sums:
         aggs.append(F.sum(f"_v_{name}").alias(f"_t_{name}"))
-    totals = ranged.groupBy("_pid").agg(*aggs)
+    totals = local.groupBy("_pid").agg(*aggs)
     # One row per range partition: a bounded table, ordered by partition id.
     w_prev = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = totals.select(
