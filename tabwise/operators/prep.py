@@ -128,6 +128,23 @@ class PrepModel:
         rest = [c for c in columns if c not in exprs]
         return exprs, rest
 
+    def feature_stage(self, feature_cols: Sequence[str], fills: dict | None = None,
+                      suffix: str = "__f") -> SQLTransformer:
+        """Stage that keeps every input column and appends ``<feature><suffix>`` columns.
+
+        ``fills`` holds a last-resort value per feature (used where a value is
+        still missing after prep), so the stage works on frames with or
+        without the label column.
+        """
+        exprs, _ = self._exprs(feature_cols)
+        parts = []
+        for c in feature_cols:
+            e = exprs.get(c, f"`{c}`")
+            if fills and fills.get(c) is not None:
+                e = f"coalesce(CAST({e} AS DOUBLE), {_lit_sql(fills[c])})"
+            parts.append(f"CAST({e} AS DOUBLE) AS `{c}{suffix}`")
+        return SQLTransformer(statement="SELECT *, " + ", ".join(parts) + " FROM __THIS__")
+
     def statement(self, columns: Sequence[str]) -> str:
         exprs, rest = self._exprs(columns)
         parts = [f"{exprs[c]} AS `{c}`" for c in self.spec.numeric_features + self.spec.category_cols]

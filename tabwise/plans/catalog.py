@@ -551,3 +551,177 @@ def q_fold_f1_table(spark, d):
 SELECT round(avg(acc), 6) AS mean_accuracy, round(stddev_pop(acc), 6) AS std_accuracy FROM a""")
 def q_fold_accuracy_summary(spark, d):
     return r6(metrics.fold_accuracy_summary(fx.scored_lineitem(spark, d)))
+
+
+# ======================================================================================
+# Importance-based selection (O1-O3) on a data-derived importance table
+# ======================================================================================
+_IMP_FEATURES = ["price", "month", "year", "priority"]
+
+
+def _importance_table(spark, d) -> DataFrame:
+    """|mean(x | y=1) - mean(x | y=0)| / std(x), normalised to sum 1 (one aggregation pass)."""
+    o = fx.orders_learning(spark, d)
+    aggs = []
+    for c in _IMP_FEATURES:
+        aggs += [F.avg(F.when(F.col("y") == 1, F.col(c))).alias(f"{c}_1"),
+                 F.avg(F.when(F.col("y") == 0, F.col(c))).alias(f"{c}_0"),
+                 F.stddev_pop(c).alias(f"{c}_s")]
+    wide = o.agg(*aggs)
+    long = wide.select(F.explode(F.array(*[F.struct(
+        F.lit(c).alias("feature"),
+        (F.abs(F.col(f"{c}_1") - F.col(f"{c}_0")) / F.col(f"{c}_s")).alias("raw")) for c in _IMP_FEATURES]))
+        .alias("_e")).select("_e.*")
+    from pyspark.sql import Window
+    return long.select("feature", (F.col("raw") / F.sum("raw").over(Window.partitionBy())).alias("importance"))
+
+
+_IMP_SQL = "imp_raw AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, abs(avg({c}) FILTER (WHERE y = 1) - avg({c}) FILTER (WHERE y = 0)) / stddev_pop({c}) AS raw "
+    f"FROM ol" for c in _IMP_FEATURES) + """),
+imp AS (SELECT feature, raw / sum(raw) OVER () AS importance FROM imp_raw)"""
+_OL_SQL = """ol AS (
+  SELECT o_orderkey, o_totalprice AS price, CAST(month(o_orderdate) AS DOUBLE) AS month,
+         CAST(year(o_orderdate) AS DOUBLE) AS year, CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS priority,
+         CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y
+  FROM orders)"""
+
+
+@register("importance_sorted", _with(_OL_SQL, _IMP_SQL) + "SELECT feature, round(importance, 6) AS importance FROM imp")
+def q_importance_sorted(spark, d):
+    from ..operators import select
+    return r6(select.importance_sorted(_importance_table(spark, d)))
+
+
+@register("importance_top_n", _with(_OL_SQL, _IMP_SQL)
+          + "SELECT feature, round(importance, 6) AS importance FROM imp ORDER BY importance DESC, feature LIMIT 2")
+def q_importance_top_n(spark, d):
+    from ..operators import select
+    return r6(select.importance_top_n(_importance_table(spark, d), 2))
+
+
+@register("importance_threshold", _with(_OL_SQL, _IMP_SQL)
+          + "SELECT feature, round(importance, 6) AS importance FROM imp WHERE importance > 0.2")
+def q_importance_threshold(spark, d):
+    from ..operators import select
+    return r6(select.importance_threshold(_importance_table(spark, d), 0.2))
+
+
+# ======================================================================================
+# Nearest neighbours and resampling
+# ======================================================================================
+@register("knn_neighbors", _with(fx.ORDERS_POINTS_SQL) + """
+SELECT label, qid, nid, round(d2, 6) AS d2, rank FROM (
+  SELECT a.o_orderstatus AS label, a.o_orderkey AS qid, b.o_orderkey AS nid,
+         (a.f1 - b.f1) * (a.f1 - b.f1) + (a.f2 - b.f2) * (a.f2 - b.f2) AS d2,
+         row_number() OVER (PARTITION BY a.o_orderkey ORDER BY
+             (a.f1 - b.f1) * (a.f1 - b.f1) + (a.f2 - b.f2) * (a.f2 - b.f2), b.o_orderkey) AS rank
+  FROM pts a JOIN pts b ON a.o_orderstatus = b.o_orderstatus AND a.o_orderkey <> b.o_orderkey)
+WHERE rank <= 5""")
+def q_knn_neighbors(spark, d):
+    from ..operators.knn import knn
+    out = knn(fx.orders_points(spark, d), "o_orderkey", ["f1", "f2"], 5, "o_orderstatus")
+    return r6(out.select(F.col("group").alias("label"), "qid", "nid", "d2", F.col("rank").cast("long")))
+
+
+@register("smote_oversample")
+def q_smote_oversample(spark, d):
+    from ..operators.resample import smote
+    return smote(fx.orders_points(spark, d), "o_orderkey", "o_orderstatus", ["f1", "f2"])
+
+
+@register("enn_clean")
+def q_enn_clean(spark, d):
+    from ..operators.resample import enn
+    return enn(fx.orders_points(spark, d), "o_orderkey", "o_orderstatus", ["f1", "f2"])
+
+
+# ======================================================================================
+# Learners, selection, validation, search, scoring (M1-M9): rows-only
+# ======================================================================================
+# Fixed small budgets for the registered learner queries (the full reference
+# budgets are the function defaults).
+_SMALL_XGB = {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.3, "min_child_weight": 1}
+_SMALL_RF = {"n_estimators": 10, "max_depth": 6, "min_samples_leaf": 1}
+
+
+def _learn_split(spark, d):
+    data = fx.orders_learning(spark, d)
+    return split.train_test_split(data, "y", ["o_orderkey"], 0.2, 42)
+
+
+@register("train_gbt")
+def q_train_gbt(spark, d):
+    from ..operators import learn
+    train, test = _learn_split(spark, d)
+    built = learn.build_model(train, "y", fx.LEARN_FEATURES, model_type="xgb", model_params=_SMALL_XGB,
+                              imputer_strategy="median", exclude=["o_orderkey"])
+    return learn.score(built, test, keep=["o_orderkey", "y"])
+
+
+@register("train_rf")
+def q_train_rf(spark, d):
+    from ..operators import learn
+    train, test = _learn_split(spark, d)
+    built = learn.build_model(train, "y", fx.LEARN_FEATURES, model_type="rf", model_params=_SMALL_RF,
+                              imputer_strategy="median", scaler_type="robust", exclude=["o_orderkey"])
+    return learn.score(built, test, keep=["o_orderkey", "y"])
+
+
+@register("feature_importance")
+def q_feature_importance(spark, d):
+    from ..operators import learn, select
+    train, _ = _learn_split(spark, d)
+    built = learn.build_model(train, "y", fx.LEARN_FEATURES, model_type="xgb", model_params=_SMALL_XGB,
+                              exclude=["o_orderkey"])
+    return select.importance_sorted(learn.feature_importance(built))
+
+
+@register("select_features")
+def q_select_features(spark, d):
+    from ..operators import select
+    train, test = _learn_split(spark, d)
+    filled = prep.fit_prep(train, prep.PrepSpec(fx.LEARN_FEATURES, [], "median", None))
+    _, chosen, train_sel, _, _ = select.select_features(filled.transform(train), "y", fx.LEARN_FEATURES, "xgb",
+                                                        top_n=3, model_params=_SMALL_XGB,
+                                                        test=filled.transform(test))
+    return train_sel
+
+
+@register("build_model")
+def q_build_model(spark, d):
+    from ..operators import learn
+    train, test = _learn_split(spark, d)
+    built = learn.build_model(train, "y", fx.LEARN_FEATURES, model_type="xgb", model_params=_SMALL_XGB,
+                              imputer_strategy="median", scaler_type="robust", resample_type="smoteenn",
+                              id_col="o_orderkey")
+    return learn.score(built, test, keep=["o_orderkey", "y"])
+
+
+@register("cv_fold_f1")
+def q_cv_fold_f1(spark, d):
+    from ..operators import search
+    data = fx.orders_learning(spark, d)
+    return search.cross_validate(data, "y", ["o_orderkey"], fx.LEARN_FEATURES, "xgb", None, "robust", "median",
+                                 cv_splits=3, params=_SMALL_XGB)
+
+
+@register("tune")
+def q_tune(spark, d):
+    from ..operators import search
+    data = fx.orders_learning(spark, d)
+    bounds = {"learning_rate": (0.05, 0.3), "max_depth": (2, 5), "min_child_weight": (1, 10),
+              "n_estimators": (5, 15)}
+    _, trials = search.tune(data, "y", ["o_orderkey"], fx.LEARN_FEATURES, "xgb", None, "robust", "median",
+                            cv_splits=3, init_points=2, n_iter=2, bounds=bounds, parallelism=4)
+    return trials
+
+
+@register("score_batch")
+def q_score_batch(spark, d):
+    from ..operators import learn
+    data = fx.orders_learning(spark, d)
+    train, _ = _learn_split(spark, d)
+    built = learn.build_model(train, "y", fx.LEARN_FEATURES, model_type="xgb", model_params=_SMALL_XGB,
+                              imputer_strategy="median", exclude=["o_orderkey"])
+    return learn.score(built, data.drop("y"), keep=["o_orderkey"])

@@ -194,3 +194,33 @@ EVENTS_CATEGORICAL_SQL = """ev_c AS (
          CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_type END AS etype,
          'u' || CAST(user_id % 10 AS VARCHAR) AS ubucket
   FROM events)"""
+
+
+# -- orders as a classification table (unique id, numeric features, binary label) -------
+def orders_learning(spark, d) -> DataFrame:
+    o = table(spark, d, "orders")
+    return o.select(
+        "o_orderkey",
+        F.col("o_totalprice").alias("price"),
+        F.month("o_orderdate").cast("double").alias("month"),
+        F.year("o_orderdate").cast("double").alias("year"),
+        F.substring("o_orderpriority", 1, 1).cast("double").alias("priority"),
+        F.when(F.col("o_orderkey") % 6 == 0, F.lit(None)).otherwise(F.col("o_custkey") % 100).cast("double")
+        .alias("cust_bucket"),
+        F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("y"),
+    )
+
+
+LEARN_FEATURES = ["price", "month", "year", "priority", "cust_bucket"]
+
+
+def orders_points(spark, d) -> DataFrame:
+    """Two scaled features per order, class = order status (for kNN / SMOTE / ENN)."""
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", "o_orderstatus", (F.col("o_totalprice") / 100000.0).alias("f1"),
+                    F.month("o_orderdate").cast("double").alias("f2"))
+
+
+ORDERS_POINTS_SQL = """pts AS (
+  SELECT o_orderkey, o_orderstatus, o_totalprice / 100000.0 AS f1, CAST(month(o_orderdate) AS DOUBLE) AS f2
+  FROM orders)"""
