@@ -30,7 +30,7 @@ def _class_counts(df: DataFrame, label_col: str) -> list[tuple[object, int]]:
     return sorted(((r[label_col], int(r["n"])) for r in rows), key=lambda t: (t[0] is None, t[0]))
 
 
-def test_quotas(counts: Sequence[tuple[object, int]], test_size: float) -> dict:
+def split_quotas(counts: Sequence[tuple[object, int]], test_size: float) -> dict:
     """Largest-remainder allocation of ceil(n * test_size) test rows over classes."""
     total = sum(n for _, n in counts)
     nt = math.ceil(test_size * total)
@@ -54,7 +54,7 @@ def stratified_split(df: DataFrame, label_col: str, id_cols: Sequence[str], test
     if not 0.0 < test_size < 1.0:
         raise ValueError("test_size must be between 0 and 1")
     counts = _class_counts(df, label_col)
-    quotas = _quota_table(df, label_col, test_quotas(counts, test_size), "_quota")
+    quotas = _quota_table(df, label_col, split_quotas(counts, test_size), "_quota")
     ranked = rank_within(df.withColumn("_h", _hash(seed, id_cols)), label_col, ["_h", *id_cols], rank_col="_rn")
     out = ranked.join(F.broadcast(quotas), ranked[label_col].eqNullSafe(quotas["_k"]))
     out = out.withColumn(split_col, F.when(F.col("_rn") <= F.col("_quota"), "test").otherwise("train"))
