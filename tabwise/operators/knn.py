@@ -4,12 +4,12 @@ Used by SMOTE (neighbours inside a class) and ENN (neighbours over all rows).
 
 1. Pivots: in each group the ``m`` rows with the smallest md5(seed|id) are
    pivots, m ~ group size / ``block_rows`` (bounded constants, broadcast).
-2. Every point is assigned to the cell of its nearest pivot. Because pivots
-   are data points of the same group, the distance to the k-th nearest pivot
-   (itself excluded) bounds the true k-th neighbour distance ``rho``. A cell
-   j can hold a point closer than ``rho`` only if the distance from the query
-   to the bisector of (own pivot, pivot j) is <= rho; the query is sent to
-   exactly those cells (always to its own).
+2. Every point is assigned to the cell of its nearest pivot. Pass A finds
+   the k nearest points inside the own cell; their k-th distance ``rho``
+   bounds the true k-th neighbour distance. A cell j can hold a point closer
+   than ``rho`` only if the distance from the query to the bisector of
+   (own pivot, pivot j) is <= rho; pass B sends the query to exactly those
+   cells (all cells when the own cell has fewer than k other points).
 3. A cell's data rows are cut into chunks of at most ``block_rows`` rows and
    its query rows likewise; each (cell, query chunk, data chunk) is one
    bounded task that computes distances with numpy and emits only its top k
@@ -91,41 +91,72 @@ def _block_topk(k: int):
     return fn
 
 
-def _assign(pivots: dict, k: int):
-    """mapInPandas body: own cell and candidate cells for every point."""
+def _assign(pivots: dict, with_candidates: bool):
+    """mapInPandas body.
+
+    Without candidates: the own cell (nearest pivot) of every point. With
+    candidates: the other cells whose bisector with the own pivot is within
+    ``_r`` (the own-cell k-th neighbour distance) of the point.
+    """
     def fn(batches):
         for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(_cell=pd.Series([], dtype="int32"), _cands=pd.Series([], dtype=object))
-                continue
-            cells = np.empty(len(pdf), dtype=np.int32)
-            cands = [None] * len(pdf)
+            n = len(pdf)
+            cells = np.zeros(n, dtype=np.int32)
+            cands = [[] for _ in range(n)]
             for g, gidx in pdf.groupby("_g", sort=False, dropna=False).indices.items():
                 key = None if (isinstance(g, float) and math.isnan(g)) else g
-                pv_ids, pv, pdist = pivots[key]
+                _, pv, pdist = pivots[key]
                 for start in range(0, len(gidx), 1024):
                     idx = gidx[start:start + 1024]
                     f = np.stack(pdf["_f"].to_numpy()[idx]).astype(np.float64)
-                    ids = pdf["_id"].to_numpy(dtype=np.int64)[idx]
                     d = np.sqrt(sq_dist(f, pv))
                     own = np.argmin(d, axis=1)
+                    cells[idx] = own
+                    if not with_candidates:
+                        continue
+                    rad = pdf["_r"].to_numpy(dtype=np.float64)[idx]
                     d_own = d[np.arange(len(idx)), own]
-                    d_ex = np.where(pv_ids[None, :] == ids[:, None], np.inf, d)
-                    kk = min(k, d_ex.shape[1]) - 1
-                    rho = np.partition(d_ex, kk, axis=1)[:, kk] if kk >= 0 else np.full(len(idx), np.inf)
                     sep = pdist[own]  # distance between own pivot and every pivot
                     with np.errstate(divide="ignore", invalid="ignore"):
                         bound = (d ** 2 - d_own[:, None] ** 2) / (2.0 * sep)
                     bound[sep == 0] = 0.0
-                    ok = bound <= rho[:, None] * (1 + 1e-9) + 1e-12
-                    ok[np.arange(len(idx)), own] = True
-                    cells[idx] = own
+                    ok = bound <= rad[:, None] * (1 + 1e-9) + 1e-12
+                    ok[np.arange(len(idx)), own] = False
                     for j, r in enumerate(idx):
                         cands[r] = np.nonzero(ok[j])[0].astype(np.int32).tolist()
-            yield pdf.assign(_cell=cells, _cands=cands)
+            out = pdf[["_g", "_id", "_f"]].assign(_cell=cells)
+            if with_candidates:
+                out = out.assign(_cands=cands)
+            yield out
     return fn
 
 
+def _blocks(data: DataFrame, query: DataFrame, block_rows: int, seed: int) -> DataFrame:
+    """Cut every cell into (query chunk, data chunk) blocks of at most ~block_rows rows per role."""
+    dsize = data.groupBy("_g", "_c").agg(F.count(F.lit(1)).alias("_nd"))
+    qsize = query.groupBy("_g", "_c").agg(F.count(F.lit(1)).alias("_nq"))
+    # one row per (group, cell) that has queries: bounded by the number of pivots
+    sizes = F.broadcast(dsize.join(qsize, ["_g", "_c"]).select(
+        "_g", "_c",
+        F.greatest(F.lit(1), F.ceil(F.col("_nd") / block_rows)).cast("int").alias("_kd"),
+        F.greatest(F.lit(1), F.ceil(F.col("_nq") / block_rows)).cast("int").alias("_kq")))
+    u = hash_uniform(F.lit(str(seed)), F.col("_id").cast("string"), F.lit("chunk"))
+    d_rows = (data.join(sizes, ["_g", "_c"])
+              .withColumn("_dc", F.floor(u * F.col("_kd")).cast("int"))
+              .withColumn("_qc", F.explode(F.sequence(F.lit(0), F.col("_kq") - 1)))
+              .select("_g", "_c", "_qc", "_dc", "_id", "_f", F.lit(False).alias("_is_q"), F.lit(True).alias("_is_d")))
+    q_rows = (query.join(sizes, ["_g", "_c"])
+              .withColumn("_qc", F.floor(u * F.col("_kq")).cast("int"))
+              .withColumn("_dc", F.explode(F.sequence(F.lit(0), F.col("_kd") - 1)))
+              .select("_g", "_c", "_qc", "_dc", "_id", "_f", F.lit(True).alias("_is_q"), F.lit(False).alias("_is_d")))
+    return d_rows.unionByName(q_rows)
+
+
+def _top_k(cand: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("qid").orderBy("d2", "nid")
+    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def knn(df: DataFrame, id_col: str, feature_cols: Sequence[str], k: int, group_col: str | None = None,
         block_rows: int = DEFAULT_BLOCK_ROWS, seed: int = _SEED) -> DataFrame:
     """(group, qid, nid, d2, rank) -- the k nearest other rows of every row, rank 1..k.
@@ -149,36 +180,27 @@ def knn(df: DataFrame, id_col: str, feature_cols: Sequence[str], k: int, group_c
     for gk in counts:
         rows = sorted((r for r in piv_rows if r["_g"] == gk), key=lambda r: r["_id"])
         pv = np.array([r["_f"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-        pdist = np.sqrt(sq_dist(pv, pv))
-        pivots[gk] = (np.array([r["_id"] for r in rows], dtype=np.int64), pv, pdist)
-
-    assigned = pts.mapInPandas(_assign(pivots, k), schema=f"_g {gtype.simpleString()}, _id LONG, _f ARRAY<DOUBLE>, "
-                                                         f"_cell INT, _cands ARRAY<INT>")
-    # data rows: own cell; query rows: every candidate cell
-    data = assigned.select("_g", "_id", "_f", F.col("_cell").alias("_c"))
-    query = assigned.select("_g", "_id", "_f", F.explode("_cands").alias("_c"))
-    dsize = data.groupBy("_g", "_c").agg(F.count(F.lit(1)).alias("_nd"))
-    qsize = query.groupBy("_g", "_c").agg(F.count(F.lit(1)).alias("_nq"))
-    sizes = dsize.join(qsize, ["_g", "_c"], "full").select(
-        "_g", "_c",
-        F.greatest(F.lit(1), F.ceil(F.coalesce("_nd", F.lit(0)) / block_rows)).cast("int").alias("_kd"),
-        F.greatest(F.lit(1), F.ceil(F.coalesce("_nq", F.lit(0)) / block_rows)).cast("int").alias("_kq"))
-    # one row per (group, cell): bounded by the number of pivots
-    sizes = F.broadcast(sizes)
-    u = hash_uniform(F.lit(str(seed)), F.col("_id").cast("string"), F.lit("chunk"))
-    d_rows = (data.join(sizes, ["_g", "_c"])
-              .withColumn("_dc", F.floor(u * F.col("_kd")).cast("int"))
-              .withColumn("_qc", F.explode(F.sequence(F.lit(0), F.col("_kq") - 1)))
-              .select("_g", "_c", "_qc", "_dc", "_id", "_f", F.lit(False).alias("_is_q"), F.lit(True).alias("_is_d")))
-    q_rows = (query.join(sizes, ["_g", "_c"])
-              .withColumn("_qc", F.floor(u * F.col("_kq")).cast("int"))
-              .withColumn("_dc", F.explode(F.sequence(F.lit(0), F.col("_kd") - 1)))
-              .select("_g", "_c", "_qc", "_dc", "_id", "_f", F.lit(True).alias("_is_q"), F.lit(False).alias("_is_d")))
-    blocks = d_rows.unionByName(q_rows)
-    cand = blocks.groupBy("_g", "_c", "_qc", "_dc").applyInPandas(
-        _block_topk(k), f"group {gtype.simpleString()}, qid LONG, nid LONG, d2 DOUBLE")
-    w = Window.partitionBy("qid").orderBy("d2", "nid")
-    top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        pivots[gk] = (np.array([r["_id"] for r in rows], dtype=np.int64), pv, np.sqrt(sq_dist(pv, pv)))
+    gs = gtype.simpleString()
+    out_schema = f"group {gs}, qid LONG, nid LONG, d2 DOUBLE"
+
+    # pass A: neighbours inside the own cell -> a tight radius per point
+    own = pts.mapInPandas(_assign(pivots, False), schema=f"_g {gs}, _id LONG, _f ARRAY<DOUBLE>, _cell INT")
+    data = own.select("_g", "_id", "_f", F.col("_cell").alias("_c"))
+    cand_a = _blocks(data, data, block_rows, seed).groupBy("_g", "_c", "_qc", "_dc").applyInPandas(
+        _block_topk(k), out_schema)
+    top_a = _top_k(cand_a, k)
+    radius = top_a.groupBy("qid").agg(F.count(F.lit(1)).alias("_n"), F.max("d2").alias("_d2"))
+    radius = radius.select(F.col("qid").alias("_id"),
+                           F.when(F.col("_n") >= k, F.sqrt("_d2")).otherwise(F.lit(float("inf"))).alias("_r"))
+    # pass B: only the other cells that can hold a point within that radius
+    with_r = pts.join(radius, "_id", "left").fillna(float("inf"), subset=["_r"])
+    other = with_r.mapInPandas(_assign(pivots, True),
+                               schema=f"_g {gs}, _id LONG, _f ARRAY<DOUBLE>, _cell INT, _cands ARRAY<INT>")
+    query_b = other.select("_g", "_id", "_f", F.explode("_cands").alias("_c"))
+    cand_b = _blocks(data, query_b, block_rows, seed).groupBy("_g", "_c", "_qc", "_dc").applyInPandas(
+        _block_topk(k), out_schema)
+    top = _top_k(top_a.select("group", "qid", "nid", "d2").unionByName(cand_b), k)
     return top.select("group", "qid", "nid", "d2", "rank")
 
 
