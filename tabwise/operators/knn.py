@@ -47,25 +47,19 @@ def sq_dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bounded_k_smallest(d2: np.ndarray, ids: np.ndarray, k: int):
-    """Per row of ``d2`` the k smallest by (distance, id); returns (index matrix, count per row)."""
+def _bounded_k_smallest(d2: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of ``d2`` the k smallest finite entries by (distance, id): (row index, column index) pairs."""
     n_rows, n_cols = d2.shape
     kk = min(k, n_cols)
-    out = np.empty((n_rows, kk), dtype=np.int64)
-    for r in range(n_rows):
-        row = d2[r]
-        if n_cols > kk:
-            part = np.argpartition(row, kk - 1)[:kk]
-            t = row[part].max()
-            cand = np.nonzero(row <= t)[0]
-        else:
-            cand = np.arange(n_cols)
-        cand = cand[np.isfinite(row[cand])]
-        order = cand[np.lexsort((ids[cand], row[cand]))][:kk]
-        out[r, :len(order)] = order
-        if len(order) < kk:
-            out[r, len(order):] = -1
-    return out
+    if kk == 0 or n_rows == 0:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
+    r, c = np.nonzero((d2 <= kth[:, None]) & np.isfinite(d2))  # ties at the k-th distance included
+    order = np.lexsort((ids[c], d2[r, c], r))
+    r, c = r[order], c[order]
+    pos = np.arange(len(r)) - np.searchsorted(r, np.arange(n_rows))[r]
+    keep = pos < kk
+    return r[keep], c[keep]
 
 
 def _block_topk(k: int):
@@ -81,11 +75,7 @@ def _block_topk(k: int):
         xid = x["_id"].to_numpy(dtype=np.int64)
         d2 = sq_dist(qf, xf)
         d2[qid[:, None] == xid[None, :]] = np.inf  # a point is not its own neighbour
-        idx = _bounded_k_smallest(d2, xid, k)
-        rows_q = np.repeat(np.arange(len(qid)), idx.shape[1])
-        flat = idx.reshape(-1)
-        keep = flat >= 0
-        rows_q, flat = rows_q[keep], flat[keep]
+        rows_q, flat = _bounded_k_smallest(d2, xid, k)
         return pd.DataFrame({"group": pdf["_g"].iloc[0], "qid": qid[rows_q], "nid": xid[flat],
                              "d2": d2[rows_q, flat]})
     return fn
@@ -122,8 +112,10 @@ def _assign(pivots: dict, with_candidates: bool):
                     bound[sep == 0] = 0.0
                     ok = bound <= rad[:, None] * (1 + 1e-9) + 1e-12
                     ok[np.arange(len(idx)), own] = False
+                    rr, cc = np.nonzero(ok)
+                    parts = np.split(cc.astype(np.int32), np.cumsum(np.bincount(rr, minlength=len(idx)))[:-1])
                     for j, r in enumerate(idx):
-                        cands[r] = np.nonzero(ok[j])[0].astype(np.int32).tolist()
+                        cands[r] = parts[j]
             out = pdf[["_g", "_id", "_f"]].assign(_cell=cells)
             if with_candidates:
                 out = out.assign(_cands=cands)
