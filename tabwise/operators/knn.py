@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hash_uniform
+from ..session import cut_lineage
 from .ranking import rank_within
 
 DEFAULT_BLOCK_ROWS = 2048
@@ -158,8 +159,9 @@ def knn(df: DataFrame, id_col: str, feature_cols: Sequence[str], k: int, group_c
     """
     spark = df.sparkSession
     g = F.col(group_col) if group_col else F.lit(0)
-    pts = df.select(g.alias("_g"), F.col(id_col).cast("long").alias("_id"),
-                    F.array(*[F.col(c).cast("double") for c in feature_cols]).alias("_f"))
+    # the points are read by every pass below: write them once instead of recomputing the input lineage
+    pts = cut_lineage(df.select(g.alias("_g"), F.col(id_col).cast("long").alias("_id"),
+                                F.array(*[F.col(c).cast("double") for c in feature_cols]).alias("_f")))
     gtype = pts.schema["_g"].dataType
     counts = {r["_g"]: int(r["n"]) for r in pts.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
     want = {gk: min(n, max(k + 1, min(MAX_PIVOTS, math.ceil(n / block_rows)))) for gk, n in counts.items()}

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hash_int, hash_uniform
+from ..session import cut_lineage
 from .knn import DEFAULT_BLOCK_ROWS, knn
 from .ranking import rank_within
 
@@ -62,7 +63,7 @@ def smote(df: DataFrame, id_col: str, label_col: str, feature_cols: Sequence[str
         if need > 0 and n >= 2:
             plan.append((c, n, start, need, min(k, n - 1)))
             start += need
-    base = df.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).alias("_y"), *feats)
+    base = cut_lineage(df.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).alias("_y"), *feats))
     out = base.select(F.col("_id").alias(id_col), F.col("_y").alias(label_col), *feats,
                       F.lit(False).alias("synthetic"))
     if not plan:
@@ -108,5 +109,5 @@ def smote_enn(df: DataFrame, id_col: str, label_col: str, feature_cols: Sequence
               block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """SMOTE then ENN (fit-time only; never applied when scoring)."""
     check_no_nulls(df, [*feature_cols, label_col])
-    over = smote(df, id_col, label_col, feature_cols, seed=seed, block_rows=block_rows)
+    over = cut_lineage(smote(df, id_col, label_col, feature_cols, seed=seed, block_rows=block_rows))
     return enn(over, id_col, label_col, feature_cols, seed=seed, block_rows=block_rows)

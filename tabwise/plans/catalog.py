@@ -624,9 +624,41 @@ def q_knn_neighbors(spark, d):
     return r6(out.select(F.col("group").alias("label"), "qid", "nid", "d2", F.col("rank").cast("long")))
 
 
-@register("smote_oversample")
+_HEX = "CAST(CAST(('0x' || substr(h, {a}, 8)) AS BIGINT) AS DOUBLE)"
+
+
+@register("smote_oversample", _with(fx.ORDERS_POINTS_SQL) + """
+, c AS (SELECT o_orderstatus, count(*) AS n FROM pts GROUP BY 1),
+mx AS (SELECT max(n) AS m FROM c),
+plan AS (SELECT o_orderstatus, n, m - n AS need, least(5, n - 1) AS kc,
+                coalesce(sum(m - n) OVER (ORDER BY o_orderstatus ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                  AS start
+         FROM c, mx WHERE m - n > 0 AND n >= 2),
+hs AS (SELECT o_orderstatus, n, kc, start + i AS g,
+              md5(concat_ws('|', '42', o_orderstatus, CAST(i AS VARCHAR))) AS h
+       FROM (SELECT *, unnest(range(need)) AS i FROM plan)),
+ch AS (SELECT o_orderstatus, g,
+              CAST(""" + _HEX.format(a=1) + """ AS BIGINT) % n + 1 AS brn,
+              CAST(""" + _HEX.format(a=9) + """ AS BIGINT) % kc + 1 AS nrank,
+              """ + _HEX.format(a=17) + """ / CAST(4294967296 AS DOUBLE) AS u
+       FROM hs),
+mino AS (SELECT * FROM pts WHERE o_orderstatus IN (SELECT o_orderstatus FROM plan)),
+num AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS brn FROM mino),
+nn AS (SELECT * FROM (
+         SELECT a.o_orderkey AS qid, b.o_orderkey AS nid,
+                row_number() OVER (PARTITION BY a.o_orderkey ORDER BY
+                    (a.f1 - b.f1) * (a.f1 - b.f1) + (a.f2 - b.f2) * (a.f2 - b.f2), b.o_orderkey) AS nrank
+         FROM mino a JOIN mino b ON a.o_orderstatus = b.o_orderstatus AND a.o_orderkey <> b.o_orderkey)
+       WHERE nrank <= 5)
+SELECT o_orderkey, o_orderstatus, f1, f2, false AS synthetic FROM pts
+UNION ALL
+SELECT -1 - ch.g, ch.o_orderstatus, b.f1 + ch.u * (x.f1 - b.f1), b.f2 + ch.u * (x.f2 - b.f2), true
+FROM ch JOIN num b ON b.o_orderstatus = ch.o_orderstatus AND b.brn = ch.brn
+JOIN nn ON nn.qid = b.o_orderkey AND nn.nrank = ch.nrank
+JOIN pts x ON x.o_orderkey = nn.nid""")
 def q_smote_oversample(spark, d):
     from ..operators.resample import smote
+    # no rounding: both engines compute the same IEEE doubles here, and rounding would create ties
     return smote(fx.orders_points(spark, d), "o_orderkey", "o_orderstatus", ["f1", "f2"])
 
 

@@ -8,13 +8,13 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .readers import CACHE_SCHEMA
+from .readers import CACHE_SCHEMA, nan_to_null
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K1: format chosen by suffix; the path is a directory of part files."""
+    """K1: format chosen by suffix; the path is a directory of part files. NaN is written as missing."""
     p = path.rstrip("/").lower()
-    w = df.write.mode(mode)
+    w = nan_to_null(df).write.mode(mode)
     if p.endswith(".csv"):
         w.option("header", True).csv(path)
     elif p.endswith(".json"):
