@@ -757,3 +757,19 @@ def q_score_batch(spark, d):
     built = learn.build_model(train, "y", fx.LEARN_FEATURES, model_type="xgb", model_params=_SMALL_XGB,
                               imputer_strategy="median", exclude=["o_orderkey"])
     return learn.score(built, data.drop("y"), keep=["o_orderkey"])
+
+
+# ======================================================================================
+# Sources and sinks (S1, K1): CSV round trip through the shared folder
+# ======================================================================================
+@register("read_csv_profile", ORACLES["eda_missing"])
+def q_read_csv_profile(spark, d):
+    """K1 writes the table as CSV (a written table in the shared checkpoint folder),
+    S1 reads it back with a header and inferred types, then A1 profiles it."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..sources import read_table, write_table
+    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}/orders_n.csv"
+    write_table(fx.orders_nulls(spark, d), path)
+    return profile.missing_counts(read_table(spark, path))
