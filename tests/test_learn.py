@@ -91,3 +91,15 @@ def test_mode_ties_smallest(spark):
     df = spark.createDataFrame([(1.0,), (1.0,), (3.0,), (3.0,), (None,)], "x DOUBLE")
     m = fit_prep(df, PrepSpec(["x"], [], "most_frequent"))
     assert m.impute_values["x"] == 1.0
+
+
+def test_unencoded_category_refused(spark):
+    df = _synthetic(spark, 20).withColumn("cat", F.lit("x"))
+    with pytest.raises(ValueError, match="cat"):
+        learn.build_model(df, "label", ["num1"], model_type="xgb", exclude=["id"])
+
+
+def test_checkpoint_dir_comes_from_session(spark):
+    from tabwise.session import checkpoint_dir
+    d = checkpoint_dir(spark)
+    assert d and spark.sparkContext.getCheckpointDir() == d
