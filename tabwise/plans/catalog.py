@@ -662,7 +662,14 @@ def q_smote_oversample(spark, d):
     return smote(fx.orders_points(spark, d), "o_orderkey", "o_orderstatus", ["f1", "f2"])
 
 
-@register("enn_clean")
+@register("enn_clean", _with(fx.ORDERS_POINTS_SQL) + """
+, nn AS (SELECT a.o_orderkey AS qid,
+                arg_min(b.o_orderstatus,
+                        struct_pack(d := (a.f1 - b.f1) * (a.f1 - b.f1) + (a.f2 - b.f2) * (a.f2 - b.f2),
+                                    n := b.o_orderkey), 3) AS labs
+         FROM pts a JOIN pts b ON a.o_orderkey <> b.o_orderkey GROUP BY a.o_orderkey)
+SELECT p.o_orderkey, p.o_orderstatus, p.f1, p.f2 FROM pts p JOIN nn ON nn.qid = p.o_orderkey
+WHERE list_bool_and(list_transform(labs, lambda l: l = p.o_orderstatus))""")
 def q_enn_clean(spark, d):
     from ..operators.resample import enn
     return enn(fx.orders_points(spark, d), "o_orderkey", "o_orderstatus", ["f1", "f2"])
