@@ -60,3 +60,27 @@ def append_cache(new_entries: DataFrame, path: str) -> None:
     so the table stays one row per key.
     """
     new_entries.select(*[F.col(c.split()[0]) for c in CACHE_SCHEMA.split(",")]).write.mode("append").parquet(path)
+
+
+def write_report_text(report: DataFrame, path: str) -> None:
+    """K7 as text: 'Accuracy: %.4f', a blank line, then one aligned line per report row.
+
+    The report has one row per class plus three summary rows (a bounded
+    table); it is formatted by Spark and written as a single text file.
+    """
+    kind = (F.when(F.col("label") == "accuracy", 1)
+            .when(F.col("label").isin("macro avg", "weighted avg"), 2).otherwise(0))
+    acc = report.where(F.col("label") == "accuracy").select(
+        F.lit(0).alias("_o"), F.lit("").alias("_l"), F.format_string("Accuracy: %.4f", F.col("f1")).alias("value"))
+    header = report.sparkSession.createDataFrame(
+        [(1, "", ""), (2, "", "Classification Report:"),
+         (3, "", "%12s %9s %9s %9s %9s" % ("", "precision", "recall", "f1-score", "support"))],
+        "_o INT, _l STRING, value STRING")
+    body = report.select(
+        (F.lit(4) + kind).alias("_o"), F.col("label").alias("_l"),
+        F.when(kind == 1, F.format_string("%12s %9s %9s %9.2f %9d", F.col("label"), F.lit(""), F.lit(""),
+                                          F.col("f1"), F.col("support")))
+        .otherwise(F.format_string("%12s %9.2f %9.2f %9.2f %9d", F.col("label"), F.col("precision"),
+                                   F.col("recall"), F.col("f1"), F.col("support"))).alias("value"))
+    lines = acc.unionByName(header).unionByName(body).orderBy("_o", "_l").coalesce(1)
+    lines.select("value").write.mode("overwrite").text(path)

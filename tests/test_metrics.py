@@ -50,3 +50,13 @@ def test_fold_table_and_evaluator(spark):
     assert ev.evaluate(df) == pytest.approx(metrics.macro_f1(df).collect()[0].macro_f1)
     s = metrics.fold_accuracy_summary(df).collect()[0]
     assert s.mean_accuracy == pytest.approx((2 / 3 + 1 / 3) / 2)
+
+
+def test_report_text_file(spark, tmp_path):
+    from tabwise.sources import write_report_text
+    df = spark.createDataFrame([(0, 0), (0, 0), (0, 1), (1, 1)], "label INT, prediction INT")
+    write_report_text(metrics.report(df), str(tmp_path / "r.txt"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "r.txt").glob("part-*")))
+    lines = text.splitlines()
+    assert lines[0] == "Accuracy: 0.7500" and lines[1] == "" and lines[2] == "Classification Report:"
+    assert "precision" in lines[3] and lines[4].split()[0] == "0" and lines[-1].split()[0] == "weighted"
