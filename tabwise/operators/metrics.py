@@ -115,12 +115,27 @@ def _score_table(df: DataFrame, label_col: str, score_col: str) -> DataFrame:
             .agg(F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg")))
 
 
-def roc_points(df: DataFrame, label_col: str = "label", score_col: str = "score") -> DataFrame:
-    """(threshold, fpr, tpr) for every distinct score, descending, plus the (0, 0) start (threshold NULL)."""
+def roc_points(df: DataFrame, label_col: str = "label", score_col: str = "score",
+               drop_intermediate: bool = False) -> DataFrame:
+    """(threshold, fpr, tpr) for every distinct score, descending, plus the (0, 0) start (threshold NULL).
+
+    ``drop_intermediate`` keeps only the first and last point and the points
+    where the curve changes slope (non-zero second difference of the
+    false / true positive counts). Neighbours are found through the global
+    rank with two equi-joins (rank - 1, rank + 1), never in one task.
+    """
     st = _score_table(df, label_col, score_col)
-    cum = global_cumulative(st, [F.col("score").desc()], {"tps": "pos", "fps": "neg"}, rank_col=None)
-    tot = st.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).collect()[0]  # two numbers
-    n_pos, n_neg = float(tot["P"] or 0), float(tot["N"] or 0)
+    cum = global_cumulative(st, [F.col("score").desc()], {"tps": "pos", "fps": "neg"}, rank_col="_i")
+    tot = st.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("D")).collect()[0]
+    n_pos, n_neg, n_pts = float(tot["P"] or 0), float(tot["N"] or 0), int(tot["D"] or 0)
+    if drop_intermediate and n_pts > 2:
+        cur = cum.select("_i", "score", "tps", "fps")
+        prev = cum.select((F.col("_i") + 1).alias("_i"), F.col("tps").alias("_tp0"), F.col("fps").alias("_fp0"))
+        nxt = cum.select((F.col("_i") - 1).alias("_i"), F.col("tps").alias("_tp2"), F.col("fps").alias("_fp2"))
+        j = cur.join(prev, "_i", "left").join(nxt, "_i", "left")
+        bend = ((F.col("_fp2") - 2 * F.col("fps") + F.col("_fp0")) != 0) | \
+               ((F.col("_tp2") - 2 * F.col("tps") + F.col("_tp0")) != 0)
+        cum = j.where((F.col("_i") == 1) | (F.col("_i") == n_pts) | bend)
     pts = cum.select(
         F.col("score").alias("threshold"),
         F.try_divide(F.col("fps").cast("double"), F.lit(n_neg)).alias("fpr"),

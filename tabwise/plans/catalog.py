@@ -521,6 +521,21 @@ def q_metric_roc_points(spark, d):
     return r6(metrics.roc_points(fx.scored_lineitem(spark, d), "y", "score"))
 
 
+@register("metric_roc_curve", _with(fx.SCORED_LINEITEM_SQL, _SCORES) + """
+, c AS (SELECT score, sum(pos) OVER w AS tps, sum(neg) OVER w AS fps,
+               row_number() OVER (ORDER BY score DESC) AS i FROM st
+        WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+b AS (SELECT *, lag(tps) OVER o AS tp0, lead(tps) OVER o AS tp2, lag(fps) OVER o AS fp0, lead(fps) OVER o AS fp2
+      FROM c WINDOW o AS (ORDER BY i)),
+tot AS (SELECT sum(pos) AS p, sum(neg) AS n, count(*) AS d FROM st)
+SELECT NULL::DOUBLE AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr
+UNION ALL
+SELECT round(score, 6), round(fps / n, 6), round(tps / p, 6) FROM b, tot
+WHERE i = 1 OR i = d OR fp2 - 2 * fps + fp0 <> 0 OR tp2 - 2 * tps + tp0 <> 0""")
+def q_metric_roc_curve(spark, d):
+    return r6(metrics.roc_points(fx.scored_lineitem(spark, d), "y", "score", drop_intermediate=True))
+
+
 @register("metric_auc", _with(fx.SCORED_LINEITEM_SQL, _SCORES) + """
 , c AS (SELECT pos, neg, sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - neg AS below
         FROM st)

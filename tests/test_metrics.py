@@ -60,3 +60,17 @@ def test_report_text_file(spark, tmp_path):
     lines = text.splitlines()
     assert lines[0] == "Accuracy: 0.7500" and lines[1] == "" and lines[2] == "Classification Report:"
     assert "precision" in lines[3] and lines[4].split()[0] == "0" and lines[-1].split()[0] == "weighted"
+
+
+def test_roc_drop_intermediate(spark):
+    import numpy as np
+    rows = [(1, 0.9), (1, 0.85), (0, 0.8), (1, 0.7), (1, 0.6), (0, 0.5), (0, 0.4), (0, 0.3), (1, 0.2)]
+    df = spark.createDataFrame(rows, "y INT, score DOUBLE")
+    full = sorted((r.fpr, r.tpr) for r in metrics.roc_points(df, "y", "score").collect())
+    kept = sorted((r.fpr, r.tpr) for r in metrics.roc_points(df, "y", "score", drop_intermediate=True).collect())
+    # the library rule on the same counts: keep where the second difference is non-zero
+    ys = [y for y, _ in sorted(rows, key=lambda t: -t[1])]
+    tps, fps = np.cumsum(ys), np.cumsum([1 - y for y in ys])
+    keep = np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True]
+    want = sorted([(0.0, 0.0)] + [(f / 4, t / 5) for f, t, k in zip(fps, tps, keep) if k])
+    assert kept == want and len(kept) < len(full)
