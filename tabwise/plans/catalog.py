@@ -795,3 +795,34 @@ def q_read_csv_profile(spark, d):
     path = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}/orders_n.csv"
     write_table(fx.orders_nulls(spark, d), path)
     return profile.missing_counts(read_table(spark, path))
+
+
+@register("fold_accuracy", _with(fx.SCORED_LINEITEM_SQL) + """
+SELECT fold, round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM scored GROUP BY fold""")
+def q_fold_accuracy(spark, d):
+    return r6(metrics.fold_accuracy(fx.scored_lineitem(spark, d)))
+
+
+# ======================================================================================
+# The whole workflow (the reference's end-to-end order) on orders x customer
+# ======================================================================================
+@register("pipeline_report")
+def q_pipeline_report(spark, d):
+    from .pipeline import PipelineConfig, run_pipeline
+    o, c = fx.table(spark, d, "orders"), fx.table(spark, d, "customer")
+    data = o.join(c, o["o_custkey"] == c["c_custkey"]).select(
+        "o_orderkey",
+        F.concat_ws(", ", "c_mktsegment", "o_orderpriority").alias("sources"),
+        (F.col("c_acctbal") / 130.0).alias("latitude"),
+        (F.col("c_nationkey").cast("double") * 1.5).alias("longitude"),
+        "c_mktsegment",
+        F.col("o_totalprice").alias("price"),
+        F.month("o_orderdate").cast("double").alias("month"),
+        F.lit("unused").alias("comment"),
+        F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("y"))
+    cfg = PipelineConfig(label_col="y", id_cols=["o_orderkey"], drop_cols=["comment"], sources_col="sources",
+                         lat_col="latitude", lon_col="longitude", encode_cols=["c_mktsegment", "location"],
+                         tune_trials=(1, 0), cv_splits=2, model_params=_SMALL_XGB,
+                         tune_bounds={"n_estimators": (5, 10), "max_depth": (2, 4), "learning_rate": (0.1, 0.3),
+                                      "min_child_weight": (1, 3)})
+    return run_pipeline(data, cfg, fx.location_cache(spark, d)).report
