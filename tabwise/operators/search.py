@@ -17,7 +17,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hash_uniform
+from ..functions import hash_uniform, int_param
 from ..sources.readers import load_params
 from ..sources.writers import save_params
 from .learn import build_model, check_model_type, score
@@ -41,7 +41,7 @@ def candidates(spark: SparkSession, n: int, bounds: dict, seed: int = 42) -> Dat
     for name, (lo, hi) in sorted(bounds.items()):
         u = hash_uniform(F.lit(str(seed)), F.col("trial").cast("string"), F.lit(name))
         v = F.lit(float(lo)) + u * F.lit(float(hi) - float(lo))
-        df = df.withColumn(name, F.floor(v).cast("long") if name in INT_PARAMS else v)
+        df = df.withColumn(name, int_param(v) if name in INT_PARAMS else v)
     return df
 
 
