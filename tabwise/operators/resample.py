@@ -70,9 +70,14 @@ def smote(df: DataFrame, id_col: str, label_col: str, feature_cols: Sequence[str
         return out
     ltype = df.schema[label_col].dataType.simpleString()
     plan_df = F.broadcast(spark.createDataFrame(plan, f"_y {ltype}, _n LONG, _start LONG, _need LONG, _k INT"))
-    # i in [0, total): class = the plan entry whose [start, start + need) holds i (bounded, broadcast)
+    # i in [0, total): the class owning i is found from the (few, constant) plan entries -- no join
     idx = spark.range(start).withColumnRenamed("id", "_g")
-    idx = idx.join(plan_df, (F.col("_g") >= F.col("_start")) & (F.col("_g") < F.col("_start") + F.col("_need")))
+    pick = {name: None for name in ("_y", "_n", "_start", "_k")}
+    for c, n, st, need, kc in plan:
+        inside = F.col("_g") < F.lit(st + need)
+        for name, v in (("_y", F.lit(c).cast(ltype)), ("_n", F.lit(n)), ("_start", F.lit(st)), ("_k", F.lit(kc))):
+            pick[name] = F.when(inside, v) if pick[name] is None else pick[name].when(inside, v)
+    idx = idx.select("_g", *[e.alias(name) for name, e in pick.items()])
     idx = idx.withColumn("_i", F.col("_g") - F.col("_start"))
     parts = (F.lit(str(seed)), F.col("_y").cast("string"), F.col("_i").cast("string"))
     idx = idx.select(
