@@ -33,8 +33,8 @@ def write_encoded(train: DataFrame, test: DataFrame | None, save_path: str, pref
 
 
 def write_mapping(mapping: DataFrame, save_path: str, prefix: str = "encoder") -> None:
-    """K3: one encoder per column = one ``column=`` partition of the mapping table."""
-    mapping.write.mode("overwrite").partitionBy("column").parquet(f"{save_path}/{prefix}_encoders.parquet")
+    """K3: one encoder per column = one ``column_name=`` partition of the mapping table."""
+    mapping.write.mode("overwrite").partitionBy("column_name").parquet(f"{save_path}/{prefix}_encoders.parquet")
 
 
 def save_model(model, path: str) -> None:
