@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hash_uniform
 from ..session import cut_lineage
-from .ranking import rank_within
+from .ranking import global_cumulative, rank_within
 
 DEFAULT_BLOCK_ROWS = 2048
 MAX_PIVOTS = 4096
@@ -156,12 +156,34 @@ def knn(df: DataFrame, id_col: str, feature_cols: Sequence[str], k: int, group_c
 
     ``group_col`` restricts neighbours to the same group (class). Feature
     values must be non-null. ``id_col`` must be a unique integer id.
+
+    Exact duplicates are handled first: among identical points only the k+1
+    smallest ids can ever be anybody's neighbour (ties go to the smaller id),
+    so only those enter the cell computation; every further copy gets the
+    first k copies at distance 0. A hot duplicate (a third of all rows) thus
+    costs a ranking and a join, not quadratic work.
     """
-    spark = df.sparkSession
     g = F.col(group_col) if group_col else F.lit(0)
     # the points are read by every pass below: write them once instead of recomputing the input lineage
     pts = cut_lineage(df.select(g.alias("_g"), F.col(id_col).cast("long").alias("_id"),
-                                F.array(*[F.col(c).cast("double") for c in feature_cols]).alias("_f")))
+                                F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in feature_cols]).alias("_f")))
+    key = F.concat_ws("|", F.coalesce(F.col("_g").cast("string"), F.lit("\u0000")),
+                      F.array_join(F.transform("_f", lambda x: x.cast("string")), ","))
+    ranked = global_cumulative(pts.withColumn("_key", key), ["_key", "_id"], rank_col="_gr")
+    first = ranked.groupBy("_key").agg(F.min("_gr").alias("_g0"))
+    dup = ranked.join(first, "_key").withColumn("_dup", F.col("_gr") - F.col("_g0") + 1)
+    core = dup.where(F.col("_dup") <= k + 1).select("_g", "_id", "_f")
+    copies = dup.where(F.col("_dup") <= k).select("_key", F.col("_id").alias("nid"), F.col("_dup").alias("rank"))
+    extra = (dup.where(F.col("_dup") > k + 1).select("_key", "_g", F.col("_id").alias("qid"))
+             .join(copies, "_key")
+             .select(F.col("_g").alias("group"), "qid", "nid", F.lit(0.0).alias("d2"), F.col("rank").cast("int")))
+    near = _knn_cells(cut_lineage(core), k, block_rows, seed)
+    return near.unionByName(extra)
+
+
+def _knn_cells(pts: DataFrame, k: int, block_rows: int, seed: int) -> DataFrame:
+    """Exact kNN of (_g, _id, _f) points through pivot cells and bounded blocks."""
+    spark = pts.sparkSession
     gtype = pts.schema["_g"].dataType
     counts = {r["_g"]: int(r["n"]) for r in pts.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
     want = {gk: min(n, max(k + 1, min(MAX_PIVOTS, math.ceil(n / block_rows)))) for gk, n in counts.items()}

@@ -67,3 +67,15 @@ def test_resampler_guards(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "b", 1.0)], "id LONG, g STRING, x DOUBLE")
     with pytest.raises(ValueError):
         smote_enn(df, "id", "g", ["x"])
+
+
+def test_knn_hot_duplicate_third_of_rows(spark):
+    rows = [(i, "a", 1.0, 1.0) for i in range(60)]  # one point holds a third of all rows
+    rows += [(100 + i, "a" if i % 2 else "b", float(i % 13) / 3, float(i % 7) / 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "id LONG, g STRING, x DOUBLE, z DOUBLE")
+    got = {}
+    for r in knn(df, "id", ["x", "z"], 5, "g", block_rows=8).collect():
+        got.setdefault(r.qid, []).append((r.rank, r.nid, r.d2))
+    want = brute_force_knn([(g, i, [x, z]) for i, g, x, z in rows], 5)
+    assert {q: [n for _, n, _ in sorted(v)] for q, v in got.items()} == want
+    assert sorted(got[59]) == [(1, 0, 0.0), (2, 1, 0.0), (3, 2, 0.0), (4, 3, 0.0), (5, 4, 0.0)]
