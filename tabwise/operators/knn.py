@@ -169,10 +169,16 @@ def knn(df: DataFrame, id_col: str, feature_cols: Sequence[str], k: int, group_c
                                 F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in feature_cols]).alias("_f")))
     key = F.concat_ws("|", F.coalesce(F.col("_g").cast("string"), F.lit("\u0000")),
                       F.array_join(F.transform("_f", lambda x: x.cast("string")), ","))
-    ranked = global_cumulative(pts.withColumn("_key", key), ["_key", "_id"], rank_col="_gr")
+    keyed = pts.withColumn("_key", key)
+    # points repeated more than k+1 times (partial aggregation: a hot point is one row per task)
+    hot = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > k + 1).select("_key")
+    if hot.isEmpty():
+        return _knn_cells(pts, k, block_rows, seed)
+    rest = keyed.join(hot, "_key", "left_anti").select("_g", "_id", "_f")
+    ranked = global_cumulative(keyed.join(hot, "_key", "left_semi"), ["_key", "_id"], rank_col="_gr")
     first = ranked.groupBy("_key").agg(F.min("_gr").alias("_g0"))
     dup = ranked.join(first, "_key").withColumn("_dup", F.col("_gr") - F.col("_g0") + 1)
-    core = dup.where(F.col("_dup") <= k + 1).select("_g", "_id", "_f")
+    core = rest.unionByName(dup.where(F.col("_dup") <= k + 1).select("_g", "_id", "_f"))
     copies = dup.where(F.col("_dup") <= k).select("_key", F.col("_id").alias("nid"), F.col("_dup").alias("rank"))
     extra = (dup.where(F.col("_dup") > k + 1).select("_key", "_g", F.col("_id").alias("qid"))
              .join(copies, "_key")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hash_uniform, int_param
 from ..sources.readers import load_params
+from ..session import cut_lineage
 from ..sources.writers import save_params
 from .learn import build_model, check_model_type, score
 from .metrics import fold_f1_table, macro_f1
@@ -71,7 +72,8 @@ def cross_validate(df: DataFrame, label_col: str, id_cols: Sequence[str], numeri
     id_col = id_cols[0] if resampler_type else None
     fit_kwargs = {"model_type": algo, "spec": spec, "resample_type": resampler_type, "seed": seed,
                   "exclude": list(id_cols)}
-    preds = _fold_predictions(folds, label_col, id_col, cv_splits, fit_kwargs, params)
+    preds = cut_lineage(_fold_predictions(folds, label_col, id_col, cv_splits, fit_kwargs, params))
+    folds.unpersist()
     table = fold_f1_table(preds, label_col, "prediction", "fold", class_names)
     return table.withColumn("fold", F.col("fold") + 1)
 
