@@ -26,7 +26,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.driver.memory", os.environ.get("TABWISE_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", os.environ.get("TABWISE_DRIVER_MEMORY", "12g"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
