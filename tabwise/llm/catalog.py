@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tabwise.llm import quality_rules, url_filters
+from tabwise.llm import quality_rules, token_binary, url_filters
 
 QUERIES = {
+    "op1_token_binary": token_binary.op1_token_binary,
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
