@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwise.llm import quality_rules
+from tabwise.llm import packing, quality_rules, simhash_dedup
 from tabwise.llm.common import materialize, table
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
+    ("simhash_dedup", simhash_dedup.stage),
+    ("best_fit_packing", packing.stage),
 ]
 
 #: Tokenizer ids and component search cannot be expressed in SQL; tests/llm holds a brute-force version.

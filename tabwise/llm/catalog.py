@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tabwise.llm import quality_rules, token_binary, url_filters
+from tabwise.llm import packing, quality_rules, simhash_dedup, token_binary, url_filters
 
 QUERIES = {
     "op1_token_binary": token_binary.op1_token_binary,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
