@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from tabwise.llm import packing, quality_rules, simhash_dedup, token_binary, url_filters
+from tabwise.llm import packing, quality_rules, simhash_dedup, substring_dedup, token_binary, topk_search, url_filters, warc_zip
 
 QUERIES = {
     "op1_token_binary": token_binary.op1_token_binary,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_topk_search": topk_search.op5_topk_search,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
+    "op7_warc_zip": warc_zip.op7_warc_zip,
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
 ORACLES = {
+    "op2_substring_dedup": substring_dedup.SQL,
+    "op5_topk_search": topk_search.SQL,
+    "op7_warc_zip": warc_zip.SQL,
     "op8_url_filters": url_filters.SQL,
     "op9_quality_rules": quality_rules.SQL,
 }
