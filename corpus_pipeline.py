@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwise.llm import packing, quality_rules, simhash_dedup
+from tabwise.llm import packing, quality_rules, simhash_dedup, source_mixing, substring_dedup
 from tabwise.llm.common import materialize, table
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
     ("simhash_dedup", simhash_dedup.stage),
+    ("substring_dedup", substring_dedup.stage),
+    ("source_mixing", source_mixing.stage),
     ("best_fit_packing", packing.stage),
 ]
 

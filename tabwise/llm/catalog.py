@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabwise.llm import packing, quality_rules, simhash_dedup, substring_dedup, token_binary, topk_search, url_filters, warc_zip
+from tabwise.llm import packing, quality_rules, simhash_dedup, source_mixing, substring_dedup, token_binary, topk_search, url_filters, warc_zip
 
 QUERIES = {
     "op1_token_binary": token_binary.op1_token_binary,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_warc_zip": warc_zip.op7_warc_zip,
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_source_mixing": source_mixing.op10_source_mixing,
 }
 
 ORACLES = {
@@ -21,4 +22,5 @@ ORACLES = {
     "op7_warc_zip": warc_zip.SQL,
     "op8_url_filters": url_filters.SQL,
     "op9_quality_rules": quality_rules.SQL,
+    "op10_source_mixing": source_mixing.SQL,
 }
