@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tabwise.llm import packing, quality_rules, simhash_dedup, source_mixing, substring_dedup, token_binary, topk_search, url_filters, warc_zip
+from tabwise.llm import lm_scoring, packing, quality_rules, simhash_dedup, source_mixing, substring_dedup, token_binary, topk_search, url_filters, warc_zip
 
 QUERIES = {
     "op1_token_binary": token_binary.op1_token_binary,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_lm_scoring": lm_scoring.op3_lm_scoring,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_topk_search": topk_search.op5_topk_search,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
