@@ -36,6 +36,8 @@ from .ranking import global_cumulative, rank_within
 
 DEFAULT_BLOCK_ROWS = 2048
 MAX_PIVOTS = 4096
+# Shares that the rows of one hot point are joined in.
+SALTS = 32
 _SEED = 42
 
 
@@ -96,7 +98,7 @@ def _assign(pivots: dict, with_candidates: bool):
             cands = [[] for _ in range(n)]
             for g, gidx in pdf.groupby("_g", sort=False, dropna=False).indices.items():
                 key = None if (isinstance(g, float) and math.isnan(g)) else g
-                _, pv, pdist = pivots[key]
+                pv, pdist = pivots[key]
                 for start in range(0, len(gidx), 1024):
                     idx = gidx[start:start + 1024]
                     f = np.stack(pdf["_f"].to_numpy()[idx]).astype(np.float64)
@@ -129,16 +131,19 @@ def _blocks(data: DataFrame, query: DataFrame, block_rows: int, seed: int) -> Da
     dsize = data.groupBy("_g", "_c").agg(F.count(F.lit(1)).alias("_nd"))
     qsize = query.groupBy("_g", "_c").agg(F.count(F.lit(1)).alias("_nq"))
     # one row per (group, cell) that has queries: bounded by the number of pivots
-    sizes = F.broadcast(dsize.join(qsize, ["_g", "_c"]).select(
-        "_g", "_c",
+    same = dsize["_g"].eqNullSafe(qsize["_g"]) & (dsize["_c"] == qsize["_c"])
+    sizes = F.broadcast(dsize.join(qsize, same).select(
+        dsize["_g"].alias("_sg"), dsize["_c"].alias("_sc"),
         F.greatest(F.lit(1), F.ceil(F.col("_nd") / block_rows)).cast("int").alias("_kd"),
         F.greatest(F.lit(1), F.ceil(F.col("_nq") / block_rows)).cast("int").alias("_kq")))
+    # null-safe: a NULL group is a group like any other
+    in_cell = F.col("_g").eqNullSafe(F.col("_sg")) & (F.col("_c") == F.col("_sc"))
     u = hash_uniform(F.lit(str(seed)), F.col("_id").cast("string"), F.lit("chunk"))
-    d_rows = (data.join(sizes, ["_g", "_c"])
+    d_rows = (data.join(sizes, in_cell)
               .withColumn("_dc", F.floor(u * F.col("_kd")).cast("int"))
               .withColumn("_qc", F.explode(F.sequence(F.lit(0), F.col("_kq") - 1)))
               .select("_g", "_c", "_qc", "_dc", "_id", "_f", F.lit(False).alias("_is_q"), F.lit(True).alias("_is_d")))
-    q_rows = (query.join(sizes, ["_g", "_c"])
+    q_rows = (query.join(sizes, in_cell)
               .withColumn("_qc", F.floor(u * F.col("_kq")).cast("int"))
               .withColumn("_dc", F.explode(F.sequence(F.lit(0), F.col("_kd") - 1)))
               .select("_g", "_c", "_qc", "_dc", "_id", "_f", F.lit(True).alias("_is_q"), F.lit(False).alias("_is_d")))
@@ -176,12 +181,17 @@ def knn(df: DataFrame, id_col: str, feature_cols: Sequence[str], k: int, group_c
         return _knn_cells(pts, k, block_rows, seed)
     rest = keyed.join(hot, "_key", "left_anti").select("_g", "_id", "_f")
     ranked = global_cumulative(keyed.join(hot, "_key", "left_semi"), ["_key", "_id"], rank_col="_gr")
-    first = ranked.groupBy("_key").agg(F.min("_gr").alias("_g0"))
-    dup = ranked.join(first, "_key").withColumn("_dup", F.col("_gr") - F.col("_g0") + 1)
+    # ``first`` and ``copies`` hold at most k rows of a point; they are repeated for every salt, so that
+    # the rows of one hot point are joined in SALTS tasks.
+    salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    ranked = ranked.withColumn("_salt", salt)
+    first = ranked.groupBy("_key").agg(F.min("_gr").alias("_g0")).select("_key", "_g0", salts)
+    dup = ranked.join(first, ["_key", "_salt"]).withColumn("_dup", F.col("_gr") - F.col("_g0") + 1)
     core = rest.unionByName(dup.where(F.col("_dup") <= k + 1).select("_g", "_id", "_f"))
-    copies = dup.where(F.col("_dup") <= k).select("_key", F.col("_id").alias("nid"), F.col("_dup").alias("rank"))
-    extra = (dup.where(F.col("_dup") > k + 1).select("_key", "_g", F.col("_id").alias("qid"))
-             .join(copies, "_key")
+    copies = dup.where(F.col("_dup") <= k).select("_key", F.col("_id").alias("nid"), F.col("_dup").alias("rank"), salts)
+    extra = (dup.where(F.col("_dup") > k + 1).select("_key", "_salt", "_g", F.col("_id").alias("qid"))
+             .join(copies, ["_key", "_salt"])
              .select(F.col("_g").alias("group"), "qid", "nid", F.lit(0.0).alias("d2"), F.col("rank").cast("int")))
     near = _knn_cells(cut_lineage(core), k, block_rows, seed)
     return near.unionByName(extra)
@@ -202,12 +212,12 @@ def _knn_cells(pts: DataFrame, k: int, block_rows: int, seed: int) -> DataFrame:
     for gk in counts:
         rows = sorted((r for r in piv_rows if r["_g"] == gk), key=lambda r: r["_id"])
         pv = np.array([r["_f"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-        pivots[gk] = (np.array([r["_id"] for r in rows], dtype=np.int64), pv, np.sqrt(sq_dist(pv, pv)))
+        pivots[gk] = pv
     gs = gtype.simpleString()
     out_schema = f"group {gs}, qid LONG, nid LONG, d2 DOUBLE"
 
     # pass A: neighbours inside the own cell -> a tight radius per point
-    own = pts.mapInPandas(_assign(pivots, False), schema=f"_g {gs}, _id LONG, _f ARRAY<DOUBLE>, _cell INT")
+    own = pts.mapInPandas(_assign({gk: (pv, None) for gk, pv in pivots.items()}, False), schema=f"_g {gs}, _id LONG, _f ARRAY<DOUBLE>, _cell INT")
     data = own.select("_g", "_id", "_f", F.col("_cell").alias("_c"))
     cand_a = _blocks(data, data, block_rows, seed).groupBy("_g", "_c", "_qc", "_dc").applyInPandas(
         _block_topk(k), out_schema)
@@ -217,27 +227,11 @@ def _knn_cells(pts: DataFrame, k: int, block_rows: int, seed: int) -> DataFrame:
                            F.when(F.col("_n") >= k, F.sqrt("_d2")).otherwise(F.lit(float("inf"))).alias("_r"))
     # pass B: only the other cells that can hold a point within that radius
     with_r = pts.join(radius, "_id", "left").fillna(float("inf"), subset=["_r"])
-    other = with_r.mapInPandas(_assign(pivots, True),
+    apart = {gk: (pv, np.sqrt(sq_dist(pv, pv))) for gk, pv in pivots.items()}
+    other = with_r.mapInPandas(_assign(apart, True),
                                schema=f"_g {gs}, _id LONG, _f ARRAY<DOUBLE>, _cell INT, _cands ARRAY<INT>")
     query_b = other.select("_g", "_id", "_f", F.explode("_cands").alias("_c"))
     cand_b = _blocks(data, query_b, block_rows, seed).groupBy("_g", "_c", "_qc", "_dc").applyInPandas(
         _block_topk(k), out_schema)
     top = _top_k(top_a.select("group", "qid", "nid", "d2").unionByName(cand_b), k)
     return top.select("group", "qid", "nid", "d2", "rank")
-
-
-def brute_force_knn(rows: list[tuple], k: int) -> dict[int, list[int]]:
-    """Reference answer for tests: rows = (group, id, features); {id: [neighbour ids]}."""
-    out = {}
-    by_g: dict = {}
-    for g, i, f in rows:
-        by_g.setdefault(g, []).append((i, np.asarray(f, dtype=np.float64)))
-    for g, items in by_g.items():
-        ids = np.array([i for i, _ in items])
-        fs = np.stack([f for _, f in items])
-        for i, f in items:
-            d2 = sq_dist(f[None, :], fs)[0]
-            d2[ids == i] = np.inf
-            order = np.lexsort((ids, d2))
-            out[i] = [int(ids[j]) for j in order[:k] if np.isfinite(d2[j])]
-    return out

@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import LOCATION_FIELDS, UNKNOWN_LOCATION, first_non_empty, geo_key
-from .ranking import global_cumulative
+from ..session import cut_lineage
+from ..sources.readers import one_per_key
 
 KEYS = ["lat_key", "lon_key"]
+# Ids of a lookup budget up to this many are broadcast; a larger budget is joined by shuffle.
+BROADCAST_IDS = 100_000
 
 
 def with_geo_key(df: DataFrame, lat_col: str = "latitude", lon_col: str = "longitude") -> DataFrame:
@@ -26,12 +29,27 @@ def with_geo_key(df: DataFrame, lat_col: str = "latitude", lon_col: str = "longi
     return df.withColumn("lat_key", geo_key(lat_col)).withColumn("lon_key", geo_key(lon_col))
 
 
+def _join_cache(keyed: DataFrame, cache: DataFrame, out_col: str) -> DataFrame:
+    """``keyed`` (with the key pair) and the cache's name in ``out_col``, NULL for a miss or a missing coordinate.
+
+    Rows without coordinates (often many) match nothing and stay out of the
+    join, so they cannot meet in one task. A popular coordinate can: the distinct
+    keys of the rows are few for it, so the cache is first reduced to one row per
+    key and to the keys that occur, which the planner can often broadcast; in a
+    shuffle join AQE splits the skewed key.
+    """
+    known = F.col("lat_key").isNotNull() & F.col("lon_key").isNotNull()
+    c = one_per_key(cache.select(*KEYS, "location")).withColumnRenamed("location", out_col)
+    hits = keyed.where(known).join(c, KEYS, "left").select(*keyed.columns, out_col)
+    rest = keyed.where(~known).withColumn(out_col, F.lit(None).cast("string"))
+    return hits.unionByName(rest)
+
+
 def lookup(df: DataFrame, cache: DataFrame, lat_col: str = "latitude", lon_col: str = "longitude",
            out_col: str = "cached_location") -> DataFrame:
     """Left join to the cache on the rounded key; hit -> cached name, miss -> NULL."""
-    keyed = with_geo_key(df, lat_col, lon_col)
-    c = cache.select(*KEYS, F.col("location").alias(out_col))
-    return keyed.join(c, KEYS, "left")
+    found = _join_cache(with_geo_key(df, lat_col, lon_col), cache, out_col)
+    return found.select(*KEYS, *[c for c in df.columns if c not in KEYS], out_col)
 
 
 def missing_keys(df: DataFrame, cache: DataFrame, lat_col: str = "latitude", lon_col: str = "longitude") -> DataFrame:
@@ -75,18 +93,25 @@ def enrich_location(df: DataFrame, cache: DataFrame, id_cols: Sequence[str] | No
     if responses is not None:
         table = update_cache(table, resolve_responses(responses))
     keyed = with_geo_key(out, lat_col, lon_col)
-    joined = keyed.join(table.withColumnRenamed("location", "_found"), KEYS, "left")
     no_coord = F.col(lat_col).isNull() | F.col(lon_col).isNull()
     found = F.when(no_coord, F.lit(UNKNOWN_LOCATION)).otherwise(F.col("_found"))
     todo = F.col(loc_col).isNull()
     if limit is not None:
         if not id_cols:
             raise ValueError("limit needs id_cols to define row order")
-        pending = joined.where(todo)
-        done = joined.where(~todo).withColumn("_found", F.lit(None).cast("string"))
-        ranked = global_cumulative(pending, list(id_cols), rank_col="_rank")
-        ranked = ranked.withColumn("_found", F.when(F.col("_rank") <= limit, found)).drop("_rank")
-        joined = done.unionByName(ranked)
+        # The budget's rows are a top-``limit`` by id (a bounded heap in every task); only they are looked up.
+        first = out.where(todo).select(*id_cols).orderBy(*id_cols).limit(limit)
+        if limit > BROADCAST_IDS:
+            first = cut_lineage(first)
+        else:
+            first = F.broadcast(first)
+        marked = keyed.join(first.withColumn("_due", F.lit(True)), list(id_cols), "left")
+        due = F.coalesce(F.col("_due"), F.lit(False)) & todo
+        joined = _join_cache(marked.where(due), table, "_found")
+        joined = joined.withColumn("_found", found).unionByName(
+            marked.where(~due).withColumn("_found", F.lit(None).cast("string")))
         found = F.col("_found")
+    else:
+        joined = _join_cache(keyed, table, "_found")
     result = joined.withColumn(loc_col, F.coalesce(F.col(loc_col), F.when(todo, found)))
     return result.drop("_found", *KEYS).select(*out.columns)

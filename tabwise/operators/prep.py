@@ -8,6 +8,9 @@ stays in whole-stage codegen.
 
 from __future__ import annotations
 
+import base64
+import datetime
+import decimal
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -16,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.readers import quoted
 from .quantiles import quantile_map
 
 IMPUTERS = ("median", "mean", "most_frequent")
@@ -23,10 +27,21 @@ SCALERS = ("robust",)
 
 
 def _lit_sql(v) -> str:
+    """A constant as SQL text; strings go through base64, so no character of theirs is ever parsed."""
     if v is None:
         return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
     if isinstance(v, str):
-        return "'" + v.replace("'", "''") + "'"
+        return f"CAST(unbase64('{base64.b64encode(v.encode()).decode()}') AS STRING)"
+    if isinstance(v, int):
+        return f"CAST('{v}' AS BIGINT)"
+    if isinstance(v, datetime.datetime):
+        return f"CAST('{v.isoformat(sep=' ')}' AS TIMESTAMP_NTZ)"
+    if isinstance(v, datetime.date):
+        return f"CAST('{v.isoformat()}' AS DATE)"
+    if isinstance(v, decimal.Decimal):
+        return f"CAST('{v}' AS DECIMAL({max(len(v.as_tuple().digits), -v.as_tuple().exponent, 1)}, {max(0, -v.as_tuple().exponent)}))"
     return f"CAST('{float(v)!r}' AS DOUBLE)"
 
 
@@ -36,7 +51,7 @@ def column_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None
 
 
 def column_means(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
-    row = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).collect()[0]
+    row = df.agg(*[F.avg(quoted(c).cast("double")).alias(c) for c in cols]).collect()[0]
     return {c: row[c] for c in cols}
 
 
@@ -48,13 +63,11 @@ def column_modes(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
     """
     out: dict[str, object] = {}
     groups: dict[str, list[str]] = {}
-    for c in cols:
-        t = df.schema[c].dataType
-        kind = "string" if isinstance(t, T.StringType) else "double"
-        groups.setdefault(kind, []).append(c)
-    for kind, cs in groups.items():
+    for c in cols:  # every column keeps its own type: no value is rounded or parsed again
+        groups.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    for cs in groups.values():
         long = df.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column_name"), F.col(c).cast(kind).alias("v")) for c in cs])).alias("_s")).select(
+            F.struct(F.lit(c).alias("column_name"), quoted(c).alias("v")) for c in cs])).alias("_s")).select(
             "_s.*").where(F.col("v").isNotNull())
         counts = long.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
         best = counts.groupBy("column_name").agg(
@@ -66,8 +79,8 @@ def column_modes(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
 
 
 def impute(df: DataFrame, constants: dict[str, object]) -> DataFrame:
-    return df.select(*[F.coalesce(F.col(c), F.lit(constants[c])).alias(c) if constants.get(c) is not None
-                       else F.col(c) for c in df.columns])
+    return df.select(*[F.coalesce(quoted(c), F.lit(constants[c])).alias(c) if constants.get(c) is not None
+                       else quoted(c) for c in df.columns])
 
 
 def robust_constants(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float | None, float]]:
@@ -83,8 +96,8 @@ def robust_constants(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[floa
 
 def robust_scale(df: DataFrame, cols: Sequence[str], constants: dict | None = None) -> DataFrame:
     constants = constants or robust_constants(df, cols)
-    return df.select(*[((F.col(c).cast("double") - F.lit(constants[c][0])) / F.lit(constants[c][1])).alias(c)
-                       if c in constants and constants[c][0] is not None else F.col(c) for c in df.columns])
+    return df.select(*[((quoted(c).cast("double") - F.lit(constants[c][0])) / F.lit(constants[c][1])).alias(c)
+                       if c in constants and constants[c][0] is not None else quoted(c) for c in df.columns])
 
 
 @dataclass
@@ -175,7 +188,8 @@ def fit_prep(df: DataFrame, spec: PrepSpec) -> PrepModel:
         impute_values = column_modes(df, num)
     scale_values: dict = {}
     if num and spec.scaler == "robust":
-        base = impute(df.select(*num), impute_values) if impute_values else df.select(*num)
+        base = df.select(*[quoted(c) for c in num])
+        base = impute(base, impute_values) if impute_values else base
         scale_values = robust_constants(base, num)
     category_values = column_modes(df, spec.category_cols) if spec.category_cols and spec.impute_categories else {}
     rest = [c for c in df.columns if c not in num and c not in spec.category_cols]

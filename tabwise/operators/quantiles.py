@@ -5,14 +5,17 @@ in one task, which does not survive billions of distinct values. Here:
 
 1. one pass: ``percentile_approx`` at p - d and p + d (a bracket around the
    target rank) and the non-null count, for every column at once;
-2. one pass: rows below the bracket are counted, rows inside it are reduced
-   to (value, count) -- the bracket holds about 2·d·n rows, and a value that
-   repeats (one hot value holding a third of the column) is one row;
-3. a running count over the bracketed distinct values finds the two order
+2. one pass of plain counters: how many values lie below each bracket;
+3. one pass: only values inside a bracket are exploded and reduced to
+   (value, count) -- about 2·d·n of them, and a value that repeats (one hot value
+   holding a third of the column) is one row;
+4. a running count over the bracketed distinct values finds the two order
    statistics around rank p·(n-1); the value is ``lo + (hi - lo)·frac``.
 
-If the approximate bracket ever misses the target rank, the bracket is widened
-(the last attempt uses the full range), so the result is exact in all cases.
+The approximation's rank error is below n / accuracy and the bracket is three
+times as wide, so it holds the rank. Should it miss all the same, the counters
+tell, and the bracket grows by a small factor: the result is exact in all cases,
+and the full range never goes through one task.
 The result table has one row per (column, p): a bounded table.
 """
 
@@ -23,13 +26,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_ACCURACY = 100_000
-
+from ..sources.readers import quoted
 
-def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in cols
-    ])).alias("_cx")).select("_cx.column_name", "_cx.x").where(F.col("x").isNotNull())
+_ACCURACY = 100_000
+_GROWTH = 4
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
@@ -39,84 +39,64 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     Nulls are ignored; a column without values gives value NULL.
     """
     spark = df.sparkSession
-    cols = list(cols)
-    probs = [float(p) for p in probs]
-    delta = 3.0 / accuracy
-    pending = {(c, p) for c in cols for p in probs}
+    cols = list(dict.fromkeys(cols))
+    pairs = [(c, float(p)) for c in cols for p in probs]
+    x = {c: quoted(c).cast("double") for c in cols}
     results: dict[tuple[str, float], tuple[int, float | None]] = {}
-    first = True
+    pending, delta = list(dict.fromkeys(pairs)), 3.0 / accuracy
     while pending:
-        lo_p = {p: max(0.0, p - delta) for p in probs}
-        hi_p = {p: min(1.0, p + delta) for p in probs}
-        full = delta >= 1.0
-        need_cols = sorted({c for c, _ in pending})
-        aggs = []
-        for c in need_cols:
-            x = F.col(c).cast("double")
-            aggs.append(F.count(x).alias(f"n__{c}"))
-            if not full:
-                grid = sorted({lo_p[p] for p in probs} | {hi_p[p] for p in probs})
-                aggs.append(F.percentile_approx(x, grid, accuracy).alias(f"q__{c}"))
-        # Single row of bounded constants (columns x probs).
-        row = df.agg(*aggs).collect()[0]
+        need = list(dict.fromkeys(c for c, _ in pending))
+        grids = {c: sorted({q for d, p in pending if d == c for q in (max(0.0, p - delta), min(1.0, p + delta))}) for c in need}
+        # Single rows of bounded constants (columns x probs), here and below.
+        row = df.agg(*[e for i, c in enumerate(need) for e in (
+            F.count(x[c]).alias(f"n{i}"), F.percentile_approx(x[c], grids[c], accuracy).alias(f"q{i}"))]).collect()[0]
         brackets = []
-        for c in need_cols:
-            n = int(row[f"n__{c}"])
-            if full:
-                qmap = None
-            else:
-                grid = sorted({lo_p[p] for p in probs} | {hi_p[p] for p in probs})
-                qmap = dict(zip(grid, row[f"q__{c}"] or [None] * len(grid)))
-            for p in probs:
-                if (c, p) not in pending:
-                    continue
-                if n == 0:
-                    results[(c, p)] = (0, None)
-                    pending.discard((c, p))
-                    continue
-                r = p * (n - 1)
-                k_lo = int(r // 1)
-                k_hi = min(k_lo + 1, n - 1)
-                lo = None if full or qmap is None else qmap[lo_p[p]]
-                hi = None if full or qmap is None else qmap[hi_p[p]]
-                if lo_p[p] <= 0.0:
-                    lo = None
-                if hi_p[p] >= 1.0:
-                    hi = None
-                brackets.append((c, p, n, k_lo, k_hi, r - k_lo, lo, hi))
+        for c, p in pending:
+            i = need.index(c)
+            n = int(row[f"n{i}"])
+            if n == 0:
+                results[(c, p)] = (0, None)
+                continue
+            at = dict(zip(grids[c], row[f"q{i}"]))
+            lo = None if p - delta <= 0.0 else at[max(0.0, p - delta)]
+            hi = None if p + delta >= 1.0 else at[min(1.0, p + delta)]
+            brackets.append((c, p, n, lo, hi))
         if not brackets:
             break
-        bdf = spark.createDataFrame(
-            brackets, "column_name STRING, p DOUBLE, n LONG, k_lo LONG, k_hi LONG, frac DOUBLE, lo DOUBLE, hi DOUBLE")
-        long = _long(df, need_cols)
-        j = long.join(F.broadcast(bdf), "column_name")
-        j = j.where(F.col("hi").isNull() | (F.col("x") <= F.col("hi")))
-        below = F.col("lo").isNotNull() & (F.col("x") < F.col("lo"))
-        cells = j.groupBy("column_name", "p", F.when(below, F.lit(None)).otherwise(F.col("x")).alias("v")).agg(
-            F.count(F.lit(1)).alias("c"))
-        w = Window.partitionBy("column_name", "p").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        cells = cells.withColumn("cum", F.sum("c").over(w)).join(F.broadcast(bdf), ["column_name", "p"])
+        below = df.agg(*[(F.lit(0).cast("long") if lo is None else F.count(F.when(x[c] < F.lit(lo), 1))).alias(f"b{i}")
+                         for i, (c, _, _, lo, _) in enumerate(brackets)]).collect()[0]
+
+        def inside(c, lo, hi):
+            ok = x[c].isNotNull()
+            ok = ok if lo is None else ok & (x[c] >= F.lit(lo))
+            return ok if hi is None else ok & (x[c] <= F.lit(hi))
+
+        values = F.array_compact(F.array(*[F.when(inside(c, lo, hi), F.struct(F.lit(i).alias("i"), x[c].alias("v")))
+                                           for i, (c, _, _, lo, hi) in enumerate(brackets)]))
+        cells = (df.select(F.explode(values).alias("_s")).select("_s.i", "_s.v").groupBy("i", "v")
+                 .agg(F.count(F.lit(1)).alias("c")))
+        cells = cells.withColumn("cum", F.sum("c").over(Window.partitionBy("i").orderBy("v")))
+        ranks = []
+        for i, (_, p, n, _, _) in enumerate(brackets):
+            r = p * (n - 1)
+            k = int(r // 1) - int(below[f"b{i}"])  # rank inside the bracket
+            ranks.append((i, k, min(k + 1, n - 1 - int(below[f"b{i}"])), r - r // 1))
+        small = spark.createDataFrame(ranks, "i INT, k_lo LONG, k_hi LONG, frac DOUBLE")
         # order statistic k (0-based) is the first value whose cumulative count exceeds k
-        picked = cells.where(F.col("v").isNotNull()).groupBy("column_name", "p").agg(
+        picked = cells.join(F.broadcast(small), "i").groupBy("i").agg(
             F.min(F.when(F.col("cum") > F.col("k_lo"), F.col("v"))).alias("x_lo"),
-            F.min(F.when(F.col("cum") > F.col("k_hi"), F.col("v"))).alias("x_hi"),
-            F.min(F.col("cum") - F.col("c")).alias("below"),
-        )
-        got = {(r_["column_name"], float(r_["p"])): r_ for r_ in picked.collect()}
-        for (c, p, n, k_lo, k_hi, frac, lo, hi) in brackets:
-            g = got.get((c, p))
-            ok = g is not None and g["x_lo"] is not None and g["x_hi"] is not None and g["below"] <= k_lo
-            if ok:
-                x_lo, x_hi = float(g["x_lo"]), float(g["x_hi"])
-                val = x_lo if frac == 0.0 else x_lo + (x_hi - x_lo) * frac
-                results[(c, p)] = (n, val)
-                pending.discard((c, p))
-        if full:
-            break
-        delta = 1.0 if not first else min(1.0, delta * 64)
-        first = False
-    rows = [(c, p, results[(c, p)][0], results[(c, p)][1]) for c in cols for p in probs if (c, p) in results]
+            F.min(F.when(F.col("cum") > F.col("k_hi"), F.col("v"))).alias("x_hi"))
+        got = {r["i"]: r for r in picked.collect()}
+        missed = []
+        for i, (c, p, n, _, _) in enumerate(brackets):
+            g, (_, k_lo, _, frac) = got.get(i), ranks[i]
+            if g is None or g["x_lo"] is None or g["x_hi"] is None or k_lo < 0:
+                missed.append((c, p))
+                continue
+            x_lo, x_hi = float(g["x_lo"]), float(g["x_hi"])
+            results[(c, p)] = (n, x_lo if frac == 0.0 else x_lo + (x_hi - x_lo) * frac)
+        pending, delta = missed, delta * _GROWTH
+    rows = [(c, p, *results[(c, p)]) for c, p in dict.fromkeys(pairs)]
     return spark.createDataFrame(rows, "column_name STRING, p DOUBLE, n LONG, value DOUBLE")
 
 

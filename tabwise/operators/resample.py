@@ -4,9 +4,10 @@ All random choices are md5-derived from (seed, class, i), so the result is
 deterministic and reproducible in any engine:
 
 * SMOTE: every class except the majority gets ``n_max - n_c`` synthetic
-  rows; synthetic row i of class c takes base row ``h1 % n_c`` (rows of the
-  class numbered by id), neighbour ``h2 % min(k, n_c - 1)`` of its k nearest
-  same-class rows, and ``x + u (nn - x)`` with ``u`` in [0, 1).
+  rows; synthetic row i of class c takes base row ``h1 % n_c`` (60 bits; rows of
+  the class numbered by id), neighbour ``h2 % k`` of its k nearest same-class
+  rows, and ``x + u (nn - x)`` with ``u`` in [0, 1). A class that needs rows but
+  has k or fewer is an error.
 * ENN: a row is kept only if its 3 nearest rows (over all classes) all have
   its class.
 
@@ -37,7 +38,7 @@ DEFAULT_SEED = 42
 def check_resampler(name: str | None) -> None:
     """Only 'smoteenn' is known."""
     if name is not None and name not in RESAMPLERS:
-        raise ValueError("resample_type must be 'smoteenn'")
+        raise ValueError(f"unknown resampler {name!r}; known: {RESAMPLERS}")
 
 
 def check_no_nulls(df: DataFrame, cols: Sequence[str]) -> None:
@@ -60,8 +61,10 @@ def smote(df: DataFrame, id_col: str, label_col: str, feature_cols: Sequence[str
     plan, start = [], 0
     for c, n in counts:
         need = n_max - n
-        if need > 0 and n >= 2:
-            plan.append((c, n, start, need, min(k, n - 1)))
+        if need > 0:
+            if n <= k:
+                raise ValueError(f"class {c!r} has {n} rows; oversampling with {k} neighbours needs {k + 1} at least")
+            plan.append((c, n, start, need, k))
             start += need
     base = cut_lineage(df.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).alias("_y"), *feats))
     out = base.select(F.col("_id").alias(id_col), F.col("_y").alias(label_col), *feats,
@@ -82,9 +85,9 @@ def smote(df: DataFrame, id_col: str, label_col: str, feature_cols: Sequence[str
     parts = (F.lit(str(seed)), F.col("_y").cast("string"), F.col("_i").cast("string"))
     idx = idx.select(
         "_g", "_y",
-        (hash_int(*parts, start=0) % F.col("_n") + 1).alias("_brn"),
-        (hash_int(*parts, start=8) % F.col("_k") + 1).alias("_nrank"),
-        hash_uniform(*parts, start=16).alias("_u"))
+        (hash_int(*parts, start=0, width=15) % F.col("_n") + 1).alias("_brn"),
+        (hash_int(*parts, start=15) % F.col("_k") + 1).alias("_nrank"),
+        hash_uniform(*parts, start=23).alias("_u"))
     minority = base.join(plan_df.select("_y"), "_y")
     numbered = rank_within(minority, "_y", ["_id"], rank_col="_brn").select("_y", "_brn", "_id", *feats)
     nn = knn(minority, "_id", feats, k, "_y", block_rows=block_rows, seed=seed).select(

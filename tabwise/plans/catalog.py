@@ -639,23 +639,23 @@ def q_knn_neighbors(spark, d):
     return r6(out.select(F.col("group").alias("label"), "qid", "nid", "d2", F.col("rank").cast("long")))
 
 
-_HEX = "CAST(CAST(('0x' || substr(h, {a}, 8)) AS BIGINT) AS DOUBLE)"
+_HEX = "CAST(('0x' || substr(h, {a}, {n})) AS BIGINT)"
 
 
 @register("smote_oversample", _with(fx.ORDERS_POINTS_SQL) + """
 , c AS (SELECT o_orderstatus, count(*) AS n FROM pts GROUP BY 1),
 mx AS (SELECT max(n) AS m FROM c),
-plan AS (SELECT o_orderstatus, n, m - n AS need, least(5, n - 1) AS kc,
+plan AS (SELECT o_orderstatus, n, m - n AS need, 5 AS kc,
                 coalesce(sum(m - n) OVER (ORDER BY o_orderstatus ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
                   AS start
-         FROM c, mx WHERE m - n > 0 AND n >= 2),
+         FROM c, mx WHERE m - n > 0),
 hs AS (SELECT o_orderstatus, n, kc, start + i AS g,
               md5(concat_ws('|', '42', o_orderstatus, CAST(i AS VARCHAR))) AS h
        FROM (SELECT *, unnest(range(need)) AS i FROM plan)),
 ch AS (SELECT o_orderstatus, g,
-              CAST(""" + _HEX.format(a=1) + """ AS BIGINT) % n + 1 AS brn,
-              CAST(""" + _HEX.format(a=9) + """ AS BIGINT) % kc + 1 AS nrank,
-              """ + _HEX.format(a=17) + """ / CAST(4294967296 AS DOUBLE) AS u
+              """ + _HEX.format(a=1, n=15) + """ % n + 1 AS brn,
+              """ + _HEX.format(a=16, n=8) + """ % kc + 1 AS nrank,
+              CAST(""" + _HEX.format(a=24, n=8) + """ AS DOUBLE) / CAST(4294967296 AS DOUBLE) AS u
        FROM hs),
 mino AS (SELECT * FROM pts WHERE o_orderstatus IN (SELECT o_orderstatus FROM plan)),
 num AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS brn FROM mino),

@@ -3,28 +3,45 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .paths import active_session, path_exists, read_text
+
 _FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet"}
 
 
+# CSV dialect of readers and writers: quotes are doubled inside quoted text. An
+# empty field is missing; quoted emptiness ("") is the empty string. The null
+# marker on read only keeps the two apart; no text field may consist of it.
+CSV_DIALECT = {"header": True, "quote": '"', "escape": '"'}
+CSV_READ_NULL = "\u0001"
+
+
+def quoted(name: str):
+    """A column by its exact name (dots and backticks included)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Floating NaN becomes SQL NULL so that every operator sees one 'missing'."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType)).alias(f.name))
+            cols.append(F.nanvl(quoted(f.name), F.lit(None).cast(f.dataType)).alias(f.name))
         else:
-            cols.append(F.col(f.name))
+            cols.append(quoted(f.name))
     return df.select(*cols)
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Read by suffix. CSV gets a header; types are inferred unless a schema is given."""
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
+    """Read by suffix. CSV gets a header; types are inferred unless a schema is given.
+
+    ``multi_line`` allows line breaks inside quoted CSV text; such files cannot
+    be split, so it is off unless asked for.
+    """
     path_l = path.rstrip("/").lower()
     fmt = next((v for k, v in _FORMATS.items() if path_l.endswith(k)), None)
     if fmt is None:
@@ -33,7 +50,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        df = reader.option("header", True).option("inferSchema", schema is None).csv(path)
+        df = reader.options(**CSV_DIALECT, nullValue=CSV_READ_NULL, inferSchema=schema is None, multiLine=multi_line).csv(path)
     elif fmt == "json":
         df = reader.json(path)
     else:
@@ -43,19 +60,27 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 def load_split(spark: SparkSession, path: str, split_col: str = "split") -> tuple[DataFrame, DataFrame]:
     """A dataset stored once, partitioned by ``split`` ('train' / 'test')."""
-    df = spark.read.parquet(path)
+    df = nan_to_null(spark.read.parquet(path))
     return (df.where(F.col(split_col) == "train").drop(split_col),
             df.where(F.col(split_col) == "test").drop(split_col))
 
 
-def load_params(path: str | None, required: bool = False) -> dict:
-    """S3: hyperparameters from a JSON object; a missing file gives {} unless required."""
-    if not path or not os.path.exists(path):
+def load_params(path: str | None, required: bool = False, allow_missing: bool = True) -> dict:
+    """S3: hyperparameters from a JSON object at any path Spark can read.
+
+    No path gives {} unless ``required``. A path that does not exist gives {}
+    only with ``allow_missing`` (and not ``required``).
+    """
+    if not path:
         if required:
             raise FileNotFoundError(path)
         return {}
-    with open(path) as fh:
-        return json.load(fh)
+    spark = active_session()
+    if not path_exists(spark, path):
+        if required or not allow_missing:
+            raise FileNotFoundError(path)
+        return {}
+    return json.loads(read_text(spark, path))
 
 
 CACHE_SCHEMA = "lat_key DOUBLE, lon_key DOUBLE, location STRING"
@@ -65,9 +90,18 @@ def empty_cache(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], CACHE_SCHEMA)
 
 
-def load_cache(spark: SparkSession, path: str | None) -> DataFrame:
-    """The location cache table; a missing path is an empty cache."""
-    if not path or not os.path.exists(path):
+def one_per_key(cache: DataFrame) -> DataFrame:
+    """The cache with one row per key (ties: smallest name), whatever was appended to it."""
+    return cache.groupBy("lat_key", "lon_key").agg(F.min("location").alias("location"))
+
+
+def load_cache(spark: SparkSession, path: str | None, allow_missing: bool = False) -> DataFrame:
+    """The location cache table. No path, or a missing one with ``allow_missing``, is an empty cache."""
+    if not path:
+        return empty_cache(spark)
+    if not path_exists(spark, path):
+        if not allow_missing:
+            raise FileNotFoundError(path)
         return empty_cache(spark)
     return spark.read.parquet(path).select("lat_key", "lon_key", "location")
 
@@ -75,16 +109,19 @@ def load_cache(spark: SparkSession, path: str | None) -> DataFrame:
 def import_json_cache(raw: DataFrame, text_col: str = "value") -> DataFrame:
     """S4 importer for the old JSON cache: one JSON object ``{"(lat, lon)": name, ...}`` per row.
 
-    Keys are parsed with a regular expression, never evaluated.
+    Keys are parsed with a regular expression, never evaluated. Keys that are not
+    two finite numbers are left out; a key that occurs several times keeps its
+    smallest name.
     """
     kv = raw.select(F.explode(F.from_json(F.col(text_col), "map<string,string>")).alias("k", "location"))
     num = r"\s*(-?[0-9.eE+-]+)\s*"
     pat = r"^\(" + num + "," + num + r"\)$"
-    return kv.select(
-        F.regexp_extract("k", pat, 1).cast("double").alias("lat_key"),
-        F.regexp_extract("k", pat, 2).cast("double").alias("lon_key"),
+    parsed = kv.select(
+        F.regexp_extract("k", pat, 1).try_cast("double").alias("lat_key"),
+        F.regexp_extract("k", pat, 2).try_cast("double").alias("lon_key"),
         "location",
     )
+    return one_per_key(parsed.where("lat_key IS NOT NULL AND lon_key IS NOT NULL"))
 
 
 def load_model(path_or_model):

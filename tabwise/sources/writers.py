@@ -8,7 +8,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .readers import CACHE_SCHEMA, nan_to_null
+from .paths import active_session, path_exists, write_text
+from .readers import CSV_DIALECT, nan_to_null, one_per_key
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -16,7 +17,7 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     p = path.rstrip("/").lower()
     w = nan_to_null(df).write.mode(mode)
     if p.endswith(".csv"):
-        w.option("header", True).csv(path)
+        w.options(**CSV_DIALECT, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="", emptyValue='""').csv(path)
     elif p.endswith(".json"):
         w.json(path)
     elif p.endswith(".parquet"):
@@ -43,9 +44,8 @@ def save_model(model, path: str) -> None:
 
 
 def save_params(params: dict, path: str = "best_params.json") -> None:
-    """K6: best parameters (a small config dict) as JSON."""
-    with open(path, "w") as fh:
-        json.dump(params, fh)
+    """K6: best parameters (a small config dict) as JSON, at any path Spark can write."""
+    write_text(active_session(), path, json.dumps(params))
 
 
 def write_report(report: DataFrame, path: str) -> None:
@@ -54,12 +54,18 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def append_cache(new_entries: DataFrame, path: str) -> None:
-    """K8: append newly resolved keys to the location cache table.
+    """K8: append the keys that the location cache table does not hold yet.
 
-    Callers pass only keys that are not in the cache yet (see ``locate.missing_keys``),
-    so the table stays one row per key.
+    Appending the same keys again changes nothing: entries are reduced to one
+    row per key, keys without both coordinates are left out, and keys already in
+    the table are anti-joined away.
     """
-    new_entries.select(*[F.col(c.split()[0]) for c in CACHE_SCHEMA.split(",")]).write.mode("append").parquet(path)
+    spark = new_entries.sparkSession
+    keys = ["lat_key", "lon_key"]
+    new = one_per_key(new_entries.where("lat_key IS NOT NULL AND lon_key IS NOT NULL"))
+    if path_exists(spark, path):
+        new = new.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
+    new.write.mode("append").parquet(path)
 
 
 def write_report_text(report: DataFrame, path: str) -> None:

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from tabwise.operators.knn import brute_force_knn, knn
+from brute import brute_force_knn
+from tabwise.operators.knn import knn
 from tabwise.operators.resample import check_resampler, enn, smote, smote_enn
 
 

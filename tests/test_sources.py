@@ -19,7 +19,7 @@ def test_encoded_frames_and_mapping_partitions(spark, tmp_path):
 
 def test_cache_append_and_reload(spark, tmp_path):
     path = str(tmp_path / "cache.parquet")
-    assert load_cache(spark, path).count() == 0
+    assert load_cache(spark, path, allow_missing=True).count() == 0
     first = spark.createDataFrame([(1.0, 2.0, "A")], "lat_key DOUBLE, lon_key DOUBLE, location STRING")
     append_cache(first, path)
     resolved = spark.createDataFrame([(1.0, 2.0, "dup"), (3.0, 4.0, "B")],
