@@ -14,13 +14,23 @@ from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ranking import global_cumulative
+from .split import MAX_CLASSES
 
 
 def _labels(df: DataFrame, label_col: str, pred_col: str) -> list:
     t = df.schema[label_col].dataType
     u = df.select(F.col(label_col).alias("_l")).union(df.select(F.col(pred_col).cast(t).alias("_l"))).distinct()
-    return sorted(r["_l"] for r in u.where(F.col("_l").isNotNull()).collect())
+    return _classes(u.where(F.col("_l").isNotNull()), "_l")
+
+
+def _classes(df: DataFrame, col: str) -> list:
+    """Sorted distinct labels, at most MAX_CLASSES."""
+    rows = df.select(col).distinct().limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"over {MAX_CLASSES} distinct labels; this is no class label")
+    return sorted(r[0] for r in rows)
 
 
 def accuracy(df: DataFrame, label_col: str = "label", pred_col: str = "prediction") -> DataFrame:
@@ -43,7 +53,7 @@ def confusion(df: DataFrame, label_col: str = "label", pred_col: str = "predicti
     grid = df.sparkSession.createDataFrame([(a, p) for a in labels for p in labels],
                                            f"actual {t.simpleString()}, predicted {t.simpleString()}")
     counts = cell_counts(df, label_col, pred_col)
-    return (F.broadcast(grid).join(counts, ["actual", "predicted"], "left")
+    return (grid.join(F.broadcast(counts), ["actual", "predicted"], "left")
             .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
 
@@ -76,24 +86,23 @@ def per_class(df: DataFrame, label_col: str = "label", pred_col: str = "predicti
 
 def report(df: DataFrame, label_col: str = "label", pred_col: str = "prediction") -> DataFrame:
     """Per-class rows plus 'accuracy', 'macro avg' and 'weighted avg' rows (label as text)."""
-    pc = per_class(df, label_col, pred_col)
-    # one row of bounded constants
-    t = pc.agg(
-        F.sum("support").alias("total"),
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        F.sum(F.col("precision") * F.col("support")).alias("wp"),
-        F.sum(F.col("recall") * F.col("support")).alias("wr"),
-        F.sum(F.col("f1") * F.col("support")).alias("wf"),
-    ).collect()[0]
-    acc = accuracy(df, label_col, pred_col).collect()[0]["accuracy"]
-    total = int(t["total"] or 0)
-    div = (lambda v: None if not total or v is None else v / total)
-    summary = df.sparkSession.createDataFrame([
-        ("accuracy", None, None, acc, total),
-        ("macro avg", t["mp"], t["mr"], t["mf"], total),
-        ("weighted avg", div(t["wp"]), div(t["wr"]), div(t["wf"]), total),
-    ], "label STRING, precision DOUBLE, recall DOUBLE, f1 DOUBLE, support LONG")
-    return pc.withColumn("label", F.col("label").cast("string")).unionByName(summary)
+    cells = cut_lineage(cell_counts(df, label_col, pred_col))  # the only pass over the input; at most classes ** 2 rows
+    pc = _with_prf(_roles(cells, [])).select("label", "precision", "recall", "f1", F.col("support").cast("long").alias("support"))
+    # Everything follows from the cells; accuracy is their diagonal over all rows.
+    sums = pc.agg(F.sum("support").alias("total"), *[F.avg(c).alias(f"m_{c}") for c in ("precision", "recall", "f1")],
+                  *[(F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(f"w_{c}") for c in ("precision", "recall", "f1")])
+    total = F.coalesce("total", F.lit(0)).cast("long").alias("support")
+    none = F.lit(None).cast("double")
+    accuracy_row = cells.agg(
+        F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).cast("double").alias("hits"),
+        F.sum("n").cast("double").alias("rows"), F.sum(F.when(F.col("actual").isNotNull(), F.col("n"))).alias("total"),
+    ).select(F.lit("accuracy").alias("label"), none.alias("precision"), none.alias("recall"), F.try_divide("hits", "rows").alias("f1"), total)
+    averages = [sums.select(F.lit(name).alias("label"), *[F.col(f"{k}_{c}").alias(c) for c in ("precision", "recall", "f1")], total)
+                for name, k in (("macro avg", "m"), ("weighted avg", "w"))]
+    out = pc.withColumn("label", F.col("label").cast("string"))
+    for rows in (accuracy_row, *averages):
+        out = out.unionByName(rows)
+    return out
 
 
 def macro_f1(df: DataFrame, label_col: str = "label", pred_col: str = "prediction") -> DataFrame:
@@ -156,8 +165,7 @@ def fold_f1_table(df: DataFrame, label_col: str = "label", pred_col: str = "pred
                   class_names: list | None = None) -> DataFrame:
     """One row per fold: fold, macro_f1, F1_<class> (0.0 when the class is absent from the fold)."""
     if class_names is None:
-        class_names = sorted(r[0] for r in df.select(label_col).where(F.col(label_col).isNotNull())
-                             .distinct().collect())
+        class_names = _classes(df.where(F.col(label_col).isNotNull()), label_col)
     r = _with_prf(_roles(cell_counts(df, label_col, pred_col, [fold_col]), [fold_col]))
     macro = r.groupBy(fold_col).agg(F.avg("f1").alias("macro_f1"))
     wide = (r.withColumn("_c", F.col("label").cast("string")).groupBy(fold_col)

@@ -142,12 +142,13 @@ class PrepModel:
         return exprs, rest
 
     def feature_stage(self, feature_cols: Sequence[str], fills: dict | None = None,
-                      suffix: str = "__f") -> SQLTransformer:
+                      suffix: str = "__f", indicators: Sequence[str] = (), missing: str = "__missing") -> SQLTransformer:
         """Stage that keeps every input column and appends ``<feature><suffix>`` columns.
 
         ``fills`` holds a last-resort value per feature (used where a value is
         still missing after prep), so the stage works on frames with or
-        without the label column.
+        without the label column. ``indicators`` get a 0/1 column that is 1 where
+        the feature is missing.
         """
         exprs, _ = self._exprs(feature_cols)
         parts = []
@@ -156,6 +157,7 @@ class PrepModel:
             if fills and fills.get(c) is not None:
                 e = f"coalesce(CAST({e} AS DOUBLE), {_lit_sql(fills[c])})"
             parts.append(f"CAST({e} AS DOUBLE) AS `{c}{suffix}`")
+        parts += [f"CAST({exprs.get(c, f'`{c}`')} IS NULL AS DOUBLE) AS `{c}{missing}{suffix}`" for c in indicators]
         return SQLTransformer(statement="SELECT *, " + ", ".join(parts) + " FROM __THIS__")
 
     def statement(self, columns: Sequence[str]) -> str:

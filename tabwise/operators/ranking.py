@@ -3,25 +3,35 @@ single-partition window.
 
 A plain ``Window.orderBy(...)`` (or ``partitionBy(class)`` when one class
 holds most rows) runs in a single task. Here the rows are range-partitioned
-on the ordering, each range partition computes local running values, and the
-per-partition totals (one row per partition, a bounded table) are turned into
-offsets that are broadcast back.
+on the ordering and sorted inside their partition -- one shuffle. The place in
+the partition comes from ``monotonically_increasing_id`` (partition number in the
+high bits, row number in the low ones), running sums from one streaming pass
+over the sorted partition. The per-partition totals (one row per partition, a
+bounded table) become offsets that are broadcast back.
 
 The range boundaries come from a sample; two separately planned evaluations
 could cut the ranges differently, so the locally ranked data is written once
 with a reliable checkpoint (to ``spark.checkpoint.dir``) and both the totals
-and the final rows read that same copy.
+and the final rows read that same copy. The input is read twice, once for the
+sample and once for the write, and never again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
+# Groups of ``rank_within`` up to this many have their starts broadcast; more are joined by shuffle.
+BROADCAST_GROUPS = 100_000
+_ROW_BITS = 33
+
 
 def _n_parts(df: DataFrame, n: int | None) -> int:
     if n:
@@ -43,15 +53,14 @@ def global_cumulative(df: DataFrame, order: Sequence[str | Column], sums: dict[s
     base = df
     for name, e in sums.items():
         base = base.withColumn(f"_v_{name}", F.col(e) if isinstance(e, str) else e)
-    ranged = base.repartitionByRange(p, *order_cols).withColumn("_pid", F.spark_partition_id())
-
-    w_local = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged
-    if rank_col:
-        local = local.withColumn("_l_rank", F.count(F.lit(1)).over(w_local))
-    for name in sums:
-        local = local.withColumn(f"_l_{name}", F.sum(f"_v_{name}").over(w_local))
-
+        whole = isinstance(base.schema[f"_v_{name}"].dataType, T.IntegralType)
+        base = base.withColumn(f"_v_{name}", F.col(f"_v_{name}").cast("long" if whole else "double"))
+    local = base.repartitionByRange(p, *order_cols).sortWithinPartitions(*order_cols)
+    local = local.withColumn("_at", F.monotonically_increasing_id())
+    local = local.withColumn("_pid", F.shiftright("_at", _ROW_BITS).cast("int")).withColumn(
+        "_l_rank", F.col("_at").bitwiseAND((1 << _ROW_BITS) - 1) + 1).drop("_at")
+    if sums:
+        local = _running_sums(local, list(sums))
     local = cut_lineage(local)
     aggs = []
     if rank_col:
@@ -75,6 +84,25 @@ def global_cumulative(df: DataFrame, order: Sequence[str | Column], sums: dict[s
     return out.drop(*drop)
 
 
+def _running_sums(sorted_rows: DataFrame, names: list[str]) -> DataFrame:
+    """``_l_<name>``: the sum of ``_v_<name>`` (NULL counts 0) up to each row of its sorted partition; batches are streamed."""
+    schema = sorted_rows.schema
+    schema = T.StructType([*schema.fields, *(T.StructField(f"_l_{name}", schema[f"_v_{name}"].dataType) for name in names)])
+
+    def run(batches):
+        before = dict.fromkeys(names, 0)
+        for batch in batches:
+            columns = list(batch.columns)
+            for name in names:
+                values = batch.column(f"_v_{name}").fill_null(0).to_numpy(zero_copy_only=False)
+                total = np.cumsum(np.concatenate([np.array([before[name]], values.dtype), values]))[1:]
+                columns.append(pa.array(total))
+                before[name] = total[-1] if len(total) else before[name]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *(f"_l_{n}" for n in names)])
+
+    return sorted_rows.mapInArrow(run, schema)
+
+
 def rank_within(df: DataFrame, group_col: str, order: Sequence[str | Column], rank_col: str = "_rn",
                 num_partitions: int | None = None) -> DataFrame:
     """1-based row number inside each ``group_col`` value, ordered by ``order``.
@@ -85,9 +113,8 @@ def rank_within(df: DataFrame, group_col: str, order: Sequence[str | Column], ra
     """
     ranked = global_cumulative(df, [F.col(group_col).asc_nulls_last(), *order], rank_col="_grank",
                                num_partitions=num_partitions)
-    counts = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_gn"))
-    w = Window.orderBy(F.col(group_col).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(group_col, F.coalesce(F.sum("_gn").over(w), F.lit(0)).alias("_gstart"), "_gn")
-    out = ranked.join(F.broadcast(starts), ranked[group_col].eqNullSafe(starts[group_col]))
-    out = out.drop(starts[group_col])
+    # starts and sizes come from the ranked copy, not from the input
+    starts = ranked.groupBy(F.col(group_col).alias("_gk")).agg((F.min("_grank") - 1).alias("_gstart"), F.count(F.lit(1)).alias("_gn"))
+    starts = F.broadcast(starts) if starts.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else starts
+    out = ranked.join(starts, ranked[group_col].eqNullSafe(F.col("_gk"))).drop("_gk")
     return out.withColumn(rank_col, (F.col("_grank") - F.col("_gstart")).cast("long")).drop("_grank", "_gstart")

@@ -5,14 +5,16 @@ candidate table holds ``init_points + n_iter`` seeded points drawn uniformly
 inside the bounds (md5-derived, reproducible), every candidate is scored by
 the mean macro-F1 over stratified folds, and candidates run concurrently
 from a small driver thread pool (each fit is itself a distributed job). The
-folds -- and the prepared feature columns, which do not depend on the
-candidate -- are computed once and cached.
+folds are written once, and so are the prepared vectors of every fold: prep and
+resampling, which do not depend on the candidate, run once per fold, not once
+per candidate and fold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ from ..functions import hash_uniform, int_param
 from ..sources.readers import load_params
 from ..session import cut_lineage
 from ..sources.writers import save_params
-from .learn import build_model, check_model_type, score
+from .learn import Prepared, check_model_type, fit_prepared, prepare, score
 from .metrics import fold_f1_table, macro_f1
 from .prep import PrepSpec
 from .split import stratified_folds
@@ -46,17 +48,26 @@ def candidates(spark: SparkSession, n: int, bounds: dict, seed: int = 42) -> Dat
     return df
 
 
-def _fold_predictions(folds: DataFrame, label_col: str, id_col: str | None, k: int, fit_kwargs: dict,
-                      params: dict | None) -> DataFrame:
-    preds = None
+@dataclass
+class _Fold:
+    prepared: Prepared
+    test: DataFrame  # the fold's rows with their vectors
+
+
+def _prepared_folds(folds: DataFrame, label_col: str, k: int, keep: Sequence[str], **prep) -> list[_Fold]:
+    """Prep fitted once per fold; the vectors of both sides are written once."""
+    out = []
     for f in range(k):
-        train = folds.where(F.col("fold") != f).drop("fold")
-        test = folds.where(F.col("fold") == f)
-        built = build_model(train, label_col, model_params=params, id_col=id_col, **fit_kwargs)
-        p = score(built, test, keep=["fold", label_col]).withColumn(
-            "prediction", F.col("prediction").cast(folds.schema[label_col].dataType))
-        preds = p if preds is None else preds.unionByName(p)
-    return preds
+        prepared = prepare(folds.where(F.col("fold") != f).drop("fold"), label_col, **prep)
+        test = prepared.assembler.transform(prepared.stage.transform(folds.where(F.col("fold") == f))).select(*keep, "features")
+        out.append(_Fold(replace(prepared, train=cut_lineage(prepared.train)), cut_lineage(test)))
+    return out
+
+
+def _score_fold(fold: _Fold, algo: str, params: dict | None, seed: int, label_type, keep: Sequence[str]) -> DataFrame:
+    built = fit_prepared(fold.prepared, algo, params, seed)
+    on_vectors = replace(built, model=built.model.stages[-1])
+    return score(on_vectors, fold.test, keep=keep).withColumn("prediction", F.col("prediction").cast(label_type))
 
 
 def cross_validate(df: DataFrame, label_col: str, id_cols: Sequence[str], numeric_features: Sequence[str] | None = None,
@@ -68,12 +79,15 @@ def cross_validate(df: DataFrame, label_col: str, id_cols: Sequence[str], numeri
     check_model_type(algo)
     params = {**load_params(best_param_path, required=best_param_path is not None), **(params or {})}
     spec = PrepSpec.for_validate(numeric_features, imputer_strategy, scaler_type)
-    folds = stratified_folds(df, label_col, id_cols, cv_splits, seed).cache()
-    id_col = id_cols[0] if resampler_type else None
-    fit_kwargs = {"model_type": algo, "spec": spec, "resample_type": resampler_type, "seed": seed,
-                  "exclude": list(id_cols)}
-    preds = cut_lineage(_fold_predictions(folds, label_col, id_col, cv_splits, fit_kwargs, params))
-    folds.unpersist()
+    folds = cut_lineage(stratified_folds(df, label_col, id_cols, cv_splits, seed))
+    kept = ["fold", label_col]
+    prepared = _prepared_folds(folds, label_col, cv_splits, kept, spec=spec, resample_type=resampler_type, seed=seed,
+                               id_col=id_cols[0] if resampler_type else None, exclude=list(id_cols))
+    preds = None
+    for fold in prepared:
+        p = _score_fold(fold, algo, params, seed, df.schema[label_col].dataType, kept)
+        preds = p if preds is None else preds.unionByName(p)
+    preds = cut_lineage(preds)
     table = fold_f1_table(preds, label_col, "prediction", "fold", class_names)
     return table.withColumn("fold", F.col("fold") + 1)
 
@@ -90,26 +104,20 @@ def tune(df: DataFrame, label_col: str, id_cols: Sequence[str], numeric_features
     cand = candidates(spark, init_points + n_iter, bounds, seed)
     trials = [r.asDict() for r in cand.collect()]  # bounded: the search budget
     spec = PrepSpec(list(numeric_features or []), [], imputer_strategy, scaler if scaler == "robust" else None)
-    folds = stratified_folds(df, label_col, id_cols, cv_splits, seed).cache()
-    id_col = id_cols[0] if resampler else None
+    folds = cut_lineage(stratified_folds(df, label_col, id_cols, cv_splits, seed))
+    prepared = _prepared_folds(folds, label_col, cv_splits, [label_col], spec=spec, resample_type=resampler, seed=seed,
+                               id_col=id_cols[0] if resampler else None, exclude=list(id_cols))
 
     def run(trial: dict) -> float:
         params = {k: v for k, v in trial.items() if k != "trial"}
-        fit_kwargs = {"model_type": algo, "spec": spec, "resample_type": resampler, "seed": seed,
-                      "exclude": list(id_cols)}
         scores = []
-        for f in range(cv_splits):
-            train = folds.where(F.col("fold") != f).drop("fold")
-            test = folds.where(F.col("fold") == f)
-            built = build_model(train, label_col, model_params=params, id_col=id_col, **fit_kwargs)
-            p = score(built, test, keep=[label_col]).withColumn(
-                "prediction", F.col("prediction").cast(folds.schema[label_col].dataType))
+        for fold in prepared:
+            p = _score_fold(fold, algo, params, seed, df.schema[label_col].dataType, [label_col])
             scores.append(float(macro_f1(p, label_col, "prediction").collect()[0]["macro_f1"] or 0.0))
         return sum(scores) / len(scores)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         results = list(pool.map(run, trials))
-    folds.unpersist()
     for t, s in zip(trials, results):
         t["mean_macro_f1"] = s
     best = max(zip(results, [-t["trial"] for t in trials], trials))[2]

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.writers import write_table
 from .learn import build_model, check_model_type, feature_importance
 
 
@@ -34,9 +35,11 @@ def selected_features(imp: DataFrame, top_n: int | None = None, threshold: float
 
 def select_features(train: DataFrame, label_col: str, feature_cols: Sequence[str], algo: str = "xgb",
                     top_n: int | None = None, importance_threshold: float = 0.0, test: DataFrame | None = None,
-                    model_params: dict | None = None, seed: int = 42):
+                    model_params: dict | None = None, seed: int = 42, save_path: str | None = None):
     """M5: fit a learner, rank importances, keep the selection on train (and test, if given).
 
+    ``save_path`` writes the selected training frame (K4), its format by suffix.
+
     Returns (model, selected, train_selected, test_selected, importance table).
     """
     check_model_type(algo)
@@ -46,4 +49,6 @@ def select_features(train: DataFrame, label_col: str, feature_cols: Sequence[str
     chosen = selected_features(imp, top_n, importance_threshold)
     train_sel = train.select(*chosen, label_col)
     test_sel = test.select(*chosen, *[c for c in [label_col] if c in test.columns]) if test is not None else None
+    if save_path:
+        write_table(train_sel, save_path)
     return built, chosen, train_sel, test_sel, importance_sorted(imp)

@@ -25,8 +25,14 @@ def _hash(seed: int, id_cols: Sequence[str]):
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in id_cols]))
 
 
+# More distinct labels than this are no classes (an id or a number, most likely): an error, not a driver full of rows.
+MAX_CLASSES = 1_000
+
+
 def _class_counts(df: DataFrame, label_col: str) -> list[tuple[object, int]]:
-    rows = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label_col!r} has over {MAX_CLASSES} distinct values; it is no class label")
     return sorted(((r[label_col], int(r["n"])) for r in rows), key=lambda t: (t[0] is None, t[0]))
 
 
@@ -53,9 +59,9 @@ def stratified_split(df: DataFrame, label_col: str, id_cols: Sequence[str], test
     """Add ``split`` = 'test' for the first quota[class] rows of each class in hash order."""
     if not 0.0 < test_size < 1.0:
         raise ValueError("test_size must be between 0 and 1")
-    counts = _class_counts(df, label_col)
-    quotas = _quota_table(df, label_col, split_quotas(counts, test_size), "_quota")
     ranked = rank_within(df.withColumn("_h", _hash(seed, id_cols)), label_col, ["_h", *id_cols], rank_col="_rn")
+    counts = _class_counts(ranked, label_col)  # from the written copy
+    quotas = _quota_table(df, label_col, split_quotas(counts, test_size), "_quota")
     out = ranked.join(F.broadcast(quotas), ranked[label_col].eqNullSafe(quotas["_k"]))
     out = out.withColumn(split_col, F.when(F.col("_rn") <= F.col("_quota"), "test").otherwise("train"))
     return out.select(*df.columns, split_col)
@@ -70,9 +76,10 @@ def train_test_split(df: DataFrame, label_col: str, id_cols: Sequence[str], test
 def stratified_folds(df: DataFrame, label_col: str, id_cols: Sequence[str], k: int = 5, seed: int = DEFAULT_SEED,
                      fold_col: str = "fold") -> DataFrame:
     """R2: fold = (class offset + row number in class - 1) mod k, so every class is spread evenly."""
-    counts = _class_counts(df, label_col)
     if k < 2:
         raise ValueError("k must be at least 2")
+    ranked = rank_within(df.withColumn("_h", _hash(seed, id_cols)), label_col, ["_h", *id_cols], rank_col="_rn")
+    counts = _class_counts(ranked, label_col)  # from the written copy
     if all(n < k for _, n in counts):
         raise ValueError(f"k={k} is greater than the number of members in every class")
     offsets, run = {}, 0
@@ -80,7 +87,6 @@ def stratified_folds(df: DataFrame, label_col: str, id_cols: Sequence[str], k: i
         offsets[c] = run
         run += n
     offs = _quota_table(df, label_col, offsets, "_off")
-    ranked = rank_within(df.withColumn("_h", _hash(seed, id_cols)), label_col, ["_h", *id_cols], rank_col="_rn")
     out = ranked.join(F.broadcast(offs), ranked[label_col].eqNullSafe(offs["_k"]))
     out = out.withColumn(fold_col, ((F.col("_off") + F.col("_rn") - 1) % k).cast("int"))
     return out.select(*df.columns, fold_col)

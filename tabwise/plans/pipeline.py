@@ -39,6 +39,7 @@ class PipelineConfig:
     tune_trials: tuple[int, int] = (2, 2)
     tune_bounds: dict | None = None
     cv_splits: int = 5
+    validation_splits: int = 10
     imputer_strategy: str | None = "median"
     scaler: str | None = "robust"
     resample: str | None = None
@@ -54,6 +55,8 @@ class PipelineResult:
     confusion: DataFrame
     auc_train: DataFrame | None
     auc_test: DataFrame | None
+    roc_train: DataFrame | None
+    roc_test: DataFrame | None
     model: learn.BuiltModel
 
 
@@ -84,7 +87,7 @@ def run_pipeline(df: DataFrame, cfg: PipelineConfig, cache: DataFrame | None = N
     best, _ = search.tune(train_s, cfg.label_col, cfg.id_cols, chosen, cfg.algo, cfg.resample, cfg.scaler,
                           cfg.imputer_strategy, cfg.cv_splits, cfg.seed, init, n_iter, cfg.tune_bounds)
     folds = search.cross_validate(train_s, cfg.label_col, cfg.id_cols, chosen, cfg.algo, cfg.resample, cfg.scaler,
-                                  cfg.imputer_strategy, cfg.cv_splits, cfg.seed, params=best)
+                                  cfg.imputer_strategy, cfg.validation_splits, cfg.seed, params=best)
     built = learn.build_model(train_s, cfg.label_col, chosen, model_type=cfg.algo, model_params=best,
                               imputer_strategy=cfg.imputer_strategy, scaler_type=cfg.scaler,
                               resample_type=cfg.resample, id_col=cfg.id_cols[0], seed=cfg.seed,
@@ -94,13 +97,13 @@ def run_pipeline(df: DataFrame, cfg: PipelineConfig, cache: DataFrame | None = N
 
 def evaluate(built: learn.BuiltModel, train: DataFrame, test: DataFrame, label_col: str,
              selected: Sequence[str] = (), folds: DataFrame | None = None, best: dict | None = None) -> PipelineResult:
-    """E1-E7 on the test split; ROC AUC for train and test when the label is binary."""
+    """E1-E7 on the test split; ROC curve and AUC for train and test when the label is binary. Scored frames are written once."""
     ltype = test.schema[label_col].dataType
-    s_test = learn.score(built, test, keep=[label_col]).withColumn("prediction", F.col("prediction").cast(ltype))
-    auc_train = auc_test = None
-    if built.n_classes == 2:
-        s_train = learn.score(built, train, keep=[label_col])
-        auc_train = metrics.auc(s_train, label_col, "prob_1")
-        auc_test = metrics.auc(s_test, label_col, "prob_1")
+    s_test = cut_lineage(learn.score(built, test, keep=[label_col]).withColumn("prediction", F.col("prediction").cast(ltype)))
+    curves = [None] * 4
+    if built.n_classes == 2 and built.labels == [0, 1]:
+        s_train = cut_lineage(learn.score(built, train, keep=[label_col]))
+        curves = [*(metrics.auc(s, label_col, "prob_1") for s in (s_train, s_test)),
+                  *(metrics.roc_points(s, label_col, "prob_1", drop_intermediate=True) for s in (s_train, s_test))]
     return PipelineResult(list(selected), best or {}, folds, metrics.report(s_test, label_col),
-                          metrics.confusion(s_test, label_col), auc_train, auc_test, built)
+                          metrics.confusion(s_test, label_col), *curves, built)

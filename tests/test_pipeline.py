@@ -16,7 +16,7 @@ def test_run_pipeline_end_to_end(spark):
     cfg = PipelineConfig(label_col="label", id_cols=["id"], drop_cols=["unused"], sources_col="sources",
                          encode_cols=["magType"], tune_trials=(1, 1), cv_splits=2,
                          tune_bounds={"n_estimators": (3, 5), "max_depth": (2, 3), "learning_rate": (0.2, 0.3),
-                                      "min_child_weight": (1, 2)})
+                                      "min_child_weight": (1, 2)}, validation_splits=2)
     res = run_pipeline(df, cfg, empty_cache(spark))
     rep = {r.label: r for r in res.report.collect()}
     assert "accuracy" in rep and rep["accuracy"].support == 48
