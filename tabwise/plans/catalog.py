@@ -1,6 +1,6 @@
 """Registered queries: one per operator of the inventory, each with the
-DuckDB SQL that must give the same rows (omitted where SQL cannot express
-the operator -- model training, nearest-neighbour resampling).
+DuckDB SQL that must give the same rows. Learners are registered on a label
+that one feature decides, so that SQL can state the right answer.
 
 Every query reads whole driver tables (or data Spark derives from them);
 numeric outputs are rounded to 6 decimals on both sides so that engine-level
@@ -118,10 +118,14 @@ def q_eda_correlation(spark, d):
 
 
 @register("eda_duplicates", """
-SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_duplicates
-FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_quantity, l_discount, l_tax)""")
+WITH l AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 10 = 0)
+SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_duplicates FROM (SELECT count(*) AS n FROM l GROUP BY ALL)""".replace(
+    "GROUP BY ALL", "GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, "
+    "l_returnflag, l_linestatus, l_shipdate"))
 def q_eda_duplicates(spark, d):
-    return profile.duplicate_count(fx.table(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax"))
+    """Whole rows; the rows of every tenth order occur twice."""
+    li = fx.table(spark, d, "lineitem")
+    return profile.duplicate_count(li.unionByName(li.where(F.col("l_orderkey") % 10 == 0)))
 
 
 @register("label_universe", "SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL")
@@ -521,7 +525,7 @@ def q_metric_roc_points(spark, d):
     return r6(metrics.roc_points(fx.scored_lineitem(spark, d), "y", "score"))
 
 
-@register("metric_roc_curve", _with(fx.SCORED_LINEITEM_SQL, _SCORES) + """
+@register("metric_roc_curve", _with(fx.SCORED_FINE_SQL, _SCORES) + """
 , c AS (SELECT score, sum(pos) OVER w AS tps, sum(neg) OVER w AS fps,
                row_number() OVER (ORDER BY score DESC) AS i FROM st
         WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
@@ -533,7 +537,7 @@ UNION ALL
 SELECT round(score, 6), round(fps / n, 6), round(tps / p, 6) FROM b, tot
 WHERE i = 1 OR i = d OR fp2 - 2 * fps + fp0 <> 0 OR tp2 - 2 * tps + tp0 <> 0""")
 def q_metric_roc_curve(spark, d):
-    return r6(metrics.roc_points(fx.scored_lineitem(spark, d), "y", "score", drop_intermediate=True))
+    return r6(metrics.roc_points(fx.scored_fine(spark, d), "y", "score", drop_intermediate=True))
 
 
 @register("metric_auc", _with(fx.SCORED_LINEITEM_SQL, _SCORES) + """
@@ -691,110 +695,225 @@ def q_enn_clean(spark, d):
 
 
 # ======================================================================================
-# Learners, selection, validation, search, scoring (M1-M9): rows-only
+# Learners, selection, validation, search, scoring (M1-M9) on a label that one feature decides:
+# the right predictions, folds and reports are known, and DuckDB can state them
 # ======================================================================================
-# Fixed small budgets for the registered learner queries (the full reference
-# budgets are the function defaults).
-_SMALL_XGB = {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.3, "min_child_weight": 1}
-_SMALL_RF = {"n_estimators": 10, "max_depth": 6, "min_samples_leaf": 1}
+_SEP_SPLIT_SQL = """r AS (SELECT o_orderkey, priority, {y} AS y, row_number() OVER (PARTITION BY {y}
+                            ORDER BY md5(concat_ws('|', '42', CAST(o_orderkey AS VARCHAR))), o_orderkey) AS rn FROM sep),
+c AS (SELECT y, count(*) AS n FROM r GROUP BY 1),
+t AS (SELECT sum(n) AS total, CAST(ceil(CAST(0.2 AS DOUBLE) * sum(n)) AS BIGINT) AS nt FROM c),
+b AS (SELECT y, (n * nt) // total AS base, (n * nt) % total AS rem FROM c, t),
+q AS (SELECT y, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, y)
+                             <= (SELECT nt FROM t) - (SELECT sum(base) FROM b) THEN 1 ELSE 0 END AS quota FROM b),
+sp AS (SELECT o_orderkey, priority, y, CASE WHEN rn <= quota THEN 'test' ELSE 'train' END AS split FROM r JOIN q USING (y))"""
+_SEP = _with(fx.ORDERS_SEPARABLE_SQL, _SEP_SPLIT_SQL.format(y="y"))
+_SEP3 = _with(fx.ORDERS_SEPARABLE_SQL, _SEP_SPLIT_SQL.format(y="kind"))
+_EXACT = _SEP + "SELECT o_orderkey, y, CAST(y AS DOUBLE) AS prediction, true AS sure FROM sp WHERE split = 'test'"
+#: Rounds of the validation and search queries (30 and more fits each); single fits use the learners' defaults.
+_ROUNDS = (10, 30)
+_BOUNDS = {"learning_rate": (0.01, 0.3), "max_depth": (3, 10), "min_child_weight": (1, 10), "n_estimators": _ROUNDS}
+
+
+def _learn_split(spark, d, label="y"):
+    data = fx.orders_separable(spark, d).drop("kind" if label == "y" else "y")
+    return split.train_test_split(data, label, ["o_orderkey"], 0.2, 42)
 
 
-def _learn_split(spark, d):
-    data = fx.orders_learning(spark, d)
-    return split.train_test_split(data, "y", ["o_orderkey"], 0.2, 42)
+def _judged(scored: DataFrame) -> DataFrame:
+    """Predictions, and whether the probability is one and agrees with the label."""
+    sure = F.col("prob_1").between(0, 1) & (F.when(F.col("y") == 1, F.col("prob_1")).otherwise(1 - F.col("prob_1")) > 0.5)
+    return scored.select("o_orderkey", "y", "prediction", sure.alias("sure"))
 
 
-@register("train_gbt")
+@register("train_gbt", _EXACT)
 def q_train_gbt(spark, d):
     from ..operators import learn
     train, test = _learn_split(spark, d)
-    built = learn.build_model(train, "y", fx.LEARN_FEATURES, model_type="xgb", model_params=_SMALL_XGB,
-                              imputer_strategy="median", exclude=["o_orderkey"])
-    return learn.score(built, test, keep=["o_orderkey", "y"])
+    built = learn.build_model(train, "y", fx.LEARN_FEATURES, model_type="xgb", imputer_strategy="median",
+                              exclude=["o_orderkey"])
+    return _judged(learn.score(built, test, keep=["o_orderkey", "y"]))
 
 
-@register("train_rf")
+@register("train_rf", _EXACT)
 def q_train_rf(spark, d):
     from ..operators import learn
     train, test = _learn_split(spark, d)
-    built = learn.build_model(train, "y", fx.LEARN_FEATURES, model_type="rf", model_params=_SMALL_RF,
-                              imputer_strategy="median", scaler_type="robust", exclude=["o_orderkey"])
-    return learn.score(built, test, keep=["o_orderkey", "y"])
+    built = learn.build_model(train, "y", fx.LEARN_FEATURES, model_type="rf", imputer_strategy="median",
+                              scaler_type="robust", exclude=["o_orderkey"])
+    return _judged(learn.score(built, test, keep=["o_orderkey", "y"]))
+
+
+@register("train_text_labels", _SEP3 + """
+SELECT o_orderkey, y AS kind, y AS prediction, true AS sure FROM sp WHERE split = 'test'""")
+def q_train_text_labels(spark, d):
+    """Three text classes: predictions are labels again, and every class has a probability."""
+    from ..operators import learn
+    train, test = _learn_split(spark, d, "kind")
+    built = learn.build_model(train, "kind", fx.LEARN_FEATURES, model_type="xgb", model_params={"n_estimators": _ROUNDS[0]},
+                              imputer_strategy="median", exclude=["o_orderkey"])
+    out = learn.score(built, test, keep=["o_orderkey", "kind"])
+    probs = [F.col(f"prob_{v}") for v in built.labels]
+    own = F.element_at(F.create_map(*[x for v in built.labels for x in (F.lit(v), F.col(f"prob_{v}"))]), F.col("kind"))
+    return out.select("o_orderkey", "kind", "prediction", ((own == F.greatest(*probs)) & (F.abs(sum(probs) - 1) < 1e-9)).alias("sure"))
 
 
-@register("feature_importance")
+@register("feature_importance", "SELECT * FROM (VALUES " + ", ".join(
+    f"('{c}', {1.0 if c == 'priority' else 0.0}::DOUBLE)" for c in fx.LEARN_FEATURES) + ") AS t(feature, importance)")
 def q_feature_importance(spark, d):
     from ..operators import learn, select
     train, _ = _learn_split(spark, d)
-    built = learn.build_model(train, "y", fx.LEARN_FEATURES, model_type="xgb", model_params=_SMALL_XGB,
-                              exclude=["o_orderkey"])
-    return select.importance_sorted(learn.feature_importance(built))
+    built = learn.build_model(train, "y", fx.LEARN_FEATURES, model_type="xgb", exclude=["o_orderkey"])
+    return r6(select.importance_sorted(learn.feature_importance(built)))
 
 
-@register("select_features")
+@register("select_features", _SEP + "SELECT split, CAST(priority AS DOUBLE) AS priority, y FROM sp")
 def q_select_features(spark, d):
     from ..operators import select
     train, test = _learn_split(spark, d)
-    filled = prep.fit_prep(train, prep.PrepSpec(fx.LEARN_FEATURES, [], "median", None))
-    _, chosen, train_sel, _, _ = select.select_features(filled.transform(train), "y", fx.LEARN_FEATURES, "xgb",
-                                                        top_n=3, model_params=_SMALL_XGB,
-                                                        test=filled.transform(test))
-    return train_sel
+    _, chosen, train_sel, test_sel, _ = select.select_features(train, "y", fx.LEARN_FEATURES, "xgb", top_n=1, test=test)
+    return train_sel.withColumn("split", F.lit("train")).unionByName(test_sel.withColumn("split", F.lit("test"))).select("split", *chosen, "y")
 
 
-@register("build_model")
+@register("build_model", _EXACT)
 def q_build_model(spark, d):
     from ..operators import learn
     train, test = _learn_split(spark, d)
-    built = learn.build_model(train, "y", fx.LEARN_FEATURES, model_type="xgb", model_params=_SMALL_XGB,
-                              imputer_strategy="median", scaler_type="robust", resample_type="smoteenn",
-                              id_col="o_orderkey")
-    return learn.score(built, test, keep=["o_orderkey", "y"])
+    built = learn.build_model(train, "y", fx.LEARN_FEATURES, model_type="xgb", imputer_strategy="median",
+                              scaler_type="robust", resample_type="smoteenn", id_col="o_orderkey")
+    return _judged(learn.score(built, test, keep=["o_orderkey", "y"]))
 
 
-@register("cv_fold_f1")
+@register("cv_fold_f1", "SELECT unnest(range(1, 11))::INTEGER AS fold, 1.0::DOUBLE AS macro_f1, 1.0::DOUBLE AS F1_0, 1.0::DOUBLE AS F1_1")
 def q_cv_fold_f1(spark, d):
     from ..operators import search
-    data = fx.orders_learning(spark, d)
-    return search.cross_validate(data, "y", ["o_orderkey"], fx.LEARN_FEATURES, "xgb", None, "robust", "median",
-                                 cv_splits=3, params=_SMALL_XGB)
+    data = fx.orders_separable(spark, d).drop("kind")
+    return r6(search.cross_validate(data, "y", ["o_orderkey"], fx.LEARN_FEATURES, "xgb", None, "robust", "median",
+                                    params={"n_estimators": _ROUNDS[0]}))
+
+
+def _trial_sql(name: str) -> str:
+    lo, hi = (float(x) for x in _BOUNDS[name])
+    u = f"CAST(('0x' || substr(md5('42|' || trial || '|{name}'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
+    v = f"({lo}::DOUBLE + {u} * ({hi}::DOUBLE - {lo}::DOUBLE))"
+    return f"round({v}, 6) AS {name}" if name == "learning_rate" else f"CAST(floor({v}) AS BIGINT) AS {name}"
 
 
-@register("tune")
+@register("tune", "SELECT trial, " + ", ".join(_trial_sql(c) for c in sorted(_BOUNDS)) + ", 1.0::DOUBLE AS mean_macro_f1 FROM range(4) AS t(trial)")
 def q_tune(spark, d):
     from ..operators import search
-    data = fx.orders_learning(spark, d)
-    bounds = {"learning_rate": (0.05, 0.3), "max_depth": (2, 5), "min_child_weight": (1, 10),
-              "n_estimators": (5, 15)}
+    data = fx.orders_separable(spark, d).drop("kind")
     _, trials = search.tune(data, "y", ["o_orderkey"], fx.LEARN_FEATURES, "xgb", None, "robust", "median",
-                            cv_splits=3, init_points=2, n_iter=2, bounds=bounds, parallelism=4)
-    return trials
+                            init_points=2, n_iter=2, bounds=_BOUNDS, parallelism=4)
+    return r6(trials)
 
 
-@register("score_batch")
+@register("score_batch", _with(fx.ORDERS_SEPARABLE_SQL) + "SELECT o_orderkey, CAST(y AS DOUBLE) AS prediction, true AS sure FROM sep")
 def q_score_batch(spark, d):
     from ..operators import learn
-    data = fx.orders_learning(spark, d)
+    data = fx.orders_separable(spark, d).drop("kind")
     train, _ = _learn_split(spark, d)
-    built = learn.build_model(train, "y", fx.LEARN_FEATURES, model_type="xgb", model_params=_SMALL_XGB,
-                              imputer_strategy="median", exclude=["o_orderkey"])
-    return learn.score(built, data.drop("y"), keep=["o_orderkey"])
+    built = learn.build_model(train, "y", fx.LEARN_FEATURES, model_type="xgb", imputer_strategy="median", exclude=["o_orderkey"])
+    out = learn.score(built, data.drop("y"), keep=["o_orderkey"])
+    return out.select("o_orderkey", "prediction", ((F.col("prediction") == 1) == (F.col("prob_1") > 0.5)).alias("sure"))
+
+
+# -- the same learners on a label that the features do not decide: what must hold all the same ------
+_NOISY_SQL = """
+WITH r AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y FROM orders),
+n AS (SELECT o_orderkey, y, row_number() OVER (PARTITION BY y ORDER BY md5(concat_ws('|', '42', CAST(o_orderkey AS VARCHAR))), o_orderkey) AS rn FROM r),
+c AS (SELECT y, count(*) AS n FROM r GROUP BY 1),
+t AS (SELECT sum(n) AS total, CAST(ceil(CAST(0.2 AS DOUBLE) * sum(n)) AS BIGINT) AS nt FROM c),
+b AS (SELECT y, (n * nt) // total AS base, (n * nt) % total AS rem FROM c, t),
+q AS (SELECT y, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, y) <= (SELECT nt FROM t) - (SELECT sum(base) FROM b) THEN 1 ELSE 0 END AS quota FROM b)
+SELECT o_orderkey, y, true AS valid FROM n JOIN q USING (y) WHERE rn <= quota"""
+
+
+def _noisy(spark, d, algo: str, params: dict) -> DataFrame:
+    from ..operators import learn
+    train, test = split.train_test_split(fx.orders_learning(spark, d), "y", ["o_orderkey"], 0.2, 42)
+    built = learn.build_model(train, "y", fx.LEARN_FEATURES, model_type=algo, model_params=params, exclude=["o_orderkey"])
+    out = learn.score(built, test, keep=["o_orderkey", "y"])
+    valid = F.col("prob_1").between(0, 1) & (F.col("prediction") == F.when(F.col("prob_1") > 0.5, 1.0).otherwise(0.0))
+    return out.select("o_orderkey", "y", valid.alias("valid"))
+
+
+@register("train_gbt_noisy", _NOISY_SQL)
+def q_train_gbt_noisy(spark, d):
+    return _noisy(spark, d, "xgb", {})
+
+
+@register("train_rf_noisy", _NOISY_SQL)
+def q_train_rf_noisy(spark, d):
+    return _noisy(spark, d, "rf", {"max_depth": 10})
 
 
 # ======================================================================================
-# Sources and sinks (S1, K1): CSV round trip through the shared folder
+# Sources and sinks (S1, S2, S4, K1, K8): round trips through the shared folder
 # ======================================================================================
+def _folder(spark) -> str:
+    import uuid
+
+    from ..session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/trip-{uuid.uuid4().hex}"
+
+
+def _kept(result: DataFrame, folder: str) -> DataFrame:
+    """The result as a checkpoint; the folder it was read from goes."""
+    from ..session import cut_lineage
+    from ..sources.paths import delete_path
+    out = cut_lineage(result)
+    delete_path(result.sparkSession, folder)
+    return out
+
+
 @register("read_csv_profile", ORACLES["eda_missing"])
 def q_read_csv_profile(spark, d):
     """K1 writes the table as CSV (a written table in the shared checkpoint folder),
     S1 reads it back with a header and inferred types, then A1 profiles it."""
-    import uuid
+    from ..sources import read_table, write_table
+    folder = _folder(spark)
+    write_table(fx.orders_nulls(spark, d), f"{folder}/orders_n.csv")
+    return _kept(profile.missing_counts(read_table(spark, f"{folder}/orders_n.csv")), folder)
 
-    from ..session import checkpoint_dir
+
+@register("read_csv_text", """
+SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN 'say "' || text || '", "",' || chr(10) ELSE text END AS text FROM documents""")
+def q_read_csv_text(spark, d):
+    """Whole texts with quotes, commas, line breaks, empty and missing ones through K1 and S1."""
     from ..sources import read_table, write_table
-    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}/orders_n.csv"
-    write_table(fx.orders_nulls(spark, d), path)
-    return profile.missing_counts(read_table(spark, path))
+    k, t = F.col("doc_id") % 10, F.col("text")
+    text = F.when(k == 0, "").when(k == 1, F.lit(None)).when(k == 2, F.concat(F.lit('say "'), t, F.lit('", "",\n'))).otherwise(t)
+    folder = _folder(spark)
+    write_table(fx.table(spark, d, "documents").select("doc_id", text.alias("text")), f"{folder}/t.csv")
+    return _kept(read_table(spark, f"{folder}/t.csv", "doc_id LONG, text STRING", multi_line=True), folder)
+
+
+@register("load_split_roundtrip", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS side,
+       CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE round(o_totalprice, 6) END AS price FROM orders""")
+def q_load_split_roundtrip(spark, d):
+    """A stored dataset with NaN comes back in two parts, with NULL."""
+    from ..sources import load_split
+    folder, k = _folder(spark), F.col("o_orderkey")
+    fx.table(spark, d, "orders").select(
+        "o_orderkey", F.when(k % 7 == 0, float("nan")).otherwise(F.col("o_totalprice")).alias("price"),
+        F.when(k % 5 == 0, "test").otherwise("train").alias("split")).write.partitionBy("split").parquet(f"{folder}/ds")
+    train, test = load_split(spark, f"{folder}/ds")
+    return _kept(r6(train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))), folder)
+
+
+@register("cache_append_roundtrip", _with(fx.ORDER_POINTS_SQL, fx.CUSTOMER_CACHE_SQL) + """
+SELECT o_orderkey, location AS cached_location FROM pts_o
+LEFT JOIN cache_c ON round(latitude, 4) = lat_key AND round(longitude, 4) = lon_key""")
+def q_cache_append_roundtrip(spark, d):
+    """K8 twice with overlapping keys, then J1: one row per key, one row per order."""
+    from ..sources import append_cache, load_cache
+    folder = _folder(spark)
+    entries = fx.customer_cache(spark, d)
+    append_cache(entries.where("lon_key < 15"), f"{folder}/cache.parquet")
+    append_cache(entries, f"{folder}/cache.parquet")
+    found = locate.lookup(fx.order_points(spark, d), load_cache(spark, f"{folder}/cache.parquet"))
+    return _kept(found.select("o_orderkey", "cached_location"), folder)
 
 
 @register("fold_accuracy", _with(fx.SCORED_LINEITEM_SQL) + """
@@ -806,7 +925,15 @@ def q_fold_accuracy(spark, d):
 # ======================================================================================
 # The whole workflow (the reference's end-to-end order) on orders x customer
 # ======================================================================================
-@register("pipeline_report")
+@register("pipeline_report", """
+WITH l AS (SELECT CASE WHEN substr(o_orderpriority, 1, 1) <= '2' THEN 1 ELSE 0 END AS y FROM orders JOIN customer ON o_custkey = c_custkey),
+c AS (SELECT y, count(*) AS n FROM l GROUP BY 1),
+t AS (SELECT sum(n) AS total, CAST(ceil(CAST(0.2 AS DOUBLE) * sum(n)) AS BIGINT) AS nt FROM c),
+b AS (SELECT y, (n * nt) // total AS base, (n * nt) % total AS rem FROM c, t),
+q AS (SELECT y, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, y) <= (SELECT nt FROM t) - (SELECT sum(base) FROM b) THEN 1 ELSE 0 END AS quota FROM b)
+SELECT CAST(y AS VARCHAR) AS label, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1, CAST(quota AS BIGINT) AS support FROM q
+UNION ALL SELECT 'accuracy', NULL, NULL, 1.0, nt FROM t
+UNION ALL SELECT unnest(['macro avg', 'weighted avg']), 1.0, 1.0, 1.0, nt FROM t""")
 def q_pipeline_report(spark, d):
     from .pipeline import PipelineConfig, run_pipeline
     o, c = fx.table(spark, d, "orders"), fx.table(spark, d, "customer")
@@ -818,11 +945,10 @@ def q_pipeline_report(spark, d):
         "c_mktsegment",
         F.col("o_totalprice").alias("price"),
         F.month("o_orderdate").cast("double").alias("month"),
+        F.substring("o_orderpriority", 1, 1).cast("double").alias("priority"),
         F.lit("unused").alias("comment"),
-        F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("y"))
+        (F.substring("o_orderpriority", 1, 1) <= "2").cast("int").alias("y"))
     cfg = PipelineConfig(label_col="y", id_cols=["o_orderkey"], drop_cols=["comment"], sources_col="sources",
                          lat_col="latitude", lon_col="longitude", encode_cols=["c_mktsegment", "location"],
-                         tune_trials=(1, 0), cv_splits=2, model_params=_SMALL_XGB,
-                         tune_bounds={"n_estimators": (5, 10), "max_depth": (2, 4), "learning_rate": (0.1, 0.3),
-                                      "min_child_weight": (1, 3)})
-    return run_pipeline(data, cfg, fx.location_cache(spark, d)).report
+                         tune_trials=(2, 2), cv_splits=5, validation_splits=10, tune_bounds=_BOUNDS)
+    return r6(run_pipeline(data, cfg, fx.location_cache(spark, d)).report)

@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _null_if(cond, c):
-    return F.when(cond, F.lit(None)).otherwise(F.col(c))
+    return F.when(cond, F.lit(None)).otherwise(F.col(c) if isinstance(c, str) else c)
 
 
 # -- orders with injected missing values ------------------------------------------------
@@ -107,6 +107,20 @@ def scored_lineitem(spark, d) -> DataFrame:
     )
 
 
+def scored_fine(spark, d) -> DataFrame:
+    """Line items with a score of thousands of distinct values that orders the classes unevenly (runs of one class occur)."""
+    li = table(spark, d, "lineitem")
+    return li.select(F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("y"),
+                     F.when(F.col("l_returnflag") == "R", F.round(F.col("l_extendedprice"), 0)).otherwise(
+                         F.round(F.col("l_extendedprice") / 10, 0) * 10).alias("score"))
+
+
+SCORED_FINE_SQL = """scored AS (
+  SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y,
+         CASE WHEN l_returnflag = 'R' THEN round(l_extendedprice, 0) ELSE round(l_extendedprice / 10, 0) * 10 END AS score
+  FROM lineitem)"""
+
+
 SCORED_LINEITEM_SQL = """scored AS (
   SELECT l_returnflag AS label,
          CASE WHEN l_discount = 0 THEN 'X' WHEN l_quantity < 17 THEN 'A'
@@ -179,6 +193,32 @@ LOCATION_RESPONSES_SQL = """resp AS (
   GROUP BY 1, 2)"""
 
 
+# -- every order's customer as a point; a cache that knows the points of some regions --------
+def order_points(spark, d) -> DataFrame:
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    return o.join(c, o["o_custkey"] == c["c_custkey"]).select(
+        "o_orderkey", _null_if(F.col("o_orderkey") % 4 == 0, F.col("c_acctbal") / 130.0).alias("latitude"),
+        (F.col("c_nationkey").cast("double") * 1.5).alias("longitude"))
+
+
+ORDER_POINTS_SQL = """pts_o AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE c_acctbal / 130.0 END AS latitude,
+         CAST(c_nationkey AS DOUBLE) * 1.5 AS longitude
+  FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
+def customer_cache(spark, d) -> DataFrame:
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    return c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).where("n_regionkey < 3").select(
+        F.round(F.col("c_acctbal") / 130.0, 4).alias("lat_key"),
+        F.round(F.col("c_nationkey").cast("double") * 1.5, 4).alias("lon_key"), F.col("n_name").alias("location"))
+
+
+CUSTOMER_CACHE_SQL = """cache_c AS (
+  SELECT round(c_acctbal / 130.0, 4) AS lat_key, round(CAST(c_nationkey AS DOUBLE) * 1.5, 4) AS lon_key, min(n_name) AS location
+  FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey < 3 GROUP BY 1, 2)"""
+
+
 # -- categorical events for ordinal encoding ---------------------------------------------
 def events_categorical(spark, d) -> DataFrame:
     e = table(spark, d, "events")
@@ -211,6 +251,24 @@ def orders_learning(spark, d) -> DataFrame:
     )
 
 
+def orders_separable(spark, d) -> DataFrame:
+    """As ``orders_learning``, but the label follows from one feature: the right answer of a learner is known.
+
+    ``y``: priority 1 or 2; ``kind``: three text classes by priority.
+    """
+    p = F.col("priority")
+    kind = F.when(p <= 2, "high").when(p == 3, "mid").otherwise("low")
+    return orders_learning(spark, d).withColumn("y", (p <= 2).cast("int")).withColumn("kind", kind)
+
+
+ORDERS_SEPARABLE_SQL = """sep AS (
+  SELECT o_orderkey, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority,
+         CASE WHEN CAST(substr(o_orderpriority, 1, 1) AS INTEGER) <= 2 THEN 1 ELSE 0 END AS y,
+         CASE WHEN CAST(substr(o_orderpriority, 1, 1) AS INTEGER) <= 2 THEN 'high'
+              WHEN CAST(substr(o_orderpriority, 1, 1) AS INTEGER) = 3 THEN 'mid' ELSE 'low' END AS kind
+  FROM orders)"""
+
+
 LEARN_FEATURES = ["price", "month", "year", "priority", "cust_bucket"]
 
 
