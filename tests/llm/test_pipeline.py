@@ -1,0 +1,81 @@
+"""The pipeline against the operators' brute-force definitions, stage by stage."""
+
+import random
+import re
+
+from pyspark.sql import functions as F
+from test_mixing import _brute as mixed
+from test_quality import _brute as judged
+from test_simhash import _components, _print
+from test_substring import _brute as repeated
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from tabwise.llm import quality_rules, source_mixing
+from tabwise.llm.tokens import tokenizer_file
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _documents(r):
+    vocabulary = [f"w{i}" for i in range(4000)]
+    shared = " ".join(r.choice(vocabulary) for _ in range(60))
+    rows = []
+    for i in range(60):
+        text = " ".join(r.choice(vocabulary) for _ in range(r.randrange(60, 400)))
+        if i % 7 == 0:
+            text += "\n" + shared
+        rows.append([i, text, "en", "big" if i % 3 else f"s{i % 4}", len(text)])
+    rows += [[100, rows[3][1], "en", "big", 1], [101, rows[4][1].replace("w1", "W1"), None, None, 1], [102, "too short", "en", "s0", 9], [103, "again and again " * 60, "en", "s1", 1],
+             [104, None, "en", "s2", None], [105, "", "fr", "s3", 0]]
+    return [tuple(x) for x in rows]
+
+
+def test_names_and_stages():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_dedup", "substring_dedup", "source_mixing", "best_fit_packing"]
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    rows = _documents(random.Random(11))
+    spark.createDataFrame(rows, SCHEMA).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    kept = [r for r in rows if judged(r[1], quality_rules.MIN_REPEAT, quality_rules.MAX_COVERED, quality_rules.MAX_LONGEST)[-1]]
+    assert len(kept) < len(rows)
+    kept.sort()
+    groups = _components(kept, [_print(r[1]) for r in kept])
+    kept = [r for r, (doc_id, first) in zip(kept, groups) if doc_id == first]
+    assert 100 not in {r[0] for r in kept} and 101 not in {r[0] for r in kept}
+    texts = []
+    for r, (words, gone) in zip(kept, repeated([r[1] for r in kept], 20)):
+        starts = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", r[1])] + [len(r[1])]
+        texts.append(r[1] if not any(gone) else "".join(r[1][a:b] for a, b, g in zip([0, *starts[1:-1]], starts[1:], gone) if not g))
+    assert any(t != r[1] for t, r in zip(texts, kept))
+    text_of = dict(zip((r[0] for r in kept), texts))
+    copies = mixed([(r[0], text_of[r[0]], r[3]) for r in kept], target_entropy=source_mixing.TARGET_ENTROPY)
+    whole = Tokenizer.from_file(tokenizer_file())
+    want = []
+    for doc_id, *_ in copies:
+        n = len(whole.encode(text_of[doc_id], add_special_tokens=False).ids) + 1
+        want += [(doc_id, k // 2048, k, min(2048, n - k)) for k in range(0, n, 2048)]
+    assert sorted((r.doc_id, r.piece, r.start, r.length) for r in got) == sorted(want) and len(copies) > len(kept)
+    used = {}
+    for r in got:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in x) <= 2048 for x in used.values())
+
+
+def test_stages_on_no_documents(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        assert out.count() == 0
+        docs = spark.createDataFrame([], out.schema) if "piece" in out.columns else out
+
+
+def test_all_stages_but_the_last_keep_the_columns(spark):
+    docs = spark.createDataFrame(_documents(random.Random(2))[:30], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.filter(F.col("text").isNull()).count() == 0
+        docs = out
