@@ -709,8 +709,10 @@ sp AS (SELECT o_orderkey, priority, y, CASE WHEN rn <= quota THEN 'test' ELSE 't
 _SEP = _with(fx.ORDERS_SEPARABLE_SQL, _SEP_SPLIT_SQL.format(y="y"))
 _SEP3 = _with(fx.ORDERS_SEPARABLE_SQL, _SEP_SPLIT_SQL.format(y="kind"))
 _EXACT = _SEP + "SELECT o_orderkey, y, CAST(y AS DOUBLE) AS prediction, true AS sure FROM sp WHERE split = 'test'"
-#: Rounds of the validation and search queries (30 and more fits each); single fits use the learners' defaults.
-_ROUNDS = (10, 30)
+#: Rounds searched by the queries of many fits (validation 10, search 20, pipeline 30 and more), and rounds of the queries
+#: whose subject is not training (importance, selection, scoring). train_* and build_model use the learners' defaults.
+_ROUNDS = (5, 10)
+_SOME = {"n_estimators": 20}
 _BOUNDS = {"learning_rate": (0.01, 0.3), "max_depth": (3, 10), "min_child_weight": (1, 10), "n_estimators": _ROUNDS}
 
 
@@ -762,7 +764,7 @@ def q_train_text_labels(spark, d):
 def q_feature_importance(spark, d):
     from ..operators import learn, select
     train, _ = _learn_split(spark, d)
-    built = learn.build_model(train, "y", fx.LEARN_FEATURES, model_type="xgb", exclude=["o_orderkey"])
+    built = learn.build_model(train, "y", fx.LEARN_FEATURES, model_type="xgb", model_params=_SOME, exclude=["o_orderkey"])
     return r6(select.importance_sorted(learn.feature_importance(built)))
 
 
@@ -770,7 +772,7 @@ def q_feature_importance(spark, d):
 def q_select_features(spark, d):
     from ..operators import select
     train, test = _learn_split(spark, d)
-    _, chosen, train_sel, test_sel, _ = select.select_features(train, "y", fx.LEARN_FEATURES, "xgb", top_n=1, test=test)
+    _, chosen, train_sel, test_sel, _ = select.select_features(train, "y", fx.LEARN_FEATURES, "xgb", top_n=1, test=test, model_params=_SOME)
     return train_sel.withColumn("split", F.lit("train")).unionByName(test_sel.withColumn("split", F.lit("test"))).select("split", *chosen, "y")
 
 
@@ -812,7 +814,8 @@ def q_score_batch(spark, d):
     from ..operators import learn
     data = fx.orders_separable(spark, d).drop("kind")
     train, _ = _learn_split(spark, d)
-    built = learn.build_model(train, "y", fx.LEARN_FEATURES, model_type="xgb", imputer_strategy="median", exclude=["o_orderkey"])
+    built = learn.build_model(train, "y", fx.LEARN_FEATURES, model_type="xgb", model_params=_SOME, imputer_strategy="median",
+                              exclude=["o_orderkey"])
     out = learn.score(built, data.drop("y"), keep=["o_orderkey"])
     return out.select("o_orderkey", "prediction", ((F.col("prediction") == 1) == (F.col("prob_1") > 0.5)).alias("sure"))
 
@@ -950,5 +953,5 @@ def q_pipeline_report(spark, d):
         (F.substring("o_orderpriority", 1, 1) <= "2").cast("int").alias("y"))
     cfg = PipelineConfig(label_col="y", id_cols=["o_orderkey"], drop_cols=["comment"], sources_col="sources",
                          lat_col="latitude", lon_col="longitude", encode_cols=["c_mktsegment", "location"],
-                         tune_trials=(2, 2), cv_splits=5, validation_splits=10, tune_bounds=_BOUNDS)
+                         tune_trials=(2, 2), cv_splits=5, validation_splits=10, tune_bounds=_BOUNDS, model_params=_SOME)
     return r6(run_pipeline(data, cfg, fx.location_cache(spark, d)).report)
