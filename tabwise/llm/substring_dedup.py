@@ -47,7 +47,7 @@ from tabwise.llm.common import materialize, mix64, offsets, steps, table, text_b
 
 MIN_WORDS, SEED = 20, 8
 #: Bytes of text whose anchors a task reduces together, and at most so many bytes of text for each bucket.
-FLUSH_BYTES, BUCKET_BYTES = 32 << 20, 128 << 20
+FLUSH_BYTES, BUCKET_BYTES = 12 << 20, 128 << 20
 #: Documents of the sample for heavy anchors, bytes read of each of them, share of the sample's classes from which an anchor is heavy.
 HEAVY_SAMPLE, HEAVY_BYTES, HEAVY = 2_000, 1 << 16, 1 / 500
 
