@@ -18,6 +18,8 @@ from .quantiles import quantile_map
 
 # Fixed value: Tukey fence multiplier used by the outlier rule.
 IQR_FACTOR = 1.5
+# Column pairs correlated in one aggregate.
+PAIRS_A_PASS = 300
 
 _STRICT64 = (T.LongType, T.DoubleType)
 
@@ -73,10 +75,14 @@ def iqr_fences(df: DataFrame, cols: Sequence[str], factor: float = IQR_FACTOR) -
     return out
 
 
-def outlier_counts(df: DataFrame, cols: Sequence[str] | None = None, factor: float = IQR_FACTOR) -> DataFrame:
-    """A3: rows strictly outside the Tukey fences per numeric column (nulls never count)."""
+def outlier_counts(df: DataFrame, cols: Sequence[str] | None = None, factor: float = IQR_FACTOR,
+                   fences: dict[str, tuple] | None = None) -> DataFrame:
+    """A3: rows strictly outside the Tukey fences per numeric column (nulls never count).
+
+    ``fences``: of ``iqr_fences``, if they are known already.
+    """
     cols = list(cols or numeric_columns(df))
-    fences = iqr_fences(df, cols, factor)
+    fences = fences or iqr_fences(df, cols, factor)
     exprs = []
     for c in cols:
         _, _, _, lo, hi = fences[c]
@@ -88,10 +94,11 @@ def outlier_counts(df: DataFrame, cols: Sequence[str] | None = None, factor: flo
         rows, "column_name STRING, q1 DOUBLE, q3 DOUBLE, lower DOUBLE, upper DOUBLE, n_outliers LONG")
 
 
-def box_stats(df: DataFrame, cols: Sequence[str] | None = None, factor: float = IQR_FACTOR) -> DataFrame:
+def box_stats(df: DataFrame, cols: Sequence[str] | None = None, factor: float = IQR_FACTOR,
+              fences: dict[str, tuple] | None = None) -> DataFrame:
     """A4: q1, median, q3 and whiskers (most extreme values inside the fences)."""
     cols = list(cols or numeric_columns(df))
-    fences = iqr_fences(df, cols, factor)
+    fences = fences or iqr_fences(df, cols, factor)
     aggs = []
     for c in cols:
         _, _, _, lo, hi = fences[c]
@@ -113,28 +120,32 @@ def class_counts(df: DataFrame, label_col: str) -> DataFrame:
 def correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame | None:
     """Pearson correlation matrix in long form (col_a, col_b, corr), pairwise-complete.
 
-    One aggregation pass for all pairs. A constant column gives NULL (no
+    One aggregation pass for every ``PAIRS_A_PASS`` pairs. A constant column gives NULL (no
     division error under ANSI mode). Fewer than two numeric columns -> None.
     """
     cols = list(cols or numeric_columns(df))
     if len(cols) < 2:
         return None
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            xa = F.when(both, F.col(a).cast("double"))
-            xb = F.when(both, F.col(b).cast("double"))
-            r = F.try_divide(F.covar_pop(xa, xb), F.stddev_pop(xa) * F.stddev_pop(xb))
-            aggs.append(r.alias(f"r{len(pairs)}"))
-            pairs.append((a, b))
-    wide = df.agg(*aggs)
-    entries = []
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    # An aggregate of a few hundred pairs at most: wide tables take several passes, not one with
+    # thousands of buffers.
+    blocks = [_correlate(df, pairs[i:i + PAIRS_A_PASS]) for i in range(0, len(pairs), PAIRS_A_PASS)]
+    out = blocks[0]
+    for block in blocks[1:]:
+        out = out.unionByName(block)
+    return out
+
+
+def _correlate(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    aggs, entries = [], []
     for k, (a, b) in enumerate(pairs):
-        entries.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{k}").alias("corr")))
-        if a != b:
-            entries.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), F.col(f"r{k}").alias("corr")))
-    return wide.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*")
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        xa = F.when(both, F.col(a).cast("double"))
+        xb = F.when(both, F.col(b).cast("double"))
+        aggs.append(F.try_divide(F.covar_pop(xa, xb), F.stddev_pop(xa) * F.stddev_pop(xb)).alias(f"r{k}"))
+        for x, y in dict.fromkeys([(a, b), (b, a)]):
+            entries.append(F.struct(F.lit(x).alias("col_a"), F.lit(y).alias("col_b"), F.col(f"r{k}").alias("corr")))
+    return df.agg(*aggs).select(F.explode(F.array(*entries)).alias("_e")).select("_e.*")
 
 
 def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -156,12 +167,17 @@ def union_train_test(train: DataFrame, test: DataFrame) -> DataFrame:
 
 def eda_summary(df: DataFrame, label_col: str | None = None, numeric_cols: Sequence[str] | None = None,
                 strict64: bool = False) -> dict:
-    """The whole profile as a dict of DataFrames (lazy where possible)."""
+    """The whole profile as a dict of DataFrames (lazy where possible); quartiles are computed once.
+
+    The missing map is by input partition, the blocks in which the rows are stored.
+    """
     num = list(numeric_cols or numeric_columns(df, strict64=strict64, exclude=[label_col] if label_col else []))
+    fences = iqr_fences(df, num) if num else None
     return {
         "missing": missing_counts(df),
-        "outlier_counts": outlier_counts(df, num) if num else None,
-        "box_stats": box_stats(df, num) if num else None,
+        "missing_map": missing_map(df, F.spark_partition_id()),
+        "outlier_counts": outlier_counts(df, num, fences=fences) if num else None,
+        "box_stats": box_stats(df, num, fences=fences) if num else None,
         "class_counts": class_counts(df, label_col) if label_col else None,
         "correlation": correlation(df, num),
         "duplicates": duplicate_count(df),

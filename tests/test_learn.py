@@ -103,3 +103,38 @@ def test_checkpoint_dir_comes_from_session(spark):
     from tabwise.session import checkpoint_dir
     d = checkpoint_dir(spark)
     assert d and spark.sparkContext.getCheckpointDir() == d
+
+
+def test_text_labels_and_class_probabilities(spark):
+    df = _synthetic(spark).withColumn("kind", F.when(F.col("num1") > 0.3, "up").when(F.col("num1") < -0.3, "down").otherwise("flat")).drop("label")
+    for algo in ("rf", "xgb"):
+        built = learn.build_model(df, "kind", ["num1", "num2", "num3", "num4"], model_type=algo, model_params={"n_estimators": 5, "max_depth": 4}, exclude=["id"])
+        out = learn.score(built, df, keep=["kind"])
+        assert out.columns == ["kind", "prediction", "prob_down", "prob_flat", "prob_up"]
+        row = out.agg(F.avg((F.col("kind") == F.col("prediction")).cast("double")).alias("hit"),
+                      F.max(F.abs(F.col("prob_down") + F.col("prob_flat") + F.col("prob_up") - 1)).alias("off")).first()
+        assert row.hit > 0.9 and row.off < 1e-9
+
+
+def test_missing_indicator_is_a_feature(spark):
+    df = spark.range(200).select("id", (F.col("id") % 10).cast("double").alias("noise"), F.when(F.col("id") % 2 == 0, 5.0).alias("x"),
+                                 (F.col("id") % 2).cast("int").alias("label"))
+    built = learn.build_model(df, "label", ["noise", "x"], model_type="rf", model_params={"n_estimators": 5, "max_depth": 3}, exclude=["id"])
+    assert "x__missing__f" in built.inputs and {r.feature for r in learn.feature_importance(built).collect()} == {"noise", "x"}
+    assert learn.score(built, df, keep=["label"]).where("label <> prediction").count() == 0
+
+
+def test_prep_runs_once_per_fold(spark, monkeypatch):
+    fits = []
+    real = learn.fit_prep
+    monkeypatch.setattr(learn, "fit_prep", lambda *a: fits.append(1) or real(*a))
+    df = _synthetic(spark, 60)
+    search.tune(df, "label", ["id"], ["num1", "num2", "num3", "num4"], "rf", cv_splits=2, init_points=2, n_iter=1,
+                bounds={"n_estimators": (1, 3), "max_depth": (2, 3)})
+    assert len(fits) == 2
+
+
+def test_a_continuous_label_is_refused(spark):
+    df = spark.range(1500).select("id", F.col("id").cast("double").alias("x"), F.col("id").cast("string").alias("label"))
+    with pytest.raises(ValueError, match="distinct"):
+        learn.build_model(df, "label", ["x"], model_type="rf", exclude=["id"])

@@ -63,3 +63,11 @@ def test_union_fills_missing_columns(spark):
     b = spark.createDataFrame([(2, "s")], "id INT, y STRING")
     rows = sorted(profile.union_train_test(a, b).collect(), key=lambda r: r.id)
     assert rows[0].y is None and rows[1].x is None
+
+
+def test_correlation_in_blocks_equals_one_pass(spark, monkeypatch):
+    df = spark.range(50).selectExpr("cast(id as double) a", "cast(id % 7 as double) b", "cast(id * id % 11 as double) c", "if(id % 3 = 0, null, 1.5) d")
+    whole = sorted((r.col_a, r.col_b, r["corr"] is None or round(r["corr"], 9)) for r in profile.correlation(df).collect())
+    monkeypatch.setattr(profile, "PAIRS_A_PASS", 3)
+    assert whole == sorted((r.col_a, r.col_b, r["corr"] is None or round(r["corr"], 9)) for r in profile.correlation(df).collect())
+    assert len(whole) == 16

@@ -37,3 +37,24 @@ def test_folds_spread_each_class(spark):
 def test_folds_too_many(spark):
     with pytest.raises(ValueError):
         stratified_folds(_data(spark, 3, 3, 3), "y", ["id"], 5, 42)
+
+
+def test_split_shuffles_once_before_its_write(spark):
+    """The ranked copy is made by one range exchange; nothing hashes the rows again."""
+    from pyspark.sql import functions as F
+
+    from tabwise.operators import ranking
+    plans = []
+    real = ranking.cut_lineage
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    ranking.cut_lineage = spy
+    try:
+        out = ranking.rank_within(spark.range(100).select("id", (F.col("id") % 3).alias("g")), "g", ["id"])
+        assert {(r.g, r._rn) for r in out.collect()} == {(i % 3, i // 3 + 1) for i in range(100)}
+    finally:
+        ranking.cut_lineage = real
+    assert len(plans) == 1 and plans[0].count("Exchange") == 1 and "rangepartitioning" in plans[0]
