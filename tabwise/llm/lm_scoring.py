@@ -49,7 +49,7 @@ from tabwise.llm.substring_dedup import word_hashes
 WORD_STEPS, BITS, HASHES = 4, 8, 5
 LAMBDA = 0.3
 #: Text of a block, about; filter bytes broadcast at once, at most (unless one region is larger).
-BLOCK_BYTES, FILTER_BYTES = 16 << 20, 128 << 20
+BLOCK_BYTES, FILTER_BYTES = 8 << 20, 128 << 20
 
 _END = np.uint64(0x5851F42D4C957F2D)
 _WORD_SALT, _LEVEL = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA24BAED4963EE407)
@@ -276,7 +276,7 @@ def lm_scores(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "te
     rows = docs.select(F.col(doc_id).cast("long").alias("__id"), F.coalesce(training, F.lit(True)).alias("__train"), text_bytes(F.col(text)).alias("__text"))
     size = int(rows.agg(F.sum(F.length("__text") + 2)).first()[0] or 0)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = buckets = max(least, -(-size // block_bytes))
+    blocks, buckets = max(least, -(-size // block_bytes)), max(least, -(-size // (2 * block_bytes)))
     width = min(64, 16 + max(1, size // 2).bit_length())
     rows = rows.withColumn("block", F.pmod(F.xxhash64("__id", "__text"), F.lit(blocks)).cast("int"))
     sent = rows.groupBy("block").applyInArrow(_send(buckets, width), _SENT)
