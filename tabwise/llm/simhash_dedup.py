@@ -34,7 +34,7 @@ from tabwise.llm.common import materialize, steps, table, text_bytes
 
 SHINGLE, MAX_BITS = 3, 2
 #: Fingerprints that the top of the tree is built from at most; about so many distinct fingerprints a shard; points of a leaf.
-SAMPLE, SHARD_POINTS, LEAF = 20_000, 16_384, 192
+SAMPLE, SHARD_POINTS, LEAF = 20_000, 4_096, 192
 _CHUNK = 1 << 16
 
 
