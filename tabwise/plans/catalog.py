@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import clean, encode, locate, metrics, prep, profile, split
+from ..operators.search import DEFAULT_BOUNDS
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -709,11 +710,8 @@ sp AS (SELECT o_orderkey, priority, y, CASE WHEN rn <= quota THEN 'test' ELSE 't
 _SEP = _with(fx.ORDERS_SEPARABLE_SQL, _SEP_SPLIT_SQL.format(y="y"))
 _SEP3 = _with(fx.ORDERS_SEPARABLE_SQL, _SEP_SPLIT_SQL.format(y="kind"))
 _EXACT = _SEP + "SELECT o_orderkey, y, CAST(y AS DOUBLE) AS prediction, true AS sure FROM sp WHERE split = 'test'"
-#: Rounds searched by the queries of many fits (validation 10, search 20, pipeline 30 and more), and rounds of the queries
-#: whose subject is not training (importance, selection, scoring). train_* and build_model use the learners' defaults.
-_ROUNDS = (5, 10)
-_SOME = {"n_estimators": 20}
-_BOUNDS = {"learning_rate": (0.01, 0.3), "max_depth": (3, 10), "min_child_weight": (1, 10), "n_estimators": _ROUNDS}
+#: The search space of tune and pipeline_report: the operator's own. Every other fit uses the learners' defaults (100 rounds).
+_BOUNDS = DEFAULT_BOUNDS["xgb"]
 
 
 def _learn_split(spark, d, label="y"):
@@ -751,8 +749,8 @@ def q_train_text_labels(spark, d):
     """Three text classes: predictions are labels again, and every class has a probability."""
     from ..operators import learn
     train, test = _learn_split(spark, d, "kind")
-    built = learn.build_model(train, "kind", fx.LEARN_FEATURES, model_type="xgb", model_params={"n_estimators": _ROUNDS[0]},
-                              imputer_strategy="median", exclude=["o_orderkey"])
+    built = learn.build_model(train, "kind", fx.LEARN_FEATURES, model_type="xgb", imputer_strategy="median",
+                              exclude=["o_orderkey"])
     out = learn.score(built, test, keep=["o_orderkey", "kind"])
     probs = [F.col(f"prob_{v}") for v in built.labels]
     own = F.element_at(F.create_map(*[x for v in built.labels for x in (F.lit(v), F.col(f"prob_{v}"))]), F.col("kind"))
@@ -764,7 +762,7 @@ def q_train_text_labels(spark, d):
 def q_feature_importance(spark, d):
     from ..operators import learn, select
     train, _ = _learn_split(spark, d)
-    built = learn.build_model(train, "y", fx.LEARN_FEATURES, model_type="xgb", model_params=_SOME, exclude=["o_orderkey"])
+    built = learn.build_model(train, "y", fx.LEARN_FEATURES, model_type="xgb", exclude=["o_orderkey"])
     return r6(select.importance_sorted(learn.feature_importance(built)))
 
 
@@ -772,7 +770,7 @@ def q_feature_importance(spark, d):
 def q_select_features(spark, d):
     from ..operators import select
     train, test = _learn_split(spark, d)
-    _, chosen, train_sel, test_sel, _ = select.select_features(train, "y", fx.LEARN_FEATURES, "xgb", top_n=1, test=test, model_params=_SOME)
+    _, chosen, train_sel, test_sel, _ = select.select_features(train, "y", fx.LEARN_FEATURES, "xgb", top_n=1, test=test)
     return train_sel.withColumn("split", F.lit("train")).unionByName(test_sel.withColumn("split", F.lit("test"))).select("split", *chosen, "y")
 
 
@@ -789,8 +787,7 @@ def q_build_model(spark, d):
 def q_cv_fold_f1(spark, d):
     from ..operators import search
     data = fx.orders_separable(spark, d).drop("kind")
-    return r6(search.cross_validate(data, "y", ["o_orderkey"], fx.LEARN_FEATURES, "xgb", None, "robust", "median",
-                                    params={"n_estimators": _ROUNDS[0]}))
+    return r6(search.cross_validate(data, "y", ["o_orderkey"], fx.LEARN_FEATURES, "xgb", None, "robust", "median"))
 
 
 def _trial_sql(name: str) -> str:
@@ -814,8 +811,7 @@ def q_score_batch(spark, d):
     from ..operators import learn
     data = fx.orders_separable(spark, d).drop("kind")
     train, _ = _learn_split(spark, d)
-    built = learn.build_model(train, "y", fx.LEARN_FEATURES, model_type="xgb", model_params=_SOME, imputer_strategy="median",
-                              exclude=["o_orderkey"])
+    built = learn.build_model(train, "y", fx.LEARN_FEATURES, model_type="xgb", imputer_strategy="median", exclude=["o_orderkey"])
     out = learn.score(built, data.drop("y"), keep=["o_orderkey"])
     return out.select("o_orderkey", "prediction", ((F.col("prediction") == 1) == (F.col("prob_1") > 0.5)).alias("sure"))
 
@@ -850,6 +846,23 @@ def q_train_rf_noisy(spark, d):
     return _noisy(spark, d, "rf", {"max_depth": 10})
 
 
+@register("cv_fold_f1_noisy", """
+WITH r AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y FROM orders),
+n AS (SELECT y, row_number() OVER (PARTITION BY y ORDER BY md5(concat_ws('|', '42', CAST(o_orderkey AS VARCHAR))), o_orderkey) AS rn FROM r),
+f AS (SELECT y, (rn - 1 + CASE WHEN y = 1 THEN (SELECT count(*) FROM r WHERE y = 0) ELSE 0 END) % 10 + 1 AS fold FROM n)
+SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n, count(*) FILTER (WHERE y = 1) AS n_1, true AS valid FROM f GROUP BY fold""")
+def q_cv_fold_f1_noisy(spark, d):
+    """Ten folds of the right sizes, each with F1 in [0, 1] whose mean is the macro F1."""
+    from ..operators import search
+    data = fx.orders_learning(spark, d)
+    scores = search.cross_validate(data, "y", ["o_orderkey"], fx.LEARN_FEATURES, "xgb", None, "robust", "median")
+    sizes = split.stratified_folds(data, "y", ["o_orderkey"], 10, 42).groupBy((F.col("fold") + 1).alias("fold")).agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("y") == 1, 1)).alias("n_1"))
+    valid = F.col("F1_0").between(0, 1) & F.col("F1_1").between(0, 1) & (
+        F.abs(F.col("macro_f1") - (F.col("F1_0") + F.col("F1_1")) / 2) < 1e-9)
+    return scores.join(sizes, "fold").select("fold", "n", "n_1", valid.alias("valid"))
+
+
 # ======================================================================================
 # Sources and sinks (S1, S2, S4, K1, K8): round trips through the shared folder
 # ======================================================================================
@@ -953,5 +966,5 @@ def q_pipeline_report(spark, d):
         (F.substring("o_orderpriority", 1, 1) <= "2").cast("int").alias("y"))
     cfg = PipelineConfig(label_col="y", id_cols=["o_orderkey"], drop_cols=["comment"], sources_col="sources",
                          lat_col="latitude", lon_col="longitude", encode_cols=["c_mktsegment", "location"],
-                         tune_trials=(2, 2), cv_splits=5, validation_splits=10, tune_bounds=_BOUNDS, model_params=_SOME)
+                         tune_trials=(2, 2), cv_splits=5, validation_splits=10, tune_bounds=_BOUNDS)
     return r6(run_pipeline(data, cfg, fx.location_cache(spark, d)).report)

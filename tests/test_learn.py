@@ -138,3 +138,34 @@ def test_a_continuous_label_is_refused(spark):
     df = spark.range(1500).select("id", F.col("id").cast("double").alias("x"), F.col("id").cast("string").alias("label"))
     with pytest.raises(ValueError, match="distinct"):
         learn.build_model(df, "label", ["x"], model_type="rf", exclude=["id"])
+
+
+class _Seen(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["cv_fold_f1", "cv_fold_f1_noisy", "train_text_labels", "feature_importance", "select_features",
+                                  "score_batch", "pipeline_report"])
+def test_queries_fit_the_default_rounds(spark, monkeypatch, name):
+    from tabwise.plans import catalog
+
+    def seen(algo, params=None, *a, **k):
+        raise _Seen(learn.spark_params(algo, params or {})["maxIter"])
+    monkeypatch.setattr(learn, "make_learner", seen)
+    with pytest.raises(_Seen) as got:
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert got.value.args == (100,)
+
+
+@pytest.mark.parametrize("name", ["tune", "pipeline_report"])
+def test_queries_search_the_default_bounds(spark, monkeypatch, name):
+    from tabwise.operators import select
+    from tabwise.plans import catalog
+
+    def seen(spark, n, bounds, *a):
+        raise _Seen(n, bounds)
+    monkeypatch.setattr(search, "candidates", seen)
+    monkeypatch.setattr(select, "select_features", lambda *a, **k: (None, ["priority"], None, None, None))
+    with pytest.raises(_Seen) as got:
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert got.value.args == (4, search.DEFAULT_BOUNDS["xgb"])
