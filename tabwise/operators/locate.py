@@ -99,13 +99,12 @@ def enrich_location(df: DataFrame, cache: DataFrame, id_cols: Sequence[str] | No
     if limit is not None:
         if not id_cols:
             raise ValueError("limit needs id_cols to define row order")
-        # The budget's rows are a top-``limit`` by id (a bounded heap in every task); only they are looked up.
-        first = out.where(todo).select(*id_cols).orderBy(*id_cols).limit(limit)
-        if limit > BROADCAST_IDS:
-            first = cut_lineage(first)
-        else:
-            first = F.broadcast(first)
-        marked = keyed.join(first.withColumn("_due", F.lit(True)), list(id_cols), "left")
+        # The budget's rows are a top-``limit`` by id (a bounded heap in every task); only they are looked up. They are marked
+        # by a row key, as ids may be null or repeated; the keyed rows are written once, so the row keys hold for both reads.
+        keyed = cut_lineage(keyed.withColumn("_row", F.monotonically_increasing_id()))
+        first = keyed.where(todo).select(*id_cols, "_row").orderBy(*id_cols, "_row").limit(limit).select("_row")
+        first = cut_lineage(first) if limit > BROADCAST_IDS else F.broadcast(first)
+        marked = keyed.join(first.withColumn("_due", F.lit(True)), "_row", "left")
         due = F.coalesce(F.col("_due"), F.lit(False)) & todo
         joined = _join_cache(marked.where(due), table, "_found")
         joined = joined.withColumn("_found", found).unionByName(

@@ -42,3 +42,14 @@ def test_missing_keys_and_json_import(spark):
     pts = spark.createDataFrame([(1, 51.50741, -0.12779, None), (2, 3.0, 4.0, None)], PTS)
     keys = [(r.lat_key, r.lon_key) for r in locate.missing_keys(pts, cache).collect()]
     assert keys == [(3.0, 4.0)]
+
+
+def test_budget_counts_rows_without_id_and_rows_of_one_id_once(spark):
+    cache = spark.createDataFrame([(1.0, 1.0, "A")], "lat_key DOUBLE, lon_key DOUBLE, location STRING")
+    pts = spark.createDataFrame([(None, 1.0, 1.0, None), (1, 1.0, 1.0, None), (1, 1.0, 1.0, None), (1, 1.0, 1.0, None),
+                                 (2, 1.0, 1.0, None), (1, 1.0, 1.0, "Kept")], PTS)
+    for limit, want in ((1, 1), (3, 3), (4, 4), (9, 5)):
+        out = locate.enrich_location(pts, cache, id_cols=["id"], limit=limit).collect()
+        assert sorted((r.id or 0) for r in out) == [0, 1, 1, 1, 1, 2]
+        assert sum(r.location == "A" for r in out) == want and sum(r.location == "Kept" for r in out) == 1
+        assert [r.location for r in out if r.id is None] == ["A"]
