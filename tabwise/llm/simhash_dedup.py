@@ -235,14 +235,14 @@ def near_components(prints: DataFrame, max_bits: int = MAX_BITS, sample: int = S
     return star_components(placed.groupBy("shard").applyInArrow(link, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", fp: str = "__fp", max_bits: int = MAX_BITS, **shards) -> DataFrame:
-    """``docs`` (a table that can be read again, with fingerprints) with component_id."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", fp: str = "__fp", max_bits: int = MAX_BITS, roots: bool = False, **shards) -> DataFrame:
+    """``docs`` (a table that can be read again, with fingerprints) with component_id; with ``roots``, also __root, a fingerprint for each component."""
     docs = docs.drop("component_id")
     prints = materialize(docs.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("first")), "prints")
-    roots = near_components(prints, max_bits, **shards)
-    of = prints.join(roots, prints.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    links = near_components(prints, max_bits, **shards)
+    of = prints.join(links, prints.fp == links.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = of.join(least, "root").select(F.col("fp").alias("__of"), "component_id")
+    known = of.join(least, "root").select(F.col("fp").alias("__of"), "component_id", *([F.col("root").alias("__root")] if roots else []))
     return docs.join(known, docs[fp] == known["__of"], "left").drop("__of")
 
 
@@ -256,12 +256,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the smallest id stays (of repeated rows, one)."""
     columns = docs.columns
     prints = materialize(with_fingerprints(docs), "fingerprints")
-    found = near_duplicates(prints.select("doc_id", "__fp"))
+    found = near_duplicates(prints.select("doc_id", "__fp"), roots=True)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__fp")).alias("s")
-    # A component whose documents have no id is named by none; each of its fingerprints then keeps a document.
-    group = F.coalesce(F.col("component_id"), F.col("__fp"))
-    kept = (found.groupBy(F.col("component_id").isNull().alias("none"), group.alias("g")).agg(first)
-            .select(F.col("s.doc_id").alias("__id"), F.col("s.__fp").alias("__f")))
+    # By root, as a component whose documents have no id is named by none: of those the smallest fingerprint stays.
+    kept = found.groupBy("__root").agg(first).select(F.col("s.doc_id").alias("__id"), F.col("s.__fp").alias("__f"))
     rows = found.groupBy(F.col("doc_id").alias("__id"), F.col("__fp").alias("__f")).agg(F.count("*").alias("__n"))
     kept = kept.join(rows, kept["__id"].eqNullSafe(rows["__id"]) & (kept["__f"] == rows["__f"])).select(kept["__id"], kept["__f"], "__n")
     stay = prints.join(kept, prints["doc_id"].eqNullSafe(kept["__id"]) & (prints["__fp"] == kept["__f"]))

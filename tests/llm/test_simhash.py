@@ -111,3 +111,12 @@ def test_stage_keeps_one_of_each_group(spark):
     assert got.columns == docs.columns
     kept = sorted(map(tuple, got.collect()), key=str)
     assert len(kept) == 4 and {k[0] for k in kept} == {3, 9, None, 7}
+
+
+def test_stage_keeps_one_of_a_group_without_ids(spark, monkeypatch):
+    prints = {"a": 0, "b": 1, "c": 3, "d": 7 << 40, "e": 7 << 40, "f": 15 << 20}
+    monkeypatch.setattr(sd, "with_fingerprints", lambda docs: docs.withColumn("__fp", F.create_map(
+        *[x for k, v in prints.items() for x in (F.lit(k), F.lit(v).cast("long"))])[F.col("text")]))
+    docs = spark.createDataFrame([(None, "c"), (None, "a"), (None, "b"), (5, "d"), (None, "e"), (5, "f"), (None, "b")], "doc_id long, text string")
+    got = sorted((r.text, r.doc_id) for r in sd.stage(spark, docs, "").collect())
+    assert got == [("a", None), ("d", 5), ("f", 5)]
