@@ -49,6 +49,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def set_aside(docs: DataFrame, names) -> tuple[DataFrame, list]:
+    """``docs`` with its columns of these names (an operator's results) renamed, and the columns that give ``docs`` back from the outcome."""
+    clash = {n.lower() for n in names}
+    other = {c: f"__own{i}_{c}" if c.lower() in clash else c for i, c in enumerate(docs.columns)}
+    return docs.withColumnsRenamed({c: o for c, o in other.items() if c != o}), [F.col(f"`{o}`").alias(c) for c, o in other.items()]
+
+
 def filesystem(uri: str):
     """pyarrow file system and path of a shared folder's URI, for tasks that write or range-read files."""
     from pyarrow import fs

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwise.llm.common import offsets, steps, table, text_bytes
+from tabwise.llm.common import offsets, set_aside, steps, table, text_bytes
 
 #: Words of the shortest repeat that counts, most of the words that repeats may cover, words of the longest repeat allowed.
 MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 10, 0.3, 200
@@ -34,6 +34,7 @@ MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 10, 0.3, 200
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")
+RESULTS = (*COUNTS, "base_failed", "kept", "__text")
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
 _WORD_CHAR = np.ones(256, np.int64)  # the first byte of a code point that is no separator
@@ -159,7 +160,7 @@ def apply_rules(docs: DataFrame, text: str = "text", min_repeat: int = MIN_REPEA
     """``docs`` with the columns of ``COUNTS``, base_failed and kept."""
     if min_repeat < 3:
         raise ValueError("min_repeat must be 3 at least")
-    docs = docs.drop(*(c for c in (*COUNTS, "base_failed", "kept", "__text") if c != text))
+    docs = docs.drop(*(c for c in RESULTS if c != text))
     inner = docs.withColumn("__text", text_bytes(F.col(text)))
     schema = docs.schema
     for c in COUNTS:
@@ -181,7 +182,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the rules keep."""
-    columns = docs.columns
+    docs, columns = set_aside(docs, RESULTS)
     return apply_rules(docs).filter("kept").select(*columns)
 
 

@@ -37,13 +37,14 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabwise.llm.common import materialize, table
+from tabwise.llm.common import materialize, set_aside, table
 
 #: Entropy wanted, as a share of the logarithm of the number of sources; most times that a source may be used.
 TARGET_ENTROPY, MAX_REPEATS = 0.998, 2.0
 SEED, BLOCKS, MAX_SOURCES = 17, 4096, 100_000
 #: Halvings of the range of exponents, 0 to 1.
 HALVINGS = 60
+RESULTS = ("n_tokens", "epoch", "place")
 _UNIT = float(16**15)
 
 
@@ -153,7 +154,7 @@ def _plan_schema(docs: DataFrame, source: str, last: str = "cut long") -> str:
 def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text", **targets) -> DataFrame:
     """``docs``, each row as often as its source's plan has it, with n_tokens, epoch (from 0) and place."""
     of = F.broadcast(plan(docs, source, doc_id, text, **targets).select("__source", F.col("often").alias("__often"), F.col("epochs").alias("__epochs"), F.col("cut").alias("__cut")))
-    columns = [c for c in docs.columns if c not in ("n_tokens", "epoch", "place")]
+    columns = [c for c in docs.columns if c not in RESULTS]
     key = F.col("__key")
     rows = (docs.withColumn("__key", _key(doc_id, text)).withColumn("__n", _tokens(text))
             .join(of, F.col(source).eqNullSafe(F.col("__source"))))
@@ -170,8 +171,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents, repeated as the weights want it (every document once at least)."""
-    return mix(docs).select(*docs.columns)
+    """Pipeline stage: the documents, repeated as the weights want it (every document once at least), in order of place."""
+    docs, columns = set_aside(docs, RESULTS)
+    # Copies of a row without another id have one place; the row number only spreads them over the ranges.
+    return mix(docs).orderBy("place", F.monotonically_increasing_id()).select(*columns)
 
 
 #: The bisection for the entropy is a recursion; the limit without a budget has a closed form.

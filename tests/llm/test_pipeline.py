@@ -79,3 +79,22 @@ def test_all_stages_but_the_last_keep_the_columns(spark):
         out = stage(spark, docs, "")
         assert out.columns == docs.columns and out.filter(F.col("text").isNull()).count() == 0
         docs = out
+
+
+def test_stages_keep_the_values_of_columns_named_like_results(spark):
+    text = " ".join(f"w{i}" for i in range(120))
+    docs = spark.createDataFrame([(i, f"{text} {i}", "ab"[i % 2], -i, f"k{i}", i / 4, -7 - i, f"t{i}") for i in range(20)],
+                                 "doc_id long, text string, source string, n_words long, Kept string, place double, epoch int, n_tokens string")
+    want = sorted(map(tuple, docs.collect()))
+    for stage in (quality_rules.stage, source_mixing.stage):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        assert sorted(set(map(tuple, out.collect()))) == want
+
+
+def test_mixing_stage_writes_rows_by_place(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text of {i} " * 30, "big" if i % 5 else "small") for i in range(300)], "doc_id long, text string, source string").repartition(3)
+    want = [r.doc_id for r in source_mixing.mix(docs).orderBy("place").collect()]
+    source_mixing.stage(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    files = sorted(tmp_path.glob("mixed/part-*"))
+    assert [i for f in files for i in spark.read.parquet(str(f)).toPandas()["doc_id"]] == want and len(want) > 300
