@@ -2,7 +2,7 @@
 
 Fingerprints are reduced to distinct values first, so copies, however many,
 are one point. The top of a vantage-point tree, built from a bounded sample
-(``SAMPLE`` fingerprints, the smallest by hash), cuts the space into shards: at
+(``SAMPLE`` fingerprints, or 16 for each shard wanted up to ``MAX_SAMPLE``, the smallest by hash), cuts the space into shards: at
 each node a point goes inside if its Hamming distance to the vantage point is at
 most the median distance, else outside. A point whose ball of ``max_bits``
 crosses the boundary could have partners on the other side too, so it is also
@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from tabwise.llm.common import materialize, steps, table, text_bytes
 
 SHINGLE, MAX_BITS = 3, 2
-#: Fingerprints that the top of the tree is built from at most; about so many distinct fingerprints a shard; points of a leaf.
+#: Fingerprints that the top of the tree is built from at least (if there are); about so many distinct fingerprints a shard; points of a leaf.
 SAMPLE, SHARD_POINTS, LEAF = 20_000, 4_096, 192
+#: The sample has this many fingerprints for each shard, and at most so many (8 MB on the driver; 65,536 shards).
+SHARD_SAMPLE, MAX_SAMPLE = 16, 1 << 20
 _CHUNK = 1 << 16
 
 
@@ -214,10 +216,11 @@ def near_components(prints: DataFrame, max_bits: int = MAX_BITS, sample: int = S
     """(fp, root) for every distinct value of ``prints.fp`` that has another within ``max_bits``."""
     spark = prints.sparkSession
     n = prints.count()
-    some = prints.orderBy(F.xxhash64("fp"), "fp").limit(sample).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     depth = max(0, int(np.ceil(np.log2(max(1, n / shard_points)))))
-    tree = shard_tree(some, min(depth, max(0, int(np.log2(max(1, len(some) / 16))))))
-    shared = spark.sparkContext.broadcast(tree)  # a node for every two shards, at most sample / 16 shards
+    sample = max(sample, min(SHARD_SAMPLE << depth, MAX_SAMPLE))
+    some = prints.orderBy(F.xxhash64("fp"), "fp").limit(sample).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    tree = shard_tree(some, min(depth, max(0, int(np.log2(max(1, len(some) / SHARD_SAMPLE))))))
+    shared = spark.sparkContext.broadcast(tree)  # a node for every two shards, at most MAX_SAMPLE / SHARD_SAMPLE shards
 
     def assign(batches):
         for batch in batches:

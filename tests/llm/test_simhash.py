@@ -120,3 +120,12 @@ def test_stage_keeps_one_of_a_group_without_ids(spark, monkeypatch):
     docs = spark.createDataFrame([(None, "c"), (None, "a"), (None, "b"), (5, "d"), (None, "e"), (5, "f"), (None, "b")], "doc_id long, text string")
     got = sorted((r.text, r.doc_id) for r in sd.stage(spark, docs, "").collect())
     assert got == [("a", None), ("d", 5), ("f", 5)]
+
+
+def test_sample_grows_with_the_shards_wanted(spark, monkeypatch):
+    r, seen, tree = random.Random(3), [], sd.shard_tree
+    monkeypatch.setattr(sd, "shard_tree", lambda points, depth: seen.append((len(points), depth)) or tree(points, depth))
+    monkeypatch.setattr(sd, "star_components", lambda edges: edges)
+    prints = spark.createDataFrame([(r.getrandbits(63),) for _ in range(1000)], "fp long")
+    sd.near_components(prints, sample=64, shard_points=40)
+    assert seen == [(512, 5)]
