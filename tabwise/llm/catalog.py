@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabwise.llm import lm_scoring, packing, quality_rules, simhash_dedup, source_mixing, substring_dedup, token_binary, topk_search, url_filters, warc_zip
+from tabwise.llm import bitplane_clusters, lm_scoring, packing, quality_rules, simhash_dedup, source_mixing, substring_dedup, token_binary, topk_search, url_filters, warc_zip
 
 QUERIES = {
     "op1_token_binary": token_binary.op1_token_binary,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_source_mixing": source_mixing.op10_source_mixing,
+    "op12_bitplane_clusters": bitplane_clusters.op12_bitplane_clusters,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op8_url_filters": url_filters.SQL,
     "op9_quality_rules": quality_rules.SQL,
     "op10_source_mixing": source_mixing.SQL,
+    "op12_bitplane_clusters": bitplane_clusters.SQL,
 }
