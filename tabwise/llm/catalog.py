@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabwise.llm import bitplane_clusters, lm_scoring, packing, quality_rules, simhash_dedup, source_mixing, substring_dedup, token_binary, topk_search, url_filters, warc_zip
+from tabwise.llm import bitplane_clusters, collision_search, lm_scoring, packing, phrase_mining, quality_rules, simhash_dedup, source_mixing, substring_dedup, token_binary, topk_search, url_filters, warc_zip
 
 QUERIES = {
     "op1_token_binary": token_binary.op1_token_binary,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_source_mixing": source_mixing.op10_source_mixing,
+    "op11_collision_search": collision_search.op11_collision_search,
     "op12_bitplane_clusters": bitplane_clusters.op12_bitplane_clusters,
+    "op13_phrase_mining": phrase_mining.op13_phrase_mining,
 }
 
 ORACLES = {
@@ -26,4 +28,5 @@ ORACLES = {
     "op9_quality_rules": quality_rules.SQL,
     "op10_source_mixing": source_mixing.SQL,
     "op12_bitplane_clusters": bitplane_clusters.SQL,
+    "op13_phrase_mining": phrase_mining.SQL,
 }
