@@ -9,6 +9,10 @@ and AUC use range-partitioned running sums over the distinct scores.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol
 from pyspark.sql import DataFrame
@@ -124,27 +128,60 @@ def _score_table(df: DataFrame, label_col: str, score_col: str) -> DataFrame:
             .agg(F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg")))
 
 
+def _bends(curve: DataFrame) -> DataFrame:
+    """Points (_i, score, tps, fps) of a curve, sorted by ``_i`` in their partitions, at which its slope changes, and its ends."""
+    where = F.spark_partition_id().alias("part")
+    ends = curve.groupBy(where).agg(*[f(F.struct("_i", "fps", "tps")).alias(n) for n, f in (("first", F.min), ("last", F.max))])
+    edges = [(tuple(r["first"]), tuple(r["last"])) for r in ends.orderBy("first").collect()]  # two rows a partition
+    before = {later[0][0]: earlier[1][1:] for earlier, later in zip(edges, edges[1:])}  # by the place of a partition's first row
+    after = {earlier[1][0]: later[0][1:] for earlier, later in zip(edges, edges[1:])}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row of the batch before, and its earlier neighbour, wait for their later one
+
+        def keep(batch: pa.RecordBatch, earlier, later) -> pa.RecordBatch:
+            """The rows of ``batch`` that stay; ``earlier`` and ``later`` are (fps, tps) beside it or None at the curve's ends."""
+            bend = np.zeros(batch.num_rows, bool)
+            for column, name in enumerate(("fps", "tps")):
+                x = batch.column(name).to_numpy()
+                x = np.concatenate([[x[0] if earlier is None else earlier[column]], x, [x[-1] if later is None else later[column]]])
+                bend |= np.diff(x, 2) != 0
+            bend[0] |= earlier is None
+            bend[-1] |= later is None
+            return batch.filter(pa.array(bend))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                rows, earlier = held
+                yield keep(rows, earlier, (batch.column("fps")[0].as_py(), batch.column("tps")[0].as_py()))
+                earlier = (rows.column("fps")[-1].as_py(), rows.column("tps")[-1].as_py())
+            else:
+                earlier = before.get(batch.column("_i")[0].as_py())
+            held = batch, earlier
+        if held is not None:
+            yield keep(*held, after.get(held[0].column("_i")[-1].as_py()))
+
+    return curve.mapInArrow(run, curve.schema)
+
+
 def roc_points(df: DataFrame, label_col: str = "label", score_col: str = "score",
                drop_intermediate: bool = False) -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score, descending, plus the (0, 0) start (threshold NULL).
 
     ``drop_intermediate`` keeps only the first and last point and the points
     where the curve changes slope (non-zero second difference of the
-    false / true positive counts). Neighbours are found through the global
-    rank with two equi-joins (rank - 1, rank + 1), never in one task.
+    false / true positive counts). The ranked points lie sorted in their partitions:
+    one pass compares each with its neighbours there, and the neighbours of a partition's
+    ends come from a table of two rows a partition.
     """
     st = _score_table(df, label_col, score_col)
     cum = global_cumulative(st, [F.col("score").desc()], {"tps": "pos", "fps": "neg"}, rank_col="_i")
     tot = st.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("D")).collect()[0]
     n_pos, n_neg, n_pts = float(tot["P"] or 0), float(tot["N"] or 0), int(tot["D"] or 0)
     if drop_intermediate and n_pts > 2:
-        cur = cum.select("_i", "score", "tps", "fps")
-        prev = cum.select((F.col("_i") + 1).alias("_i"), F.col("tps").alias("_tp0"), F.col("fps").alias("_fp0"))
-        nxt = cum.select((F.col("_i") - 1).alias("_i"), F.col("tps").alias("_tp2"), F.col("fps").alias("_fp2"))
-        j = cur.join(prev, "_i", "left").join(nxt, "_i", "left")
-        bend = ((F.col("_fp2") - 2 * F.col("fps") + F.col("_fp0")) != 0) | \
-               ((F.col("_tp2") - 2 * F.col("tps") + F.col("_tp0")) != 0)
-        cum = j.where((F.col("_i") == 1) | (F.col("_i") == n_pts) | bend)
+        cum = _bends(cut_lineage(cum.select("_i", "score", "tps", "fps")))
     pts = cum.select(
         F.col("score").alias("threshold"),
         F.try_divide(F.col("fps").cast("double"), F.lit(n_neg)).alias("fpr"),

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..sources.readers import quoted
 from .quantiles import quantile_map
+from .sketches import sketch_quantile_map
 
 IMPUTERS = ("median", "mean", "most_frequent")
 SCALERS = ("robust",)
@@ -45,8 +46,9 @@ def _lit_sql(v) -> str:
     return f"CAST('{float(v)!r}' AS DOUBLE)"
 
 
-def column_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
-    qm = quantile_map(df, cols, [0.5])
+def column_medians(df: DataFrame, cols: Sequence[str], sketches: DataFrame | None = None) -> dict[str, float | None]:
+    """T5: exact medians, or those of merged ``sketches`` (then the data is not read)."""
+    qm = quantile_map(df, cols, [0.5]) if sketches is None else sketch_quantile_map(sketches, cols, [0.5])
     return {c: qm[c].get(0.5) for c in cols}
 
 
@@ -83,9 +85,10 @@ def impute(df: DataFrame, constants: dict[str, object]) -> DataFrame:
                        else quoted(c) for c in df.columns])
 
 
-def robust_constants(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float | None, float]]:
-    """(median, IQR) per column; an IQR of 0 is replaced by 1."""
-    qm = quantile_map(df, cols, [0.25, 0.5, 0.75])
+def robust_constants(df: DataFrame, cols: Sequence[str], sketches: DataFrame | None = None) -> dict[str, tuple[float | None, float]]:
+    """(median, IQR) per column, exact or of merged ``sketches``; an IQR of 0 is replaced by 1."""
+    probs = [0.25, 0.5, 0.75]
+    qm = quantile_map(df, cols, probs) if sketches is None else sketch_quantile_map(sketches, cols, probs)
     out = {}
     for c in cols:
         q1, med, q3 = qm[c].get(0.25), qm[c].get(0.5), qm[c].get(0.75)

@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.readers import quoted
+from .gram import gram_correlation
 from .quantiles import quantile_map
+from .sketches import sketch_quantile_map
 
 # Fixed value: Tukey fence multiplier used by the outlier rule.
 IQR_FACTOR = 1.5
-# Column pairs correlated in one aggregate.
+# Column pairs correlated in one aggregate; an aggregate of thousands would hold thousands of buffers.
 PAIRS_A_PASS = 300
 
 _STRICT64 = (T.LongType, T.DoubleType)
@@ -61,9 +64,10 @@ def missing_map(df: DataFrame, bucket: str | F.Column, cols: Sequence[str] | Non
         "bucket", "_s.column_name", (F.col("_s.m") / F.col("_n")).alias("missing_share"))
 
 
-def iqr_fences(df: DataFrame, cols: Sequence[str], factor: float = IQR_FACTOR) -> dict[str, tuple]:
-    """Exact Q1/median/Q3 and Tukey fences per column (bounded driver constants)."""
-    qm = quantile_map(df, cols, [0.25, 0.5, 0.75])
+def iqr_fences(df: DataFrame, cols: Sequence[str], factor: float = IQR_FACTOR, sketches: DataFrame | None = None) -> dict[str, tuple]:
+    """Q1/median/Q3 and Tukey fences per column (bounded driver constants): exact, or of merged ``sketches`` (then the data is not read)."""
+    probs = [0.25, 0.5, 0.75]
+    qm = quantile_map(df, cols, probs) if sketches is None else sketch_quantile_map(sketches, cols, probs)
     out = {}
     for c in cols:
         q1, med, q3 = qm[c].get(0.25), qm[c].get(0.5), qm[c].get(0.75)
@@ -120,20 +124,15 @@ def class_counts(df: DataFrame, label_col: str) -> DataFrame:
 def correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame | None:
     """Pearson correlation matrix in long form (col_a, col_b, corr), pairwise-complete.
 
-    One aggregation pass for every ``PAIRS_A_PASS`` pairs. A constant column gives NULL (no
+    Up to ``PAIRS_A_PASS`` pairs are one aggregate; more come from one Gram matrix over Arrow
+    batches, so the table is scanned twice however wide it is. A constant column gives NULL (no
     division error under ANSI mode). Fewer than two numeric columns -> None.
     """
     cols = list(cols or numeric_columns(df))
     if len(cols) < 2:
         return None
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    # An aggregate of a few hundred pairs at most: wide tables take several passes, not one with
-    # thousands of buffers.
-    blocks = [_correlate(df, pairs[i:i + PAIRS_A_PASS]) for i in range(0, len(pairs), PAIRS_A_PASS)]
-    out = blocks[0]
-    for block in blocks[1:]:
-        out = out.unionByName(block)
-    return out
+    return _correlate(df, pairs) if len(pairs) <= PAIRS_A_PASS else gram_correlation(df, cols)
 
 
 def _correlate(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -149,10 +148,19 @@ def _correlate(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Rows beyond the first of each group of identical rows (NULLs compare equal)."""
-    cols = list(cols or df.columns)
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-    return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("n_duplicates"))
+    """Rows beyond the first of each group of identical rows (NULLs compare equal).
+
+    Rows are first counted by a 128-bit fingerprint, so a table without repeats shuffles 16 bytes a
+    row, not its rows. Only rows whose fingerprint occurs again are then compared whole.
+    """
+    cols = [quoted(c) for c in (cols or df.columns)]
+    # Two hashes of 64 bits; NULLs are hashed by where they are, too.
+    there = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in cols])
+    print_ = F.struct(F.xxhash64(*cols), F.xxhash64(there, *cols[::-1])).alias("_print")
+    again = df.select(print_).groupBy("_print").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_print")
+    rows = df.select(print_, *[c.alias(f"_c{i}") for i, c in enumerate(cols)])
+    groups = rows.join(again, "_print", "left_semi").groupBy("_print", *[f"_c{i}" for i in range(len(cols))]).agg(F.count(F.lit(1)).alias("_n"))
+    return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("n_duplicates"))
 
 
 def label_universe(df: DataFrame, label_col: str) -> DataFrame:

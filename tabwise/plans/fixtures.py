@@ -56,6 +56,22 @@ EVENTS_NUMERIC_SQL = """events_x AS (
   FROM events)"""
 
 
+# -- lineitem's numbers in each month of shipping: 48 columns, empty outside their month -----
+_WIDE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def lineitem_wide(spark, d) -> DataFrame:
+    """One column for each number and shipping month, present in half a year from that month on."""
+    month = F.month("l_shipdate")
+    return table(spark, d, "lineitem").select(*[
+        F.when((month - m + 12) % 12 < 6, F.col(c)).alias(f"{c}_{m}") for c in _WIDE for m in range(1, 13)])
+
+
+WIDE_COLS = [f"{c}_{m}" for c in _WIDE for m in range(1, 13)]
+LINEITEM_WIDE_SQL = "wide AS (SELECT " + ", ".join(
+    f"CASE WHEN (month(l_shipdate) - {m} + 12) % 12 < 6 THEN {c}::DOUBLE END AS {c}_{m}" for c in _WIDE for m in range(1, 13)) + " FROM lineitem)"
+
+
 # -- lineitem with a null-injected copy and a constant column ----------------------------
 def lineitem_corr(spark, d) -> DataFrame:
     li = table(spark, d, "lineitem")

@@ -74,3 +74,19 @@ def test_roc_drop_intermediate(spark):
     keep = np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True]
     want = sorted([(0.0, 0.0)] + [(f / 4, t / 5) for f, t, k in zip(fps, tps, keep) if k])
     assert kept == want and len(kept) < len(full)
+
+
+@pytest.mark.parametrize("parts", [1, 8])
+def test_curve_without_straight_points_over_partitions(spark, parts):
+    import numpy as np
+
+    r = np.random.default_rng(parts)
+    rows = [(int(r.random() < s / 40), float(s)) for s in r.integers(0, 40, 300)] + [(1, 100.0 + i) for i in range(30)] + [(0, -1.0 - i) for i in range(30)]
+    df = spark.createDataFrame(rows, "label INT, score DOUBLE").repartition(parts)
+    got = sorted(((r.threshold, r.fpr, r.tpr) for r in metrics.roc_points(df, drop_intermediate=True).collect() if r.threshold is not None), reverse=True)
+    scores = sorted({s for _, s in rows}, reverse=True)
+    tps = [sum(y for y, s in rows if s >= t) for t in scores]
+    fps = [sum(1 - y for y, s in rows if s >= t) for t in scores]
+    keep = [i for i in range(len(scores)) if i in (0, len(scores) - 1) or tps[i + 1] - 2 * tps[i] + tps[i - 1] or fps[i + 1] - 2 * fps[i] + fps[i - 1]]
+    assert len(keep) < len(scores) - 50
+    assert got == [(scores[i], fps[i] / fps[-1], tps[i] / tps[-1]) for i in keep]

@@ -71,3 +71,14 @@ def test_correlation_in_blocks_equals_one_pass(spark, monkeypatch):
     monkeypatch.setattr(profile, "PAIRS_A_PASS", 3)
     assert whole == sorted((r.col_a, r.col_b, r["corr"] is None or round(r["corr"], 9)) for r in profile.correlation(df).collect())
     assert len(whole) == 16
+
+
+def test_duplicates_compare_whole_rows_of_repeated_fingerprints(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(None, 1.0, "a"), (1, None, "a"), (None, 1.0, "a"), (1, 0.0, "b"), (1, -0.0, "b"), (2, float("nan"), None), (2, float("nan"), None), (3, 3.0, "")] + [(7, 7.0, "hot")] * 50
+    df = spark.createDataFrame(rows, "`a.b` INT, x DOUBLE, s STRING")
+    assert profile.duplicate_count(df).first().n_duplicates == 1 + 1 + 1 + 49
+    assert profile.duplicate_count(df, ["s"]).first().n_duplicates == len(rows) - 5
+    assert profile.duplicate_count(df.where(F.lit(False))).first().n_duplicates == 0
+    assert profile.duplicate_count(df.limit(2)).first().n_duplicates == 0
