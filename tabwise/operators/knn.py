@@ -2,40 +2,46 @@
 
 Used by SMOTE (neighbours inside a class) and ENN (neighbours over all rows).
 
-1. Pivots: in each group the ``m`` rows with the smallest md5(seed|id) are
-   pivots, m ~ group size / ``block_rows`` (bounded constants, broadcast).
-2. Every point is assigned to the cell of its nearest pivot. Pass A finds
-   the k nearest points inside the own cell; their k-th distance ``rho``
-   bounds the true k-th neighbour distance. A cell j can hold a point closer
-   than ``rho`` only if the distance from the query to the bisector of
-   (own pivot, pivot j) is <= rho; pass B sends the query to exactly those
-   cells (all cells when the own cell has fewer than k other points).
-3. A cell's data rows are cut into chunks of at most ``block_rows`` rows and
-   its query rows likewise; each (cell, query chunk, data chunk) is one
-   bounded task that computes distances with numpy and emits only its top k
-   per query -- a cell holding a third of all rows becomes many tasks.
-4. Per query the candidates of all tasks are merged: top k by (distance, id).
-
-Ties are exact: candidates at distance <= rho are never pruned, and the
-order is (squared distance, neighbour id) everywhere.
+1. Tree: a group's rows are one node. Every node of more than ``block_rows`` rows is
+   split by pivots of its own (2 to ``BRANCHES`` rows with the smallest md5, about two for each
+   ``block_rows`` rows): each row goes to the child of its nearest pivot. The next
+   level splits the children that are still too large, so a dense cell of distinct
+   points is cut as far as a sparse one. Nodes with their row counts and bounds
+   (smallest and largest value of each feature) are a table, as are the pivots; nothing of them
+   reaches the driver but the number of nodes left to split.
+2. Pass A finds the k nearest rows inside the own leaf; the k-th distance bounds the
+   true one. A row whose leaf has fewer than k others is bounded by the farthest
+   corner of its parent, which has more rows than that.
+3. Pass B sends every row down the tree, level by level, into the nodes whose
+   bounds come within that distance, and so to the leaves that can hold a
+   nearer row.
+4. A leaf's data rows and query rows are cut into chunks of at most ``block_rows``
+   rows; each (leaf, query chunk, data chunk) is one bounded task that computes
+   distances with numpy and emits only its top k per query. The candidates of all
+   tasks are merged: top k by (distance, id).
+
+Ties are exact: a node at the very distance of the k-th row is visited (its bounds'
+distance is summed in the same order as that of its rows, so rounding cannot
+make it larger), and the order is (squared distance, neighbour id) everywhere.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hash_uniform
 from ..session import cut_lineage
-from .ranking import global_cumulative, rank_within
+from .ranking import global_cumulative
+from .skew import join_on_key
 
 DEFAULT_BLOCK_ROWS = 2048
-MAX_PIVOTS = 4096
+#: Children of a node at most, and levels at most (a node still too large then is cut into chunks only).
+BRANCHES, MAX_LEVELS = 16, 32
 # Shares that the rows of one hot point are joined in.
 SALTS = 32
 _SEED = 42
@@ -84,66 +90,18 @@ def _block_topk(k: int):
     return fn
 
 
-def _assign(pivots: dict, with_candidates: bool):
-    """mapInPandas body.
-
-    Without candidates: the own cell (nearest pivot) of every point. With
-    candidates: the other cells whose bisector with the own pivot is within
-    ``_r`` (the own-cell k-th neighbour distance) of the point.
-    """
-    def fn(batches):
-        for pdf in batches:
-            n = len(pdf)
-            cells = np.zeros(n, dtype=np.int32)
-            cands = [[] for _ in range(n)]
-            for g, gidx in pdf.groupby("_g", sort=False, dropna=False).indices.items():
-                key = None if (isinstance(g, float) and math.isnan(g)) else g
-                pv, pdist = pivots[key]
-                for start in range(0, len(gidx), 1024):
-                    idx = gidx[start:start + 1024]
-                    f = np.stack(pdf["_f"].to_numpy()[idx]).astype(np.float64)
-                    d = np.sqrt(sq_dist(f, pv))
-                    own = np.argmin(d, axis=1)
-                    cells[idx] = own
-                    if not with_candidates:
-                        continue
-                    rad = pdf["_r"].to_numpy(dtype=np.float64)[idx]
-                    d_own = d[np.arange(len(idx)), own]
-                    sep = pdist[own]  # distance between own pivot and every pivot
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        bound = (d ** 2 - d_own[:, None] ** 2) / (2.0 * sep)
-                    bound[sep == 0] = 0.0
-                    ok = bound <= rad[:, None] * (1 + 1e-9) + 1e-12
-                    ok[np.arange(len(idx)), own] = False
-                    rr, cc = np.nonzero(ok)
-                    parts = np.split(cc.astype(np.int32), np.cumsum(np.bincount(rr, minlength=len(idx)))[:-1])
-                    for j, r in enumerate(idx):
-                        cands[r] = parts[j]
-            out = pdf[["_g", "_id", "_f"]].assign(_cell=cells)
-            if with_candidates:
-                out = out.assign(_cands=cands)
-            yield out
-    return fn
-
-
 def _blocks(data: DataFrame, query: DataFrame, block_rows: int, seed: int) -> DataFrame:
-    """Cut every cell into (query chunk, data chunk) blocks of at most ~block_rows rows per role."""
-    dsize = data.groupBy("_g", "_c").agg(F.count(F.lit(1)).alias("_nd"))
-    qsize = query.groupBy("_g", "_c").agg(F.count(F.lit(1)).alias("_nq"))
-    # one row per (group, cell) that has queries: bounded by the number of pivots
-    same = dsize["_g"].eqNullSafe(qsize["_g"]) & (dsize["_c"] == qsize["_c"])
-    sizes = F.broadcast(dsize.join(qsize, same).select(
-        dsize["_g"].alias("_sg"), dsize["_c"].alias("_sc"),
-        F.greatest(F.lit(1), F.ceil(F.col("_nd") / block_rows)).cast("int").alias("_kd"),
-        F.greatest(F.lit(1), F.ceil(F.col("_nq") / block_rows)).cast("int").alias("_kq")))
-    # null-safe: a NULL group is a group like any other
-    in_cell = F.col("_g").eqNullSafe(F.col("_sg")) & (F.col("_c") == F.col("_sc"))
+    """Cut every leaf into (query chunk, data chunk) blocks of at most ~block_rows rows per role."""
+    chunks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block_rows)).cast("int")
+    sizes = (data.groupBy("_c").agg(F.count(F.lit(1)).alias("_nd")).join(query.groupBy("_c").agg(F.count(F.lit(1)).alias("_nq")), "_c")
+             .select("_c", chunks("_nd").alias("_kd"), chunks("_nq").alias("_kq")))
+    sizes = cut_lineage(sizes)
     u = hash_uniform(F.lit(str(seed)), F.col("_id").cast("string"), F.lit("chunk"))
-    d_rows = (data.join(sizes, in_cell)
+    d_rows = (join_on_key(data, sizes, "_c")
               .withColumn("_dc", F.floor(u * F.col("_kd")).cast("int"))
               .withColumn("_qc", F.explode(F.sequence(F.lit(0), F.col("_kq") - 1)))
               .select("_g", "_c", "_qc", "_dc", "_id", "_f", F.lit(False).alias("_is_q"), F.lit(True).alias("_is_d")))
-    q_rows = (query.join(sizes, in_cell)
+    q_rows = (join_on_key(query, sizes, "_c")
               .withColumn("_qc", F.floor(u * F.col("_kq")).cast("int"))
               .withColumn("_dc", F.explode(F.sequence(F.lit(0), F.col("_kd") - 1)))
               .select("_g", "_c", "_qc", "_dc", "_id", "_f", F.lit(True).alias("_is_q"), F.lit(False).alias("_is_d")))
@@ -178,7 +136,7 @@ def knn(df: DataFrame, id_col: str, feature_cols: Sequence[str], k: int, group_c
     # points repeated more than k+1 times (partial aggregation: a hot point is one row per task)
     hot = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > k + 1).select("_key")
     if hot.isEmpty():
-        return _knn_cells(pts, k, block_rows, seed)
+        return _knn_cells(pts, k, block_rows, seed, len(feature_cols))
     rest = keyed.join(hot, "_key", "left_anti").select("_g", "_id", "_f")
     ranked = global_cumulative(keyed.join(hot, "_key", "left_semi"), ["_key", "_id"], rank_col="_gr")
     # ``first`` and ``copies`` hold at most k rows of a point; they are repeated for every salt, so that
@@ -193,45 +151,98 @@ def knn(df: DataFrame, id_col: str, feature_cols: Sequence[str], k: int, group_c
     extra = (dup.where(F.col("_dup") > k + 1).select("_key", "_salt", "_g", F.col("_id").alias("qid"))
              .join(copies, ["_key", "_salt"])
              .select(F.col("_g").alias("group"), "qid", "nid", F.lit(0.0).alias("d2"), F.col("rank").cast("int")))
-    near = _knn_cells(cut_lineage(core), k, block_rows, seed)
+    near = _knn_cells(cut_lineage(core), k, block_rows, seed, len(feature_cols))
     return near.unionByName(extra)
 
 
-def _knn_cells(pts: DataFrame, k: int, block_rows: int, seed: int) -> DataFrame:
-    """Exact kNN of (_g, _id, _f) points through pivot cells and bounded blocks."""
-    spark = pts.sparkSession
-    gtype = pts.schema["_g"].dataType
-    counts = {r["_g"]: int(r["n"]) for r in pts.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
-    want = {gk: min(n, max(k + 1, min(MAX_PIVOTS, math.ceil(n / block_rows)))) for gk, n in counts.items()}
-    want_df = spark.createDataFrame([(gk, m) for gk, m in want.items()], f"_g {gtype.simpleString()}, _m LONG")
-    ranked = rank_within(pts.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_id").cast("string")))),
-                         "_g", ["_h", "_id"], rank_col="_prn")
-    piv_rows = (ranked.join(F.broadcast(want_df), ranked["_g"].eqNullSafe(want_df["_g"])).drop(want_df["_g"])
-                .where(F.col("_prn") <= F.col("_m")).select("_g", "_id", "_f").collect())  # bounded: sum of m
-    pivots = {}
-    for gk in counts:
-        rows = sorted((r for r in piv_rows if r["_g"] == gk), key=lambda r: r["_id"])
-        pv = np.array([r["_f"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-        pivots[gk] = pv
-    gs = gtype.simpleString()
-    out_schema = f"group {gs}, qid LONG, nid LONG, d2 DOUBLE"
+def _sum_squares(a: Column, b: Column, term) -> Column:
+    """Sum of the squares of ``term`` over two arrays, from the first feature on as in ``sq_dist``."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: term(x, y) * term(x, y)), F.lit(0.0), lambda total, x: total + x)
+
+
+def _to_bounds(f: Column, low: Column, high: Column, farthest: bool) -> Column:
+    """Squared distance of a point to the nearest (or farthest) place within bounds."""
+    sides = F.arrays_zip(low.alias("low"), high.alias("high"))
+    if farthest:
+        return _sum_squares(f, sides, lambda x, s: F.greatest(x - s["low"], s["high"] - x))
+    return _sum_squares(f, sides, lambda x, s: F.greatest(s["low"] - x, x - s["high"], F.lit(0.0)))
+
 
-    # pass A: neighbours inside the own cell -> a tight radius per point
-    own = pts.mapInPandas(_assign({gk: (pv, None) for gk, pv in pivots.items()}, False), schema=f"_g {gs}, _id LONG, _f ARRAY<DOUBLE>, _cell INT")
-    data = own.select("_g", "_id", "_f", F.col("_cell").alias("_c"))
-    cand_a = _blocks(data, data, block_rows, seed).groupBy("_g", "_c", "_qc", "_dc").applyInPandas(
-        _block_topk(k), out_schema)
-    top_a = _top_k(cand_a, k)
-    radius = top_a.groupBy("qid").agg(F.count(F.lit(1)).alias("_n"), F.max("d2").alias("_d2"))
-    radius = radius.select(F.col("qid").alias("_id"),
-                           F.when(F.col("_n") >= k, F.sqrt("_d2")).otherwise(F.lit(float("inf"))).alias("_r"))
-    # pass B: only the other cells that can hold a point within that radius
-    with_r = pts.join(radius, "_id", "left").fillna(float("inf"), subset=["_r"])
-    apart = {gk: (pv, np.sqrt(sq_dist(pv, pv))) for gk, pv in pivots.items()}
-    other = with_r.mapInPandas(_assign(apart, True),
-                               schema=f"_g {gs}, _id LONG, _f ARRAY<DOUBLE>, _cell INT, _cands ARRAY<INT>")
-    query_b = other.select("_g", "_id", "_f", F.explode("_cands").alias("_c"))
-    cand_b = _blocks(data, query_b, block_rows, seed).groupBy("_g", "_c", "_qc", "_dc").applyInPandas(
-        _block_topk(k), out_schema)
-    top = _top_k(top_a.select("group", "qid", "nid", "d2").unionByName(cand_b), k)
+def _root() -> Column:
+    """Key of a group's root; children put their numbers before it, so no group's name can look like a path."""
+    return F.coalesce(F.concat(F.lit("|="), F.col("_g").cast("string")), F.lit("|"))
+
+
+def build_tree(pts: DataFrame, n_features: int, block_rows: int = DEFAULT_BLOCK_ROWS, seed: int = _SEED) -> tuple[DataFrame, DataFrame, int]:
+    """((_g, _id, _f, _c, _parent) rows with their leaf, (_c, _parent, _n, _low, _high, _leaf) nodes, number of levels).
+
+    A node's key ``_c`` is the numbers of the children on the way up from it, then its group.
+    """
+    rows = pts.withColumn("_c", _root()).withColumn("_parent", F.lit(None).cast("string"))
+    leaves, nodes = None, None
+    for level in range(MAX_LEVELS):
+        bounds = [f(F.col("_f")[i]) for f in (F.min, F.max) for i in range(n_features)]
+        found = rows.groupBy("_c", "_parent").agg(F.count(F.lit(1)).alias("_n"), F.array(*bounds[:n_features]).alias("_low"),
+                                                  F.array(*bounds[n_features:]).alias("_high"))
+        last = level == MAX_LEVELS - 1
+        found = cut_lineage(found.withColumn("_leaf", F.lit(last) | (F.col("_n") <= block_rows)))
+        nodes = found if nodes is None else nodes.unionByName(found)
+        large = found.where(~F.col("_leaf")).select("_c", F.least(F.lit(BRANCHES), F.ceil(2 * F.col("_n") / block_rows)).alias("_want"))
+        small = found.where("_leaf").select("_c")
+        own = join_on_key(rows, small, "_c")
+        leaves = own if leaves is None else leaves.unionByName(own)
+        if large.isEmpty():
+            break
+        inner = join_on_key(rows, large, "_c")
+        turn = F.md5(F.concat_ws("|", F.lit(f"{seed}.{level}"), F.col("_id").cast("string")))
+        chosen = (inner.withColumn("_rn", F.row_number().over(Window.partitionBy("_c").orderBy(turn, "_id")))
+                  .where(F.col("_rn") <= BRANCHES).where(F.col("_rn") <= F.col("_want")))
+        pivots = cut_lineage(chosen.groupBy("_c").agg(F.array_sort(F.collect_list(F.struct("_rn", "_f"))).alias("_pivots"))
+                             .select("_c", F.transform("_pivots", lambda p: p["_f"]).alias("_pivots")))
+        far = F.transform("_pivots", lambda p: _sum_squares(p, F.col("_f"), lambda x, y: x - y))
+        placed = join_on_key(rows, pivots, "_c").withColumn("_far", far)
+        child = F.concat_ws(".", F.array_position("_far", F.array_min("_far")).cast("string"), "_c")
+        rows = cut_lineage(placed.select("_g", "_id", "_f", child.alias("_child"), F.col("_c").alias("_parent"))
+                           .withColumnRenamed("_child", "_c").select("_g", "_id", "_f", "_c", "_parent"))
+    return leaves, nodes, level
+
+
+def visits(queries: DataFrame, nodes: DataFrame, levels: int) -> DataFrame | None:
+    """(_g, _id, _f, _c): the leaves, other than its own, that can hold a row within ``_r2`` of a query (_g, _id, _f, _c, _r2)."""
+    children = nodes.where(F.col("_parent").isNotNull()).select(F.col("_parent").alias("_node"), F.col("_c").alias("_child"), "_low", "_high", "_leaf")
+    front, out = queries.withColumn("_node", _root()), None
+    for _ in range(levels):
+        met = join_on_key(front, children, "_node")
+        met = met.where((F.col("_child") != F.col("_c")) & (_to_bounds(F.col("_f"), F.col("_low"), F.col("_high"), False) <= F.col("_r2")))
+        met = cut_lineage(met.select("_g", "_id", "_f", "_c", "_r2", F.col("_child").alias("_node"), "_leaf"))
+        at = met.where("_leaf").select("_g", "_id", "_f", F.col("_node").alias("_c"))
+        out = at if out is None else out.unionByName(at)
+        front = met.where(~F.col("_leaf")).drop("_leaf")
+    return out
+
+
+def _knn_cells(pts: DataFrame, k: int, block_rows: int, seed: int, n_features: int) -> DataFrame:
+    """Exact kNN of (_g, _id, _f) points through the leaves of a pivot tree and bounded blocks."""
+    gs = pts.schema["_g"].dataType.simpleString()
+    out_schema = f"group {gs}, qid LONG, nid LONG, d2 DOUBLE"
+    data, nodes, levels = build_tree(pts, n_features, max(block_rows, k + 1), seed)
+    data = cut_lineage(data)
+
+    def found(query: DataFrame) -> DataFrame:
+        blocks = _blocks(data.select("_g", "_id", "_f", "_c"), query, block_rows, seed)
+        return blocks.groupBy("_c", "_qc", "_dc").applyInPandas(_block_topk(k), out_schema)
+
+    # pass A: neighbours inside the own leaf
+    near = cut_lineage(_top_k(found(data.select("_g", "_id", "_f", "_c")), k))
+    if not levels:
+        return near.select("group", "qid", "nid", "d2", "rank")
+    bound = near.groupBy(F.col("qid").alias("_id")).agg(F.count(F.lit(1)).alias("_k"), F.max("d2").alias("_r2")).where(F.col("_k") >= k).select("_id", "_r2")
+    queries = cut_lineage(data.join(bound, "_id", "left"))
+    parents = nodes.select(F.col("_c").alias("_parent"), "_low", "_high")
+    loose = join_on_key(queries.where(F.col("_r2").isNull() & F.col("_parent").isNotNull()), parents, "_parent")
+    loose = loose.withColumn("_r2", _to_bounds(F.col("_f"), F.col("_low"), F.col("_high"), True))
+    columns = ["_g", "_id", "_f", "_c", "_r2"]
+    # pass B: only the other leaves that can hold a row within that distance
+    others = visits(queries.where(F.col("_r2").isNotNull()).select(*columns).unionByName(loose.select(*columns)), nodes, levels)
+    top = _top_k(near.select("group", "qid", "nid", "d2").unionByName(found(cut_lineage(others))), k)
     return top.select("group", "qid", "nid", "d2", "rank")
