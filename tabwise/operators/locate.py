@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions import LOCATION_FIELDS, UNKNOWN_LOCATION, first_non_empty, geo_key
 from ..session import cut_lineage
+from ..sources.cache_table import CacheTable, whole_keys
 from ..sources.readers import one_per_key
+from .skew import left_join_on_keys
 
 KEYS = ["lat_key", "lon_key"]
 # Ids of a lookup budget up to this many are broadcast; a larger budget is joined by shuffle.
@@ -33,14 +35,12 @@ def _join_cache(keyed: DataFrame, cache: DataFrame, out_col: str) -> DataFrame:
     """``keyed`` (with the key pair) and the cache's name in ``out_col``, NULL for a miss or a missing coordinate.
 
     Rows without coordinates (often many) match nothing and stay out of the
-    join, so they cannot meet in one task. A popular coordinate can: the distinct
-    keys of the rows are few for it, so the cache is first reduced to one row per
-    key and to the keys that occur, which the planner can often broadcast; in a
-    shuffle join AQE splits the skewed key.
+    join, so they cannot meet in one task. Rows of a popular coordinate can; they are joined with the
+    broadcast entries of the hot keys (see ``skew``), all others as the planner chooses. ``lookup_stored`` spares a large cache the shuffle.
     """
     known = F.col("lat_key").isNotNull() & F.col("lon_key").isNotNull()
     c = one_per_key(cache.select(*KEYS, "location")).withColumnRenamed("location", out_col)
-    hits = keyed.where(known).join(c, KEYS, "left").select(*keyed.columns, out_col)
+    hits = left_join_on_keys(keyed.where(known), c, KEYS).select(*keyed.columns, out_col)
     rest = keyed.where(~known).withColumn(out_col, F.lit(None).cast("string"))
     return hits.unionByName(rest)
 
@@ -52,6 +52,16 @@ def lookup(df: DataFrame, cache: DataFrame, lat_col: str = "latitude", lon_col:
     return found.select(*KEYS, *[c for c in df.columns if c not in KEYS], out_col)
 
 
+def lookup_stored(df: DataFrame, table: CacheTable, lat_col: str = "latitude", lon_col: str = "longitude",
+                  out_col: str = "cached_location") -> DataFrame:
+    """J1 on a bucketed cache table: as ``lookup``, but only the rows that ask are shuffled, to the table's buckets."""
+    keyed = whole_keys(with_geo_key(df, lat_col, lon_col))
+    known = F.col("lat_e4").isNotNull() & F.col("lon_e4").isNotNull()
+    found = left_join_on_keys(keyed.where(known), table.keyed().withColumnRenamed("location", out_col), ["lat_e4", "lon_e4"])
+    every = found.select(*keyed.columns, out_col).unionByName(keyed.where(~known).withColumn(out_col, F.lit(None).cast("string")))
+    return every.select(*KEYS, *[c for c in df.columns if c not in KEYS], out_col)
+
+
 def missing_keys(df: DataFrame, cache: DataFrame, lat_col: str = "latitude", lon_col: str = "longitude") -> DataFrame:
     """Distinct keys of rows with coordinates that the cache does not know."""
     keys = (with_geo_key(df, lat_col, lon_col).where(F.col(lat_col).isNotNull() & F.col(lon_col).isNotNull())

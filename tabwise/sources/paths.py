@@ -26,6 +26,16 @@ def read_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
+def read_hidden_text(spark: SparkSession, path: str) -> str:
+    """A small file, whole, of a name that Spark's readers pass over (a leading underscore)."""
+    fs, jpath = _file_system(spark, path)
+    stream = fs.open(jpath)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small configuration file as one file at exactly ``path``."""
     fs, jpath = _file_system(spark, path)

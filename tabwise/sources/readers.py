@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .paths import active_session, path_exists, read_text
 
 _FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet"}
@@ -58,6 +60,60 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     return nan_to_null(df)
 
 
+CORRUPT = "_corrupt_record"
+
+
+@dataclass
+class Checked:
+    """Rows that fit the schema, and the records that do not: (file, record, reason)."""
+    rows: DataFrame
+    rejects: DataFrame
+
+    def counts(self) -> DataFrame:
+        """Rejected records of each file and reason."""
+        return self.rejects.groupBy("file", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+    def require_clean(self) -> DataFrame:
+        """The rows, if no record was rejected; else an error that shows one."""
+        bad = self.rejects.first()
+        if bad is not None:
+            raise ValueError(f"{bad.file}: {bad.reason}: {bad.record!r}")
+        return self.rows
+
+
+def read_checked(spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True, multi_line: bool = False) -> Checked:
+    """S1 with rejects: CSV or JSON lines under a stated schema, parsed once.
+
+    A record is rejected whole if it cannot be parsed, has another number of fields (CSV), or holds a value that
+    is none of its column's type. The reason is ``fields`` or the first such column; for JSON it is ``record``. An
+    empty CSV field and a missing JSON field are missing values. The parsed records are written once (lineage cut): rows and
+    rejects are two views of that copy.
+    """
+    kind = next((v for k, v in _FORMATS.items() if path.rstrip("/").lower().endswith(k)), None)
+    if kind not in ("csv", "json"):
+        raise ValueError(f"{path!r}: rejects are told from .csv and .json files")
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    names = [f.name for f in schema.fields]
+    if CORRUPT in names:
+        raise ValueError(f"{CORRUPT} is the name of the rejected record")
+    reader = spark.read.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])).options(
+        mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, multiLine=multi_line)
+    parsed = reader.options(**{**CSV_DIALECT, "header": header}, nullValue=CSV_READ_NULL).csv(path) if kind == "csv" else reader.json(path)
+    parsed = cut_lineage(parsed.withColumn("_file", F.input_file_name()))
+    rows = nan_to_null(parsed.where(F.col(CORRUPT).isNull()).select(*[quoted(n) for n in names]))
+    reason = F.lit("record")
+    if kind == "csv":
+        # The record again, as texts: how many fields it has, and which of them is no value of its column.
+        options = {"quote": CSV_DIALECT["quote"], "escape": CSV_DIALECT["escape"], "nullValue": CSV_READ_NULL}
+        texts = F.from_csv(CORRUPT, ", ".join(f"f{i} STRING" for i in range(len(names) + 1)), options)
+        field = lambda i: texts.getField(f"f{i}")
+        wrong = F.coalesce(*[F.when(field(i).isNotNull() & (field(i) != "") & quoted(n).isNull(), F.lit(n)) for i, n in enumerate(names)], F.lit("record"))
+        reason = F.when(field(len(names) - 1).isNull() | field(len(names)).isNotNull(), F.lit("fields")).otherwise(wrong)
+    rejects = parsed.where(F.col(CORRUPT).isNotNull()).select(F.col("_file").alias("file"), F.col(CORRUPT).alias("record"), reason.alias("reason"))
+    return Checked(rows, rejects)
+
+
 def load_split(spark: SparkSession, path: str, split_col: str = "split") -> tuple[DataFrame, DataFrame]:
     """A dataset stored once, partitioned by ``split`` ('train' / 'test')."""
     df = nan_to_null(spark.read.parquet(path))
