@@ -2,9 +2,11 @@
 
 Text is cut at ASCII white space; the tokenizer maps white space to a space and
 never joins across it, so the ids of a text are the ids of its chunks in order.
-A chunk seen before is looked up. A new chunk that is a run of Latin letters
+A chunk seen before is looked up; the cache has two generations, so that frequent
+chunks outlive its limit. A new chunk that is a run of Latin letters
 between runs of ASCII punctuation is encoded by the tokenizer's own BPE model,
-run by run (that is what its normaliser and pre-tokenizer make of it); every
+run by run (that is what its normaliser and pre-tokenizer make of it), and runs are
+cached in lower case, so a word is encoded once whatever its case and punctuation; every
 other chunk, and every text with a control character that only Python calls
 white space, goes through the whole tokenizer. ``tests/llm`` compares all three
 ways with whole-text encoding.
@@ -16,14 +18,17 @@ import re
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 
-#: Most chunks a task's cache holds; beyond it the cache starts anew (results do not depend on it).
-CACHE_CHUNKS = 600_000
+#: Most chunks of a generation of a task's cache, and most runs (results do not depend on it).
+CACHE_CHUNKS = 300_000
 
 TOKENIZER = "word_bpe_49k.json"
 
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_SIMPLE = re.compile(rf"([!-&(-/:-@\[-`{{-~]*)([{_LETTERS}]+)([!-/:-@\[-`{{-~]*)")
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Punctuation of a simple chunk after its word, and before it (an apostrophe there may belong to a contraction).
+_AFTER = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
+_BEFORE = _AFTER.replace("'", "")
 _ODD = (b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 
 
@@ -41,6 +46,20 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def split_words(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Runs of bytes other than ASCII white space: (number of each in the distinct ones, these, runs in each text)."""
+    joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    space = (joined == 0x20) | ((joined >= 0x09) & (joined <= 0x0D))
+    first = ~space
+    first[1:] &= space[:-1]
+    data = joined[~space]
+    edges = np.append(np.flatnonzero(first[~space]), len(data)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    counts = np.diff(np.searchsorted(np.flatnonzero(first), np.concatenate([[0], ends])))
+    return words.indices.to_numpy(), words.dictionary.to_pylist(), counts
+
+
 class Encoder:
     """Encodes texts (UTF-8) to ids; one per worker process and tokenizer file."""
 
@@ -52,6 +71,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         #: The short way holds for a lower-casing byte-level BPE with word ends, as its file must say.
@@ -62,64 +82,68 @@ class Encoder:
             raise ValueError(f"{path}: only tokenizers that drop white space and lower-case are cut into chunks")
         self.letters = _byte_letters()
         self.limit = cache_chunks
-        self.clear()
+        self.runs: dict[str, list[int]] = {}
+        self._start()
+        self.older, self.older_at, self.older_ids = {}, self.at, self.ids
 
-    def clear(self) -> None:
+    def _start(self) -> None:
+        """A new generation of chunks."""
         self.known: dict[bytes, int] = {}
-        self.runs: dict[str, list[int]] = {}
         self.at = np.zeros(1 << 16, np.int64)  # end of each chunk's ids in self.ids; the start is the end before
         self.ids = np.zeros(1 << 18, np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32)
 
     def _run(self, run: str) -> list[int]:
         """Ids of one pre-token: lower case, as byte letters."""
-        found = self.runs.get(run)
+        low = run.lower()
+        found = self.runs.get(low)
         if found is None:
-            low = run.lower()
             form = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
-            found = [t.id for t in self.whole.model.tokenize(form)]
-            if len(run) < 4:
-                self.runs[run] = found
+            found = [t.id for t in self.model.tokenize(form)]
+            if len(self.runs) > self.limit:
+                self.runs = {}
+            self.runs[low] = found
         return found
 
     def _chunk(self, chunk: bytes) -> list[int]:
+        if chunk.isalpha():  # ASCII letters only
+            return self._run(chunk.decode())
         text = chunk.decode("utf-8", "replace")
-        simple = _SIMPLE.fullmatch(text)
-        if simple is None or "<|" in text:
+        start = text.rstrip(_AFTER)
+        word = start.lstrip(_BEFORE)
+        if not (word.isalpha() and (word.isascii() or _LATIN.fullmatch(word))) or "<|" in text:
             return self.whole.encode(text, add_special_tokens=False).ids
-        before, word, after = simple.groups()
         ids = self._run(word)
-        if before:
-            ids = self._run(before) + ids
-        return ids + self._run(after) if after else ids
-
-    def _number(self, chunk: bytes) -> int:
-        """Number of a new chunk, whose ids are appended."""
-        n, ids = len(self.known), self._chunk(chunk)
-        start = int(self.at[n])
-        end = start + len(ids)
-        if n + 2 > len(self.at):
+        if len(word) < len(start):
+            ids = self._run(start[:len(start) - len(word)]) + ids
+        return ids + self._run(text[len(start):]) if len(start) < len(text) else ids
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Number new chunks and append their ids."""
+        n, older, flat, ends = len(self.known), self.older.get, [], []
+        total = int(self.at[n])
+        for i, chunk in enumerate(new, n):
+            before = older(chunk)
+            flat += self._chunk(chunk) if before is None else self.older_ids[self.older_at[before]:self.older_at[before + 1]].tolist()
+            ends.append(total + len(flat))
+            self.known[chunk] = i
+        while n + len(ends) >= len(self.at):
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        while end > len(self.ids):
+        while total + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[start:end] = ids
-        self.at[n + 1] = end
-        self.known[chunk] = n
-        return n
+        self.at[n + 1:n + 1 + len(ends)] = ends
+        self.ids[total:total + len(flat)] = flat
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each)."""
         if len(self.known) > self.limit:
-            self.clear()
-        chunks, counts, odd = [], np.zeros(len(texts), np.int64), {}
-        for i, text in enumerate(texts):
-            if any(c in text for c in _ODD):
-                odd[i] = self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
-            else:
-                parts = text.split()
-                counts[i] = len(parts)
-                chunks += parts
-        get, number = self.known.get, self._number
-        at = np.fromiter((n if (n := get(c)) is not None else number(c) for c in chunks), np.int64, len(chunks))
+            self.older, self.older_at, self.older_ids = self.known, self.at, self.ids
+            self._start()
+        odd = {i: self.whole.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids
+               for i, t in enumerate(texts) if any(c in t for c in _ODD)}
+        codes, chunks, counts = split_words([b"" if i in odd else t for i, t in enumerate(texts)] if odd else texts)
+        if new := [c for c in chunks if c not in self.known]:
+            self._learn(new)
+        at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))[codes]
         start, size = self.at[at], self.at[at + 1] - self.at[at]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
