@@ -17,12 +17,16 @@ still equal at the cut. Where more rows are equal at the end than places are lef
 the boundary is resolved exactly by the smaller id. Only rows that are selected
 are turned into numbers.
 
-Rows are put into blocks of at most ``BLOCK_ROWS`` and queries into chunks; each
-chunk meets each block once (a stated query set against all rows, in blocks), and
-a block gives at most k rows of each query, which a last top-k merges.
-
-Defined results: vectors that are null, empty, of another length than the most
-(ties: longest) or hold null or non-finite components take no part. A query's own
+Rows are put into blocks of about ``BLOCK_ROWS`` and queries into chunks of about
+``CHUNK_QUERIES``; each chunk meets each block once (a stated query set against all
+rows, in blocks), and a block gives at most k rows of each query, which a last top-k
+merges. A block's slices are copied once for each chunk, and take less room than the
+chunk's queries; smaller chunks, of ``LEAST_CHUNK`` queries at least, are made only while there are fewer tasks than cores.
+
+Defined results: vectors that are null, empty or hold null or non-finite components take
+no part. Vectors meet those of their own length. Bitmaps have no largest number, and
+what leaves them is added up without rounding: a component beyond 63 bits after scaling,
+or a score beyond 63 bits among the k highest, is an error that names the vector. A query's own
 rows (equal id) are no candidates. Rows that share an id are candidates of their
 own; of those that share a query's id the smallest vector is the query. Equal scores go to the smaller id. Null ids take no part. Empty table: no rows.
 """
@@ -37,8 +41,8 @@ from pyspark.sql import functions as F
 from tabwise.llm.common import materialize, table
 
 SCALE, K = 256, 5
-#: Rows of an index block and queries of a chunk at most.
-BLOCK_ROWS, CHUNK_QUERIES = 1 << 15, 128
+#: Rows of an index block, queries of a chunk, and queries of a chunk that is made for another core.
+BLOCK_ROWS, CHUNK_QUERIES, LEAST_CHUNK = 1 << 15, 1 << 14, 128
 
 
 # --- bitmap arithmetic -----------------------------------------------------------------------------------------------
@@ -49,7 +53,7 @@ def bit_slices(values: np.ndarray) -> list[np.ndarray]:
     out = []
     for j in range(int(values.max(initial=0)).bit_length()):
         bits = np.zeros(words * 64, bool)
-        bits[: len(values)] = (values >> j) & 1
+        bits[: len(values)] = (values >> values.dtype.type(j)) & values.dtype.type(1)
         out.append(np.packbits(bits, bitorder="little").view(np.uint64))
     return out
 
@@ -112,13 +116,13 @@ def rows_of(bitmap: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
-def value_of(score: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-    """The numbers of selected rows from the slices."""
+def value_of(score: list[np.ndarray], rows: np.ndarray) -> list[int]:
+    """The numbers of selected rows from the slices, of any size."""
     word, bit = rows >> 6, (rows & 63).astype(np.uint64)
-    out = np.zeros(len(rows), np.int64)
+    out = [0] * len(rows)
     for i, bits in enumerate(score):
-        one = ((bits[word] >> bit) & np.uint64(1)).astype(np.int64) << i
-        out += -one if i == len(score) - 1 else one
+        weight = -(1 << i) if i == len(score) - 1 else 1 << i
+        out = [v + weight if b else v for v, b in zip(out, ((bits[word] >> bit) & np.uint64(1)).tolist())]
     return out
 
 
@@ -137,7 +141,8 @@ class Block:
         order = np.argsort(ids, kind="stable")
         ids, values = ids[order], values[order]
         low = values.min(axis=0)
-        return cls(ids, low, [np.array(bit_slices(values[:, d] - low[d]), np.uint64).reshape(-1, -(-len(ids) // 64)) for d in range(values.shape[1])])
+        above = values.astype(np.uint64) - low.astype(np.uint64)  # below 2^64 and modulo 2^64: exact for any two longs
+        return cls(ids, low, [np.array(bit_slices(above[:, d]), np.uint64).reshape(-1, -(-len(ids) // 64)) for d in range(values.shape[1])])
 
     def pack(self) -> dict[str, bytes]:
         return {"ids": self.ids.astype("<i8").tobytes(), "low": self.low.astype("<i8").tobytes(),
@@ -154,7 +159,7 @@ class Block:
         sides = []
         for sign in (1, -1):
             columns: dict[int, list[np.ndarray]] = {}
-            for d in np.flatnonzero(query * sign > 0):
+            for d in np.flatnonzero(query > 0 if sign > 0 else query < 0):
                 size = int(query[d]) * sign
                 for i in range(size.bit_length()):
                     if size >> i & 1:
@@ -171,19 +176,25 @@ class Block:
         score = self.scores(query)
         sure, equal, left = top_rows(score, among, k)
         rows = np.concatenate([rows_of(sure), rows_of(equal)[:left]])  # rows are in order of id: the first are the smaller ids
-        values = value_of(score, rows) + int(query @ self.low)
-        best = np.lexsort((self.ids[rows], -values))
-        return self.ids[rows][best], values[best]
+        shift = sum(int(q) * int(v) for q, v in zip(query, self.low))
+        best = sorted((-value - shift, int(i)) for value, i in zip(value_of(score, rows), self.ids[rows]))
+        for value, i in best:
+            if not -(1 << 63) <= -value < 1 << 63:
+                raise OverflowError(f"the score of vectors {query_id} and {i} passes 64 bits")
+        return np.array([i for _, i in best], np.int64), np.array([-v for v, _ in best], np.int64)
 
 
 # --- Spark -----------------------------------------------------------------------------------------------------------
 
 def quantised(vectors: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
     """(id, values) of the vectors that take part."""
-    values = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale))
-    fine = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))
-    rows = vectors.filter(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & F.coalesce(fine, F.lit(False)))
-    return rows.select(F.col(vec_id).cast("long").alias("id"), values.cast("array<long>").alias("values"))
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))
+    rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v")).filter(
+        F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.coalesce(fine, F.lit(False)))
+    inside = F.forall("v", lambda x: F.abs(x.cast("double") * scale) < float(1 << 63))
+    error = F.raise_error(F.concat(F.lit("vector "), F.col("id").cast("string"), F.lit(f" has a component beyond 2^63 / {scale}"))).cast("array<bigint>")
+    values = F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    return rows.select("id", F.when(inside, values).otherwise(error).alias("values"))
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -191,33 +202,47 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.astype(np.int64).reshape(len(column), -1)
 
 
-def build_index(rows: DataFrame, blocks: int) -> DataFrame:
-    """(block, ids, low, depth, bits): the bit slices of every row of (id, values), about rows / blocks rows in each."""
+def build_index(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """(block, ids, low, depth, bits): the bit slices of every row of (id, values), in the blocks that ``plan`` gives each length."""
     def build(group: pa.Table) -> pa.Table:
         block = Block.build(group.column("id").to_numpy(), _matrix(group.column("values")))
         return pa.table({"block": group.column("block")[:1], **{k: pa.array([v], pa.binary()) for k, v in block.pack().items()}})
 
-    place = F.pmod(F.xxhash64("id", "values"), F.lit(blocks)).cast("int")
-    placed = rows.select(place.alias("block"), "id", "values")
+    place = F.col("base") + F.pmod(F.xxhash64("id", "values"), F.col("blocks")).cast("int")
+    placed = rows.withColumn("width", F.size("values")).join(F.broadcast(plan), "width").select(place.alias("block"), "id", "values")
     return materialize(placed.groupBy("block").applyInArrow(build, "block int, ids binary, low binary, depth binary, bits binary"), "slices")
 
 
+def _plan(rows: DataFrame, asked: DataFrame, block_rows: int, chunk_queries: int) -> DataFrame:
+    """(width, base, blocks, chunks): a row for each length of vectors."""
+    spark, base, out = rows.sparkSession, 0, []
+    width = F.size("values").alias("width")
+    queries = {r.width: r["count"] for r in asked.groupBy(width).count().collect()}
+    cores = spark.sparkContext.defaultParallelism
+    for r in rows.groupBy(width).count().orderBy("width").collect():
+        blocks, n = -(-r["count"] // block_rows), queries.get(r.width, 0)
+        more = min(-(-cores // blocks), -(-n // LEAST_CHUNK))
+        out.append((r.width, base, blocks, max(1, -(-n // chunk_queries), more)))
+        base += blocks
+    return spark.createDataFrame(out, "width int, base int, blocks int, chunks int")
+
+
 def top_k(vectors: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, scale: int = SCALE,
           block_rows: int = BLOCK_ROWS, chunk_queries: int = CHUNK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest scores of every id that fulfils ``is_query``, a condition on the id column."""
     if k < 1:
         raise ValueError("k must be 1 at least")
     rows = materialize(quantised(vectors, vec_id, vector, scale), "quantised")
-    widths = rows.groupBy(F.size("values").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).first()
-    rows = rows.filter(F.size("values") == (widths.w if widths else 0))
-    blocks = max(1, -(-(widths["count"] if widths else 0) // block_rows))
-    index = build_index(rows, blocks)
     asked = rows.filter(is_query(F.col("id"))).groupBy("id").agg(F.min("values").alias("values"))
-    chunks = max(1, -(-asked.count() // chunk_queries))
-    # The tasks are (block, chunk): a block's packed slices go to every chunk, a chunk's queries to every block.
-    data = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    queries = (asked.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
-               .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+    plan = F.broadcast(_plan(rows, asked, block_rows, chunk_queries))
+    index = build_index(rows, plan)
+    # The tasks are (block, chunk).
+    until = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    chunks = plan.select(F.explode(F.sequence("base", F.col("base") + F.col("blocks") - 1)).alias("block"), "chunks")
+    data = index.join(F.broadcast(chunks), "block").withColumn("chunk", F.explode(until("chunks"))).drop("chunks")
+    queries = (asked.withColumn("width", F.size("values")).join(plan, "width")
+               .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+               .withColumn("block", F.explode(F.sequence("base", F.col("base") + F.col("blocks") - 1))).select("block", "chunk", "id", "values"))
 
     def search(data: pa.Table, queries: pa.Table) -> pa.Table:
         out = ([], [], [])
@@ -243,7 +268,7 @@ def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
