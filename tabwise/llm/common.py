@@ -49,11 +49,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def set_aside(docs: DataFrame, names) -> tuple[DataFrame, list]:
-    """``docs`` with its columns of these names (an operator's results) renamed, and the columns that give ``docs`` back from the outcome."""
-    clash = {n.lower() for n in names}
-    other = {c: f"__own{i}_{c}" if c.lower() in clash else c for i, c in enumerate(docs.columns)}
-    return docs.withColumnsRenamed({c: o for c, o in other.items() if c != o}), [F.col(f"`{o}`").alias(c) for c, o in other.items()]
+def set_aside(docs: DataFrame, used) -> tuple[DataFrame, list]:
+    """``docs`` with all columns but those of the names ``used`` renamed, and the columns that give ``docs`` back from an outcome.
+
+    Whatever the other columns are called (an operator's results or helpers, names with dots), they meet no other name.
+    """
+    names = [c if c in used else f"__own{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns)]
 
 
 def filesystem(uri: str):

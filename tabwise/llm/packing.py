@@ -190,15 +190,17 @@ def places(plan: list[tuple[int, tuple[int, ...]]]) -> dict[str, np.ndarray]:
 def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, branches: int = BRANCHES, max_steps: int = MAX_STEPS,
          order: tuple[str, ...] = ()) -> DataFrame:
     """``pieces`` with sequence_id and offset. ``pieces`` is written to the shared folder first, as its lengths are read twice."""
-    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    pieces = materialize(pieces.select(*columns), "pieces")
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    private = {c: f"__p{i}" for i, c in enumerate(names)}  # so that no column meets a name used here
+    pieces = materialize(pieces.drop("sequence_id", "offset").toDF(*private.values()), "pieces")
+    columns, length, order = list(private.values()), private[length], [private[c] for c in order]
     known = F.col(length) >= 1
     seen = pieces.filter(known).groupBy(F.least(F.col(length), F.lit(capacity + 1)).cast("long").alias("length")).agg(F.count("*").alias("n")).collect()
     histogram = {r.length: r.n for r in seen}  # at most capacity + 1 rows
     plan = places(bin_completion(histogram, capacity, branches, max_steps))
 
     shards = max(1, -(-max(histogram.values(), default=0) // SHARD_ROWS))
-    order = list(order) or columns
+    order = order or columns
     numbered = (pieces.withColumn("__shard", F.when(known, F.pmod(F.xxhash64(*order), F.lit(shards))))
                 .withColumn("__n", F.when(known, F.row_number().over(Window.partitionBy(length, "__shard").orderBy(*order)) - 1)))
     size = pieces.filter(known).groupBy(F.col(length).alias("__length"), F.pmod(F.xxhash64(*order), F.lit(shards)).alias("__shard")).agg(F.count("*").alias("__rows"))
@@ -228,7 +230,7 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, br
                                              names=[*columns, "sequence_id", "offset"])
 
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    return numbered.withColumn("__size", F.col(length).cast("long")).mapInArrow(place, schema)
+    return numbered.withColumn("__size", F.col(length).cast("long")).mapInArrow(place, schema).toDF(*names, "sequence_id", "offset")
 
 
 def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY, doc_id: str = "doc_id",

@@ -182,7 +182,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the rules keep."""
-    docs, columns = set_aside(docs, RESULTS)
+    docs, columns = set_aside(docs, ("doc_id", "text"))
     return apply_rules(docs).filter("kept").select(*columns)
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwise.llm.common import materialize, steps, table, text_bytes
+from tabwise.llm.common import materialize, set_aside, steps, table, text_bytes
 
 SHINGLE, MAX_BITS = 3, 2
 #: Fingerprints that the top of the tree is built from at least (if there are); about so many distinct fingerprints a shard; points of a leaf.
@@ -257,7 +257,7 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the smallest id stays (of repeated rows, one)."""
-    columns = docs.columns
+    docs, columns = set_aside(docs, ("doc_id", "text"))
     prints = materialize(with_fingerprints(docs), "fingerprints")
     found = near_duplicates(prints.select("doc_id", "__fp"), roots=True)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__fp")).alias("s")

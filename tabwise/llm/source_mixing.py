@@ -172,7 +172,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents, repeated as the weights want it (every document once at least), in order of place."""
-    docs, columns = set_aside(docs, RESULTS)
+    docs, columns = set_aside(docs, ("doc_id", "source", "text"))
     # Copies of a row without another id have one place; the row number only spreads them over the ranges.
     return mix(docs).orderBy("place", F.monotonically_increasing_id()).select(*columns)
 

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwise.llm.common import materialize, mix64, offsets, steps, table, text_bytes
+from tabwise.llm.common import materialize, mix64, offsets, set_aside, steps, table, text_bytes
 
 MIN_WORDS, SEED = 20, 8
 #: Bytes of text whose anchors a task reduces together, and at most so many bytes of text for each bucket.
@@ -376,10 +376,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document, its text without repeated passages; n_chars, if there, follows."""
-    columns = docs.columns
+    docs, columns = set_aside(docs, ("doc_id", "text", "n_chars"))
     new = F.when(F.col("__n_removed") > 0, F.decode("__kept", "utf-8")).otherwise(F.col("text"))
     out = without_repeats(docs).withColumn("text", new)
-    if "n_chars" in columns:
+    if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*columns)
 

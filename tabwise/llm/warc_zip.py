@@ -45,6 +45,8 @@ from tabwise.llm.common import filesystem, materialize, shared_path, steps, tabl
 MIN_REVISIT = 1000
 #: WARC bytes after which a task starts another package; index lines of a chunk; record bytes read at once.
 PACKAGE_BYTES, CHUNK_LINES, READ_BYTES = 256 << 20, 512, 8 << 20
+#: Chunks of an index that a task reads the records of at most (fewer while there are idle cores).
+TASK_CHUNKS = 16
 DATE = "2000-01-01T00:00:00Z"
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 
@@ -277,8 +279,11 @@ def read_packages(packages: DataFrame, folder: str, payloads: bool = True, chunk
                             rows = [r | {"payload": None} for r in rows]
                         yield pa.RecordBatch.from_pylist(rows, schema=_RECORD_ARROW)
 
-    found = packages.select("package").repartition("package").mapInArrow(chunks, _CHUNK)
-    return found.repartition("package", "first").mapInArrow(records, _RECORD)
+    found = materialize(packages.select("package").repartition("package").mapInArrow(chunks, _CHUNK), "warc-chunks")
+    # A chunk's row is small, but stands for all the records that it lists: a stated number of tasks, which no small size makes fewer.
+    n = found.count()
+    tasks = max(-(-n // TASK_CHUNKS), min(n, 2 * packages.sparkSession.sparkContext.defaultParallelism), 1)
+    return found.repartition(tasks).mapInArrow(records, _RECORD)
 
 
 class _Range(io.RawIOBase):

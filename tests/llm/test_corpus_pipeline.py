@@ -98,3 +98,29 @@ def test_mixing_stage_writes_rows_by_place(spark, tmp_path):
     source_mixing.stage(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
     files = sorted(tmp_path.glob("mixed/part-*"))
     assert [i for f in files for i in spark.read.parquet(str(f)).toPandas()["doc_id"]] == want and len(want) > 300
+
+
+CLASHES = ("__text", "__fp", "__doc", "__sub", "__n", "__key", "__root", "a.b", "n_words", "kept", "n_tokens", "epoch", "place", "component_id", "__own0", "__source", "doc")
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(60)) + (" " + " ".join(f"s{k}" for k in range(30)) if i % 2 else ""), "big", None, *(f"{c} of {i}" for c in CLASHES)) for i in range(6)]
+    schema = "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert sorted({r.doc_id for r in got}) == list(range(6)), name
+        assert all(r[c] == f"{c} of {r.doc_id}" for r in got for c in CLASHES), name
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    from tabwise.llm.packing import pack
+
+    names = ["__shard", "__l", "__n", "__size", "__p0", "a.b", "length.of", "__rows"]
+    pieces = spark.createDataFrame([(*(f"{n}{i}" for n in names), 600 + i, -1) for i in range(9)], ", ".join(f"`{n}` string" for n in names) + ", length long, offset long")
+    out = pack(pieces, order=("a.b", "length"))
+    assert out.columns == [*names, "length", "sequence_id", "offset"]
+    rows = out.collect()
+    assert sorted(r["a.b"] for r in rows) == [f"a.b{i}" for i in range(9)] and len({r.sequence_id for r in rows}) == 3 and all(r.offset >= 0 for r in rows)
