@@ -27,8 +27,8 @@ TOKENIZER = "word_bpe_49k.json"
 
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Punctuation of a simple chunk after its word, and before it (an apostrophe there may belong to a contraction).
-_AFTER = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
-_BEFORE = _AFTER.replace("'", "")
+_AFTER = bytes([*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)])
+_BEFORE = _AFTER.replace(b"'", b"")
 _ODD = (b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 
 
@@ -82,7 +82,7 @@ class Encoder:
             raise ValueError(f"{path}: only tokenizers that drop white space and lower-case are cut into chunks")
         self.letters = _byte_letters()
         self.limit = cache_chunks
-        self.runs: dict[str, list[int]] = {}
+        self.runs: dict[bytes, list[int]] = {}  # by lower-case bytes
         self._start()
         self.older, self.older_at, self.older_ids = {}, self.at, self.ids
 
@@ -92,40 +92,48 @@ class Encoder:
         self.at = np.zeros(1 << 16, np.int64)  # end of each chunk's ids in self.ids; the start is the end before
         self.ids = np.zeros(1 << 18, np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32)
 
-    def _run(self, run: str) -> list[int]:
-        """Ids of one pre-token: lower case, as byte letters."""
+    def _run(self, run: bytes) -> list[int]:
+        """Ids of one pre-token of ASCII characters."""
         low = run.lower()
         found = self.runs.get(low)
-        if found is None:
-            form = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
-            found = [t.id for t in self.model.tokenize(form)]
-            if len(self.runs) > self.limit:
-                self.runs = {}
-            self.runs[low] = found
+        return self._tokenize(low, low.decode()) if found is None else found
+
+    def _tokenize(self, key: bytes, form: str) -> list[int]:
+        if len(self.runs) > self.limit:
+            self.runs = {}
+        found = self.runs[key] = [t.id for t in self.model.tokenize(form)]
         return found
 
     def _chunk(self, chunk: bytes) -> list[int]:
-        if chunk.isalpha():  # ASCII letters only
-            return self._run(chunk.decode())
-        text = chunk.decode("utf-8", "replace")
-        start = text.rstrip(_AFTER)
+        start = chunk.rstrip(_AFTER)
         word = start.lstrip(_BEFORE)
-        if not (word.isalpha() and (word.isascii() or _LATIN.fullmatch(word))) or "<|" in text:
-            return self.whole.encode(text, add_special_tokens=False).ids
-        ids = self._run(word)
+        if word.isalpha():  # ASCII letters only
+            ids = self._run(word)
+        else:
+            text = word.decode("utf-8", "replace")
+            if not _LATIN.fullmatch(text):
+                return self.whole.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
+            key = text.lower().encode()
+            ids = self.runs.get(key)
+            if ids is None:
+                ids = self._tokenize(key, key.decode("latin-1").translate(self.letters))
+        if len(word) == len(chunk):
+            return ids
+        if b"<|" in chunk:
+            return self.whole.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
         if len(word) < len(start):
             ids = self._run(start[:len(start) - len(word)]) + ids
-        return ids + self._run(text[len(start):]) if len(start) < len(text) else ids
+        return ids + self._run(chunk[len(start):]) if len(start) < len(chunk) else ids
 
     def _learn(self, new: list[bytes]) -> None:
         """Number new chunks and append their ids."""
-        n, older, flat, ends = len(self.known), self.older.get, [], []
+        n, older, encoded, flat, ends = len(self.known), self.older.get, self._chunk, [], []
         total = int(self.at[n])
-        for i, chunk in enumerate(new, n):
+        for chunk in new:
             before = older(chunk)
-            flat += self._chunk(chunk) if before is None else self.older_ids[self.older_at[before]:self.older_at[before + 1]].tolist()
+            flat += encoded(chunk) if before is None else self.older_ids[self.older_at[before]:self.older_at[before + 1]].tolist()
             ends.append(total + len(flat))
-            self.known[chunk] = i
+        self.known.update(zip(new, range(n, n + len(new))))
         while n + len(ends) >= len(self.at):
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
         while total + len(flat) > len(self.ids):
