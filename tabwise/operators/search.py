@@ -1,17 +1,22 @@
 """Cross-validation (M7) and hyperparameter search (M8).
 
-The reference's sequential Gaussian-process optimiser is re-aimed: the
-candidate table holds ``init_points + n_iter`` seeded points drawn uniformly
-inside the bounds (md5-derived, reproducible), every candidate is scored by
-the mean macro-F1 over stratified folds, and candidates run concurrently
-from a small driver thread pool (each fit is itself a distributed job). The
-folds are written once, and so are the prepared vectors of every fold: prep and
-resampling, which do not depend on the candidate, run once per fold, not once
-per candidate and fold.
+The folds are one written table with a fold number; prep is fitted for every fold (all
+folds at once, from a small driver pool), and a fit reads the rows of the other folds
+from that table: the frame is copied for a fold only if resampling makes new rows. Every
+(trial, fold) fit is a job of the same pool.
+
+The search is sequential: ``init_points`` seeded points drawn uniformly inside the bounds
+(md5-derived, reproducible) are scored by the mean macro F1 over stratified folds; then
+``n_iter`` points are proposed in batches of ``parallelism`` from all trials scored before,
+by a density ratio: the best quarter of the trials and the rest each give a density for every
+parameter (normal kernels and a uniform one), ``DRAWS`` points are drawn from the first, and
+the one where the first exceeds the second most is tried.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
@@ -23,7 +28,7 @@ from ..functions import hash_uniform, int_param
 from ..sources.readers import load_params
 from ..session import cut_lineage
 from ..sources.writers import save_params
-from .learn import Prepared, check_model_type, fit_prepared, prepare, score
+from .learn import Prepared, by_size, check_model_type, fit_prepared, prepare, score
 from .metrics import fold_f1_table, macro_f1
 from .prep import PrepSpec
 from .split import stratified_folds
@@ -35,6 +40,8 @@ DEFAULT_BOUNDS = {
     "xgb": {"learning_rate": (0.01, 0.3), "max_depth": (3, 10), "min_child_weight": (1, 10),
             "n_estimators": (50, 1000)},
 }
+#: Share of the scored trials that count as good; points drawn for a proposal.
+GOOD_SHARE, DRAWS = 0.25, 24
 INT_PARAMS = ("n_estimators", "max_depth", "min_samples_split", "min_child_weight", "min_samples_leaf")
 
 
@@ -48,20 +55,64 @@ def candidates(spark: SparkSession, n: int, bounds: dict, seed: int = 42) -> Dat
     return df
 
 
+def _uniform(*parts) -> float:
+    """The same number in [0, 1) as ``hash_uniform`` of these strings."""
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 4294967296.0
+
+
+def _density(x: float, points: list[float]) -> float:
+    """Density on [0, 1] of a uniform kernel and a normal one, of width ``len(points) ** -0.2 / 4``, around each point."""
+    if not points:
+        return 1.0
+    width = len(points) ** -0.2 / 4
+    return (1 + sum(math.exp(-((x - p) / width) ** 2 / 2) for p in points) / (width * math.sqrt(2 * math.pi))) / (len(points) + 1)
+
+
+def _draw(points: list[float], *key) -> float:
+    """A number in [0, 1] drawn from the density of ``points``."""
+    at = int(_uniform(*key, "kernel") * (len(points) + 1))
+    if at == len(points):
+        return _uniform(*key, "place")
+    normal = math.sqrt(-2 * math.log(1 - _uniform(*key, "place"))) * math.cos(2 * math.pi * _uniform(*key, "turn"))
+    return min(1.0, max(0.0, points[at] + normal * len(points) ** -0.2 / 4))
+
+
+def propose(scored: Sequence[dict], bounds: dict, trials: Sequence[int], seed: int = 42) -> list[dict]:
+    """The next trials (their numbers given) from the scored ones: rows of ``trial``, the parameters and ``mean_macro_f1``.
+
+    Equal scores: the smaller trial is the better. Parameters of equal bounds are constant.
+    """
+    order = sorted(scored, key=lambda t: (-t["mean_macro_f1"], t["trial"]))
+    n_good = math.ceil(GOOD_SHARE * len(order))
+    place = {p: [(t[p] - lo) / (hi - lo) if hi > lo else 0.0 for t in order] for p, (lo, hi) in bounds.items()}
+    out = []
+    for trial in trials:
+        best = None
+        for d in range(DRAWS):
+            x = {p: _draw(place[p][:n_good], seed, trial, d, p) for p in sorted(bounds)}
+            ratio = sum(math.log(_density(x[p], place[p][:n_good])) - math.log(_density(x[p], place[p][n_good:])) for p in sorted(bounds))
+            if best is None or ratio > best[0]:
+                best = ratio, x
+        value = {p: float(lo) + best[1][p] * (float(hi) - float(lo)) for p, (lo, hi) in bounds.items()}
+        out.append({"trial": trial, **{p: math.floor(v) if p in INT_PARAMS else v for p, v in value.items()}})
+    return out
+
+
 @dataclass
 class _Fold:
     prepared: Prepared
     test: DataFrame  # the fold's rows with their vectors
 
 
-def _prepared_folds(folds: DataFrame, label_col: str, k: int, keep: Sequence[str], **prep) -> list[_Fold]:
-    """Prep fitted once per fold; the vectors of both sides are written once."""
-    out = []
-    for f in range(k):
+def _prepared_folds(folds: DataFrame, label_col: str, k: int, keep: Sequence[str], pool: ThreadPoolExecutor, **prep) -> list[_Fold]:
+    """Prep fitted once per fold; only resampled rows are written."""
+    def one(f: int) -> _Fold:
         prepared = prepare(folds.where(F.col("fold") != f).drop("fold"), label_col, **prep)
+        if prep.get("resample_type"):
+            prepared = replace(prepared, train=cut_lineage(prepared.train))
         test = prepared.assembler.transform(prepared.stage.transform(folds.where(F.col("fold") == f))).select(*keep, "features")
-        out.append(_Fold(replace(prepared, train=cut_lineage(prepared.train)), cut_lineage(test)))
-    return out
+        return _Fold(prepared, test)
+    return list(pool.map(one, range(k)))
 
 
 def _score_fold(fold: _Fold, algo: str, params: dict | None, seed: int, label_type, keep: Sequence[str]) -> DataFrame:
@@ -70,59 +121,64 @@ def _score_fold(fold: _Fold, algo: str, params: dict | None, seed: int, label_ty
     return score(on_vectors, fold.test, keep=keep).withColumn("prediction", F.col("prediction").cast(label_type))
 
 
+def _stored_folds(df: DataFrame, label_col: str, id_cols: Sequence[str], k: int, seed: int) -> DataFrame:
+    """The rows with their fold, written once, in partitions by size."""
+    folds = stratified_folds(df, label_col, id_cols, k, seed)
+    return cut_lineage(by_size(folds, df.count(), len(df.columns)))
+
+
 def cross_validate(df: DataFrame, label_col: str, id_cols: Sequence[str], numeric_features: Sequence[str] | None = None,
                    algo: str = "xgb", resampler_type: str | None = None, scaler_type: str | None = None,
                    imputer_strategy: str | None = None, cv_splits: int = 10, seed: int = 42,
                    best_param_path: str | None = None, class_names: list | None = None,
-                   params: dict | None = None) -> DataFrame:
+                   params: dict | None = None, parallelism: int = 8) -> DataFrame:
     """M7 + E8: per-fold macro F1 and per-class F1 (validation's preprocessing gate, T10)."""
     check_model_type(algo)
     params = {**load_params(best_param_path, required=best_param_path is not None), **(params or {})}
     spec = PrepSpec.for_validate(numeric_features, imputer_strategy, scaler_type)
-    folds = cut_lineage(stratified_folds(df, label_col, id_cols, cv_splits, seed))
+    folds = _stored_folds(df, label_col, id_cols, cv_splits, seed)
     kept = ["fold", label_col]
-    prepared = _prepared_folds(folds, label_col, cv_splits, kept, spec=spec, resample_type=resampler_type, seed=seed,
-                               id_col=id_cols[0] if resampler_type else None, exclude=list(id_cols))
-    preds = None
-    for fold in prepared:
-        p = _score_fold(fold, algo, params, seed, df.schema[label_col].dataType, kept)
-        preds = p if preds is None else preds.unionByName(p)
-    preds = cut_lineage(preds)
-    table = fold_f1_table(preds, label_col, "prediction", "fold", class_names)
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        prepared = _prepared_folds(folds, label_col, cv_splits, kept, pool, spec=spec, resample_type=resampler_type, seed=seed,
+                                   id_col=id_cols[0] if resampler_type else None, exclude=list(id_cols))
+        preds = list(pool.map(lambda fold: _score_fold(fold, algo, params, seed, df.schema[label_col].dataType, kept), prepared))
+    every = preds[0]
+    for p in preds[1:]:
+        every = every.unionByName(p)
+    table = fold_f1_table(cut_lineage(every), label_col, "prediction", "fold", class_names)
     return table.withColumn("fold", F.col("fold") + 1)
 
 
 def tune(df: DataFrame, label_col: str, id_cols: Sequence[str], numeric_features: Sequence[str] | None = None,
          algo: str = "xgb", resampler: str | None = None, scaler: str | None = None,
          imputer_strategy: str | None = None, cv_splits: int = 5, seed: int = 42, init_points: int = 10,
-         n_iter: int = 20, bounds: dict | None = None, parallelism: int = 4,
+         n_iter: int = 20, bounds: dict | None = None, parallelism: int = 8, batch: int = 4,
          save_best_param_path: str | None = None) -> tuple[dict, DataFrame]:
-    """M8: (best params, trials table with mean macro F1 per candidate)."""
+    """M8: (best params, trials table with mean macro F1 per candidate). ``batch`` trials are proposed at once; fits share ``parallelism`` threads."""
     check_model_type(algo)
     spark = df.sparkSession
     bounds = bounds or DEFAULT_BOUNDS[algo]
-    cand = candidates(spark, init_points + n_iter, bounds, seed)
-    trials = [r.asDict() for r in cand.collect()]  # bounded: the search budget
     spec = PrepSpec(list(numeric_features or []), [], imputer_strategy, scaler if scaler == "robust" else None)
-    folds = cut_lineage(stratified_folds(df, label_col, id_cols, cv_splits, seed))
-    prepared = _prepared_folds(folds, label_col, cv_splits, [label_col], spec=spec, resample_type=resampler, seed=seed,
-                               id_col=id_cols[0] if resampler else None, exclude=list(id_cols))
-
-    def run(trial: dict) -> float:
-        params = {k: v for k, v in trial.items() if k != "trial"}
-        scores = []
-        for fold in prepared:
-            p = _score_fold(fold, algo, params, seed, df.schema[label_col].dataType, [label_col])
-            scores.append(float(macro_f1(p, label_col, "prediction").collect()[0]["macro_f1"] or 0.0))
-        return sum(scores) / len(scores)
+    folds = _stored_folds(df, label_col, id_cols, cv_splits, seed)
+    label_type, trials = df.schema[label_col].dataType, []
+
+    def run(job: tuple[dict, _Fold]) -> float:
+        trial, fold = job
+        p = _score_fold(fold, algo, {k: v for k, v in trial.items() if k != "trial"}, seed, label_type, [label_col])
+        return float(macro_f1(p, label_col, "prediction").collect()[0]["macro_f1"] or 0.0)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        results = list(pool.map(run, trials))
-    for t, s in zip(trials, results):
-        t["mean_macro_f1"] = s
-    best = max(zip(results, [-t["trial"] for t in trials], trials))[2]
-    best_params = {k: (int(v) if k in INT_PARAMS else float(v)) for k, v in best.items()
-                   if k not in ("trial", "mean_macro_f1")}
+        prepared = _prepared_folds(folds, label_col, cv_splits, [label_col], pool, spec=spec, resample_type=resampler, seed=seed,
+                                   id_col=id_cols[0] if resampler else None, exclude=list(id_cols))
+        new = [r.asDict() for r in candidates(spark, init_points, bounds, seed).collect()]  # bounded: the search budget
+        new = new or propose([], bounds, range(n_iter), seed)
+        while new:
+            scores = list(pool.map(run, [(t, fold) for t in new for fold in prepared]))
+            trials += [{**t, "mean_macro_f1": sum(scores[i * cv_splits:(i + 1) * cv_splits]) / cv_splits} for i, t in enumerate(new)]
+            left = init_points + n_iter - len(trials)
+            new = propose(trials, bounds, range(len(trials), len(trials) + min(max(1, batch), left)), seed)
+    best = max(trials, key=lambda t: (t["mean_macro_f1"], -t["trial"]))
+    best_params = {k: (int(v) if k in INT_PARAMS else float(v)) for k, v in best.items() if k not in ("trial", "mean_macro_f1")}
     if save_best_param_path:
         save_params(best_params, save_best_param_path)
     cols = ["trial", *sorted(bounds), "mean_macro_f1"]

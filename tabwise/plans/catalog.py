@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import clean, encode, locate, metrics, prep, profile, split
-from ..operators.search import DEFAULT_BOUNDS
+from ..operators.search import DEFAULT_BOUNDS, DRAWS
+from ..session import cut_lineage
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,6 +119,45 @@ def q_eda_correlation(spark, d):
     return r6(profile.correlation(fx.lineitem_corr(spark, d), _CORR_COLS))
 
 
+_SKETCHED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@register("eda_sketch_quantiles", "WITH " + ", ".join(f"""
+p{i} AS (SELECT '{c}' AS column_name, count(CASE WHEN l_orderkey % 6 <> 0 THEN {c} END) AS n, quantile_cont(CASE WHEN l_orderkey % 6 <> 0 THEN {c} END, [0.25, 0.5, 0.75]) AS q FROM lineitem)""" for i, c in enumerate(_SKETCHED)) + """,
+u AS (""" + " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(len(_SKETCHED))) + """),
+r AS (SELECT column_name, n, unnest([0.25, 0.5, 0.75])::DOUBLE AS p, unnest(q) AS exact FROM u)
+SELECT column_name, p, n, round(exact, 6) AS exact, true AS within FROM r""")
+def q_eda_sketch_quantiles(spark, d):
+    """A3's quartiles from KLL sketches kept by shipping month and merged, beside the exact ones, and whether each one's rank is within the sketch's error."""
+    from ..operators import sketches as sk
+    from ..operators.quantiles import exact_quantiles
+    li = fx.table(spark, d, "lineitem").select("l_shipdate", *[F.when(F.col("l_orderkey") % 6 != 0, F.col(c)).alias(c) for c in _SKETCHED])
+    parts = cut_lineage(sk.sketch_parts(li, _SKETCHED, F.date_trunc("month", "l_shipdate")))
+    probs = [0.25, 0.5, 0.75]
+    found = sk.sketch_quantiles(sk.merge_parts(parts), probs)
+    at = {(r.column_name, r.p): r.value for r in found.collect()}  # three numbers a column
+    row = li.agg(*[f(F.when(test, 1)).alias(f"{side}{i}") for i, (c, p) in enumerate(at) for side, f, test in (
+        ("under", F.count, F.col(c) < at[c, p]), ("upto", F.count, F.col(c) <= at[c, p]))]).first()
+    ranks = spark.createDataFrame([(c, p, row[f"under{i}"], row[f"upto{i}"]) for i, (c, p) in enumerate(at)], "column_name STRING, p DOUBLE, under LONG, upto LONG")
+    error = sk.rank_error() + 1 / F.col("n")
+    within = (F.col("under") <= (F.col("p") + error) * F.col("n")) & (F.col("upto") >= (F.col("p") - error) * F.col("n"))
+    exact = exact_quantiles(li, _SKETCHED, probs).select("column_name", "p", F.col("value").alias("exact"))
+    return r6(found.join(ranks, ["column_name", "p"]).join(exact, ["column_name", "p"]).select("column_name", "p", "n", "exact", within.alias("within")))
+
+
+_WIDE_PAIRS = [(a, b) for i, a in enumerate(fx.WIDE_COLS) for b in fx.WIDE_COLS[i:]]
+
+
+@register("eda_correlation_wide", _with(fx.LINEITEM_WIDE_SQL, "r AS (SELECT [" + ", ".join(
+    f"corr(CASE WHEN {b} IS NOT NULL THEN {a} END, CASE WHEN {a} IS NOT NULL THEN {b} END)" for a, b in _WIDE_PAIRS) + "] AS r FROM wide)",
+    "p AS (SELECT unnest([" + ", ".join(f"['{a}', '{b}']" for a, b in _WIDE_PAIRS) + "]) AS p, unnest(r) AS c FROM r)") + """
+SELECT p[1] AS col_a, p[2] AS col_b, round(CASE WHEN isnan(c) THEN NULL ELSE c END, 6) AS corr FROM p
+UNION ALL SELECT p[2], p[1], round(CASE WHEN isnan(c) THEN NULL ELSE c END, 6) FROM p WHERE p[1] <> p[2]""")
+def q_eda_correlation_wide(spark, d):
+    """1,176 pairs of partly empty columns, from one Gram matrix."""
+    return r6(profile.correlation(fx.lineitem_wide(spark, d), fx.WIDE_COLS))
+
+
 @register("eda_duplicates", """
 WITH l AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 10 = 0)
 SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_duplicates FROM (SELECT count(*) AS n FROM l GROUP BY ALL)""".replace(
@@ -710,8 +750,9 @@ sp AS (SELECT o_orderkey, priority, y, CASE WHEN rn <= quota THEN 'test' ELSE 't
 _SEP = _with(fx.ORDERS_SEPARABLE_SQL, _SEP_SPLIT_SQL.format(y="y"))
 _SEP3 = _with(fx.ORDERS_SEPARABLE_SQL, _SEP_SPLIT_SQL.format(y="kind"))
 _EXACT = _SEP + "SELECT o_orderkey, y, CAST(y AS DOUBLE) AS prediction, true AS sure FROM sp WHERE split = 'test'"
-#: The search space of tune and pipeline_report: the operator's own. Every other fit uses the learners' defaults (100 rounds).
-_BOUNDS = DEFAULT_BOUNDS["xgb"]
+#: The search space of tune and pipeline_report: the operator's own but for the rounds, whose default upper bound is 1000.
+#: Every other fit uses the learners' defaults (100 rounds).
+_BOUNDS = {**DEFAULT_BOUNDS["xgb"], "n_estimators": (50, 150)}
 
 
 def _learn_split(spark, d, label="y"):
@@ -790,19 +831,42 @@ def q_cv_fold_f1(spark, d):
     return r6(search.cross_validate(data, "y", ["o_orderkey"], fx.LEARN_FEATURES, "xgb", None, "robust", "median"))
 
 
-def _trial_sql(name: str) -> str:
-    lo, hi = (float(x) for x in _BOUNDS[name])
-    u = f"CAST(('0x' || substr(md5('42|' || trial || '|{name}'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
-    v = f"({lo}::DOUBLE + {u} * ({hi}::DOUBLE - {lo}::DOUBLE))"
-    return f"round({v}, 6) AS {name}" if name == "learning_rate" else f"CAST(floor({v}) AS BIGINT) AS {name}"
+def _uniform_sql(*parts: str) -> str:
+    return f"CAST(('0x' || substr(md5({" || '|' || ".join(parts)}), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+def _in_bounds_sql(name: str, x: str) -> str:
+    lo, hi = (float(v) for v in _BOUNDS[name])
+    v = f"({lo}::DOUBLE + {x} * ({hi}::DOUBLE - {lo}::DOUBLE))"
+    return v if name == "learning_rate" else f"CAST(floor({v}) AS BIGINT)"
+
 
+def _tune_sql() -> str:
+    """Two uniform trials, both of score 1 (the first is the good quarter), and two proposals by the density ratio of one point each."""
+    names = sorted(_BOUNDS)
+    columns = ", ".join(names)
+    near = lambda x, p: f"(1 + exp(-0.5::DOUBLE * (({x} - {p}) / 0.25::DOUBLE) ** 2) / (0.25::DOUBLE * sqrt(2 * pi()))) / 2"
+    place = lambda n, t: f"(SELECT ({n} - {float(_BOUNDS[n][0])}::DOUBLE) / ({float(_BOUNDS[n][1])}::DOUBLE - {float(_BOUNDS[n][0])}::DOUBLE) FROM init WHERE trial = {t})"
+    key = lambda n, what: _uniform_sql("'42'", "trial", "d", f"'{n}'", f"'{what}'")
+    drawn = ", ".join(
+        f"""CASE WHEN floor({key(n, 'kernel')} * 2) = 1 THEN {key(n, 'place')} ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, g_{n}
+            + sqrt(-2 * ln(1 - {key(n, 'place')})) * cos(2 * pi() * {key(n, 'turn')}) * 0.25::DOUBLE)) END AS {n}""" for n in names)
+    return f"""
+WITH init AS (SELECT trial, {", ".join(f"{_in_bounds_sql(n, _uniform_sql("'42'", 'trial', f"'{n}'"))} AS {n}" for n in names)} FROM range(2) AS t(trial)),
+p AS (SELECT {", ".join(f"{place(n, 0)} AS g_{n}, {place(n, 1)} AS b_{n}" for n in names)}),
+x AS (SELECT trial, d, {drawn}, {", ".join(f"g_{n}, b_{n}" for n in names)} FROM range(2, 4) AS t(trial), range({DRAWS}) AS r(d), p),
+r AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY {" + ".join(f"(ln({near(n, f'g_{n}')}) - ln({near(n, f'b_{n}')}))" for n in names)} DESC, d) AS place FROM x)
+SELECT trial, {", ".join(f"round({n}, 6) AS {n}" if n == "learning_rate" else n for n in names)}, 1.0::DOUBLE AS mean_macro_f1 FROM (
+  SELECT trial, {columns} FROM init UNION ALL SELECT trial, {", ".join(f"{_in_bounds_sql(n, n)} AS {n}" for n in names)} FROM r WHERE place = 1)"""
 
-@register("tune", "SELECT trial, " + ", ".join(_trial_sql(c) for c in sorted(_BOUNDS)) + ", 1.0::DOUBLE AS mean_macro_f1 FROM range(4) AS t(trial)")
+
+@register("tune", _tune_sql())
 def q_tune(spark, d):
+    """Two uniform trials and two that their scores propose, over five folds; bounds as the operator's, with 50 to 150 rounds."""
     from ..operators import search
     data = fx.orders_separable(spark, d).drop("kind")
     _, trials = search.tune(data, "y", ["o_orderkey"], fx.LEARN_FEATURES, "xgb", None, "robust", "median",
-                            init_points=2, n_iter=2, bounds=_BOUNDS, parallelism=4)
+                            init_points=2, n_iter=2, bounds=_BOUNDS)
     return r6(trials)
 
 
@@ -816,6 +880,32 @@ def q_score_batch(spark, d):
     return out.select("o_orderkey", "prediction", ((F.col("prediction") == 1) == (F.col("prob_1") > 0.5)).alias("sure"))
 
 
+@register("stored_model", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'new' ELSE o_orderpriority END AS priority,
+       CASE WHEN o_orderkey % 13 = 0 THEN -1.0::DOUBLE ELSE CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) - 1 END AS code,
+       CASE WHEN o_orderkey % 13 = 0 OR substr(o_orderpriority, 1, 1) <= '2' THEN 'urgent' ELSE 'normal' END AS prediction FROM orders""")
+def q_stored_model(spark, d):
+    """T1-T9, M6, K5, S5, M9 as one object: fitted on raw categories, saved, loaded anew, and scoring raw rows of which every 13th has an unseen category."""
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from ..operators.estimators import OrdinalEncoder, TabularClassifier
+    from ..sources.paths import delete_path
+    orders = fx.table(spark, d, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").alias("priority"), F.month("o_orderdate").cast("double").alias("month"),
+        F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")).alias("price"))
+    folder = _folder(spark)
+    train = orders.withColumn("kind", F.when(F.substring("priority", 1, 1) <= "2", "urgent").otherwise("normal"))
+    Pipeline(stages=[OrdinalEncoder(inputCols=["priority"]),
+                     TabularClassifier(labelCol="kind", featureCols=["priority", "month", "price"], imputerStrategy="median", scaler="robust")]
+             ).fit(train).write().overwrite().save(folder)
+    raw = orders.withColumn("priority", F.when(F.col("o_orderkey") % 13 == 0, "new").otherwise(F.col("priority")))
+    loaded = PipelineModel.load(folder)
+    out = cut_lineage(loaded.transform(raw.withColumn("raw", F.col("priority"))).select(
+        "o_orderkey", F.col("raw").alias("priority"), F.col("priority").alias("code"), "prediction"))
+    delete_path(spark, folder)
+    return out
+
+
 # -- the same learners on a label that the features do not decide: what must hold all the same ------
 _NOISY_SQL = """
 WITH r AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y FROM orders),
@@ -875,7 +965,6 @@ def _folder(spark) -> str:
 
 def _kept(result: DataFrame, folder: str) -> DataFrame:
     """The result as a checkpoint; the folder it was read from goes."""
-    from ..session import cut_lineage
     from ..sources.paths import delete_path
     out = cut_lineage(result)
     delete_path(result.sparkSession, folder)
@@ -904,6 +993,33 @@ def q_read_csv_text(spark, d):
     return _kept(read_table(spark, f"{folder}/t.csv", "doc_id LONG, text STRING", multi_line=True), folder)
 
 
+_DAMAGED_SQL = """lines AS (SELECT o_orderkey AS k, CAST(o_custkey AS VARCHAR) AS c, o_orderpriority AS p, CASE o_orderkey % 10
+    WHEN 1 THEN 'x' || o_orderkey || ',' || o_custkey || ',' || o_orderpriority
+    WHEN 2 THEN o_orderkey || ',' || o_custkey
+    WHEN 3 THEN o_orderkey || ',' || o_custkey || ',' || o_orderpriority || ',more'
+    WHEN 4 THEN o_orderkey || ',1e,' || o_orderpriority
+    WHEN 5 THEN o_orderkey || ',,' || o_orderpriority
+    ELSE o_orderkey || ',' || o_custkey || ',' || o_orderpriority END AS line FROM orders)"""
+
+
+@register("read_csv_rejects", "WITH " + _DAMAGED_SQL + """
+SELECT k AS o_orderkey, CASE WHEN k % 10 = 5 THEN NULL ELSE CAST(c AS BIGINT) END AS o_custkey, p AS o_orderpriority, NULL AS record, NULL AS reason FROM lines WHERE k % 10 NOT IN (1, 2, 3, 4)
+UNION ALL SELECT NULL, NULL, NULL, line, CASE k % 10 WHEN 1 THEN 'o_orderkey' WHEN 4 THEN 'o_custkey' ELSE 'fields' END FROM lines WHERE k % 10 IN (1, 2, 3, 4)""")
+def q_read_csv_rejects(spark, d):
+    """S1 on a damaged file: a wrong number of fields, text in a number, an empty field (which is no damage); good rows and rejected records."""
+    from ..sources import read_checked
+    k, c, p = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.col("o_orderpriority")
+    damage = {1: [F.concat(F.lit("x"), k), c, p], 2: [k, c], 3: [k, c, p, F.lit("more")], 4: [k, F.lit("1e"), p], 5: [k, F.lit(""), p]}
+    line = F.concat_ws(",", k, c, p)
+    for at, parts in damage.items():
+        line = F.when(F.col("o_orderkey") % 10 == at, F.concat_ws(",", *parts)).otherwise(line)
+    folder = _folder(spark)
+    fx.table(spark, d, "orders").select(line.alias("value")).write.text(f"{folder}/lines.csv")
+    read = read_checked(spark, f"{folder}/lines.csv", "o_orderkey LONG, o_custkey LONG, o_orderpriority STRING", header=False)
+    good = read.rows.withColumns({"record": F.lit(None).cast("string"), "reason": F.lit(None).cast("string")})
+    return _kept(good.unionByName(read.rejects.select("record", "reason"), allowMissingColumns=True), folder)
+
+
 @register("load_split_roundtrip", """
 SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS side,
        CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE round(o_totalprice, 6) END AS price FROM orders""")
@@ -932,6 +1048,26 @@ def q_cache_append_roundtrip(spark, d):
     return _kept(found.select("o_orderkey", "cached_location"), folder)
 
 
+@register("cache_table_lookup", _with(fx.ORDER_POINTS_SQL, fx.CUSTOMER_CACHE_SQL) + """
+SELECT o_orderkey, location AS cached_location, CASE WHEN lon_key < 15 THEN 'first' WHEN lon_key IS NOT NULL THEN 'second' END AS batch FROM pts_o
+LEFT JOIN cache_c ON round(latitude, 4) = lat_key AND round(longitude, 4) = lon_key""")
+def q_cache_table_lookup(spark, d):
+    """K8 into a bucketed table: two overlapping batches, the first once more, and the table opened anew; then J1, with the batch that wrote each key."""
+    from ..sources import CacheTable, whole_keys
+    folder = _folder(spark)
+    entries = fx.customer_cache(spark, d)
+    for batch, rows in (("first", entries.where("lon_key < 15")), ("second", entries), ("first", entries)):
+        cache = CacheTable(spark, folder, buckets=16)
+        cache.append(rows, batch)
+        cache.forget()
+    cache = CacheTable(spark, folder)
+    found = whole_keys(locate.lookup_stored(fx.order_points(spark, d), cache))
+    written = cache.entries().groupBy("lat_e4", "lon_e4").agg(F.concat_ws("+", F.collect_list("batch")).alias("batch"))
+    out = _kept(found.join(written, ["lat_e4", "lon_e4"], "left").select("o_orderkey", "cached_location", "batch"), folder)
+    cache.forget()
+    return out
+
+
 @register("fold_accuracy", _with(fx.SCORED_LINEITEM_SQL) + """
 SELECT fold, round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM scored GROUP BY fold""")
 def q_fold_accuracy(spark, d):
@@ -951,6 +1087,7 @@ SELECT CAST(y AS VARCHAR) AS label, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS rec
 UNION ALL SELECT 'accuracy', NULL, NULL, 1.0, nt FROM t
 UNION ALL SELECT unnest(['macro avg', 'weighted avg']), 1.0, 1.0, 1.0, nt FROM t""")
 def q_pipeline_report(spark, d):
+    """Every stage of the workflow; the search of 2 + 2 trials x 5 folds has the operator's bounds, with 50 to 150 rounds."""
     from .pipeline import PipelineConfig, run_pipeline
     o, c = fx.table(spark, d, "orders"), fx.table(spark, d, "customer")
     data = o.join(c, o["o_custkey"] == c["c_custkey"]).select(

@@ -39,3 +39,18 @@ def test_density_is_one_in_all_and_proposals_need_no_history():
 def test_candidates_and_uniform_agree(spark):
     rows = search.candidates(spark, 3, BOUNDS, 42).collect()
     assert [r.learning_rate for r in rows] == [search._uniform(42, t, "learning_rate") for t in range(3)]
+
+
+def test_registered_search_and_its_sql_agree():
+    import duckdb
+
+    from tabwise.plans import catalog
+
+    names = sorted(catalog._BOUNDS)
+    first = [{"trial": t, "mean_macro_f1": 1.0} for t in range(2)]
+    for t in first:
+        for p, (lo, hi) in catalog._BOUNDS.items():
+            v = lo + search._uniform(42, t["trial"], p) * (hi - lo)
+            t[p] = int(v) if p in search.INT_PARAMS else v
+    rows = [(t["trial"], *(round(t[p], 6) for p in names)) for t in first + search.propose(first, catalog._BOUNDS, range(2, 4))]
+    assert sorted(rows) == sorted(r[:-1] for r in duckdb.sql(catalog.ORACLES["tune"]).fetchall())
