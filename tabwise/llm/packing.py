@@ -8,7 +8,7 @@ filling is dominated if one of its lengths could be exchanged for a longer one
 that still fits, or if another length could be added), branch on those of least
 waste, and prune a branch as soon as its waste exceeds that of the best packing
 found so far, or if the bound ``ceil(total / capacity)`` is met. The incumbent is
-best-fit decreasing. A filling is used as often as its lengths last, so the plan
+first-fit decreasing. A filling is used as often as its lengths last, so the plan
 is a list of patterns (lengths, how often), a few for each length.
 
 The pieces are then numbered within their length (in shards, so that one length
@@ -89,7 +89,7 @@ def fillings(lengths: list[int], counts: dict[int, int], space: int, most: int)
     return list(dict.fromkeys(tuple(sorted(p, reverse=True)) for _, p in found))[:most]
 
 
-def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+def first_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
     """The incumbent: longest first, each completed with the longest piece that fits, on counts."""
     counts, plan = dict(histogram), []
     left = sorted(counts)
@@ -121,7 +121,7 @@ def bin_completion(histogram: dict[int, int], capacity: int, branches: int = BRA
         raise ValueError("lengths must be 1 to capacity")
     total = sum(s * n for s, n in histogram.items())
     bound = -(-total // capacity)
-    best = best_fit_decreasing(histogram, capacity)
+    best = first_fit_decreasing(histogram, capacity)
     fewest = sum(t for t, _ in best)
     counts, left, waste, used = dict(histogram), sorted(histogram), 0, 0
     taken: list[tuple[int, tuple[int, ...], list[tuple[int, ...]]]] = []  # pattern, how often, fillings not yet tried
