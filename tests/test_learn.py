@@ -170,3 +170,16 @@ def test_queries_search_the_stated_bounds(spark, monkeypatch, name):
     with pytest.raises(_Seen) as got:
         catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert got.value.args == (2, {**search.DEFAULT_BOUNDS["xgb"], "n_estimators": (50, 150)})
+
+
+def test_forests_hold_node_numbers_that_fit_in_memory(spark):
+    assert learn.holds_node_ids(12, 1_200_000, 100)  # the orders of 1 GB
+    assert not learn.holds_node_ids(12, 7_200_000, 100) and not learn.holds_node_ids(12, 1_200_000, 100, fits=8)
+    prepared = learn.prepare(_synthetic(spark), "label", ["num1", "num2", "num3", "num4"], exclude=["id"])
+    assert (prepared.rows, prepared.fits) == (200, 1)
+    params = {"n_estimators": 5, "max_depth": 6}
+    fitted = learn.fit_prepared(prepared, "rf", params).model.stages[-1]
+    plain = learn.make_learner("rf", params, 2, learn.DEFAULT_SEED, "features", "_label").fit(prepared.train)
+    trees = lambda m: m.toDebugString.split("\n", 1)[1]
+    assert fitted.getCacheNodeIds() and not plain.getCacheNodeIds()
+    assert trees(fitted) == trees(plain)
