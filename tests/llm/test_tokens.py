@@ -1,12 +1,13 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tabwise.llm import token_binary
+from tabwise.llm import token_binary, tokens
 from tabwise.llm.common import shared_path
 from tabwise.llm.tokens import Encoder, tokenizer_file
 
@@ -86,3 +87,16 @@ def test_registered_query(spark, whole):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
     got = sorted(tuple(r[c] for c in ("doc_id", "start", "n_tokens", "ids_crc32")) for r in token_binary.op1_token_binary(spark, sf).collect())
     assert got == _brute(rows, whole)
+
+
+def test_new_chunks_are_cut_at_once(whole):
+    chunks = ["Word", "(Straße),", "ÀÖØÞßàöøÿ!", "a×b", "÷", "it's", "'tis", "x'", "...", "a1", "<|x", "x<|", "<x|", "日本", "é", "..É..", "́a", "Z" * 300]
+    simple, sizes, lower = tokens._parts([c.encode() for c in chunks])
+    assert [c for c, s in zip(chunks, simple) if s] == ["Word", "(Straße),", "ÀÖØÞßàöøÿ!", "x'", "<x|", "é", "..É..", "Z" * 300]
+    assert sizes.tolist() == [[0, 4, 0], [1, 7, 2], [0, 18, 1], [0, 1, 1], [1, 1, 1], [0, 2, 0], [2, 2, 2], [0, 300, 0]]
+    assert lower.tobytes().decode() == "word(straße),àöøþßàöøÿ!x'<x|é..é.." + "z" * 300
+    ids, counts = Encoder(tokenizer_file())._chunks([c.encode() for c in chunks])
+    want = [whole.encode(c, add_special_tokens=False).ids for c in chunks]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+    words = pa.array([b"a", "é".encode(), b"bcd"], pa.binary())
+    assert tokens._listed(words) == words.to_pylist() and tokens._listed(words[1:]) == words[1:].to_pylist() and tokens._listed(words[:0]) == []
